@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .bpe import encode_documents
 from .common import table
+from .decontam import contamination
 from .simhash import simhash_groups
 from .urlfilter import filter_urls
 
@@ -18,5 +20,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_simhash_near_dedup)}
-ORACLE_SQL = {"op1_url_filters": sql.OP1}
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_simhash_near_dedup, op4_bpe, op7_decontamination)}
+ORACLE_SQL = {"op1_url_filters": sql.OP1, "op7_decontamination": sql.OP7}

@@ -26,3 +26,20 @@ LEFT JOIN won w ON p.url IS NOT DISTINCT FROM w.url LEFT JOIN matched m ON p.url
 
 
 OP1 = _op1()
+
+_WORDS = f"list_filter(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+
+OP7 = f"""
+WITH item_words AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS words FROM benchmark),
+windows AS (SELECT DISTINCT item, list_aggregate(words[i : least(i + 9, len(words))], 'string_agg', ' ') AS win, least(len(words), 10) AS size
+    FROM item_words, range(1, greatest(2, len(words) - 8)) AS r(i) WHERE len(words) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+doc_words AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS words FROM documents),
+starts AS (SELECT row, i, size, list_aggregate(words[i : i + size - 1], 'string_agg', ' ') AS win
+    FROM doc_words, sizes, range(1, len(words) - size + 2) AS r(i) WHERE len(words) >= size),
+found AS (SELECT row, i, size, item FROM starts JOIN windows USING (win, size)),
+hit AS (SELECT row, count(DISTINCT pos) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS pos FROM found) GROUP BY row),
+items AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT row, item FROM found WHERE item IS NOT NULL) GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit USING (row) LEFT JOIN items USING (row)"""
