@@ -8,7 +8,10 @@ from . import sql
 from .bpe import encode_documents
 from .common import table
 from .decontam import contamination
+from .langid import languages
+from .quality import quality
 from .simhash import simhash_groups
+from .toxicity import toxicity
 from .urlfilter import filter_urls
 
 
@@ -28,5 +31,28 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_simhash_near_dedup, op4_bpe, op7_decontamination)}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op3_simhash_near_dedup,
+        op4_bpe,
+        op6_toxicity,
+        op7_decontamination,
+        op8_language_id,
+        op10_quality_rules,
+    )
+}
 ORACLE_SQL = {"op1_url_filters": sql.OP1, "op7_decontamination": sql.OP7}
