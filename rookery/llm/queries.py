@@ -11,6 +11,7 @@ from .decontam import contamination
 from .langid import languages
 from .quality import quality
 from .simhash import simhash_groups
+from .suffixdedup import repeated_bytes
 from .toxicity import toxicity
 from .urlfilter import filter_urls
 
@@ -39,6 +40,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +57,7 @@ QUERIES = {
         op6_toxicity,
         op7_decontamination,
         op8_language_id,
+        op9_suffix_array_dedup,
         op10_quality_rules,
     )
 }
