@@ -209,30 +209,31 @@ def default_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def digest(bpe: Bpe, text: str | None) -> tuple[int, str, str]:
-    """(n_tokens, ids_sha256, decoded_sha256); each block of ids is decoded in turn, blocks end between characters."""
-    ids_hash, text_hash, n = hashlib.sha256(), hashlib.sha256(), 0
+def digest(bpe: Bpe, text: str | None, ids: bool = False) -> tuple[int, str, str, np.ndarray | None]:
+    """(n_tokens, ids_sha256, decoded_sha256, the ids if asked for); each block of ids is decoded in turn, blocks end between characters."""
+    ids_hash, text_hash, n, kept = hashlib.sha256(), hashlib.sha256(), 0, []
     for block in bpe.encode_blocks(text or ""):
-        ids = np.frombuffer(block, "<u4")
-        n += len(ids)
+        own = np.frombuffer(block, "<u4")
+        n += len(own)
         ids_hash.update(block)
-        text_hash.update(bpe.decode(ids).encode("utf-8"))
-    return n, ids_hash.hexdigest(), text_hash.hexdigest()
+        text_hash.update(bpe.decode(own).encode("utf-8"))
+        if ids:
+            kept.append(block)
+    return n, ids_hash.hexdigest(), text_hash.hexdigest(), np.frombuffer(b"".join(kept), "<i4") if ids else None
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256), and the ids themselves if asked for. No shuffle."""
     path, rows = path or default_path(), texts(docs, key, text)
-    schema = f"{key} {dict(rows.dtypes)[key]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * with_ids
+    schema = f"{key} {dict(rows.dtypes)[key]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))[: 3 + with_ids]
 
     def work(batches):
         bpe = loaded(path)
         for b in batches:
-            all_of = [digest(bpe, t.as_py()) for t in b.column(1)]
-            columns = [b.column(0), *(pa.array([x[i] for x in all_of], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string())))]
-            if with_ids:
-                columns.append(pa.array([bpe.encode(t.as_py() or "").astype(np.int64) for t in b.column(1)], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+            all_of = [digest(bpe, t.as_py(), with_ids) for t in b.column(1)]
+            columns = [pa.array([x[i] for x in all_of], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
 
     return rows.mapInArrow(work, schema)
 

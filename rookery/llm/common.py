@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are split into words at a time, so that one very long text needs little memory.
@@ -61,6 +61,12 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key), F.col(text))
 
 
+def text_hash(text: Column) -> list[Column]:
+    """A text's 128-bit hash as t1 and t2; null counts as the empty text."""
+    known = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(known).alias("t1"), F.xxhash64(F.lit(17), known).alias("t2")]
+
+
 def word_blocks(data: bytes, carry: int) -> Iterator[list[bytes]]:
     """Words between white space, in blocks of about BLOCK_BYTES; each block starts with the last `carry` words before it."""
     if len(data) <= BLOCK_BYTES:

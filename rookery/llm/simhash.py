@@ -19,10 +19,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, texts, word_blocks
+from .common import small_batches, stored, text_hash, word_blocks
 from .components import connected_components
 
 
@@ -42,16 +42,17 @@ def fingerprint(text: str | None, shingle_words: int, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): a row for each document, fp as a signed 64-bit integer."""
-    rows = texts(docs, key, text)
+    """(key, t1, t2, fp): a row for each document, its text's hash, and fp as a signed 64-bit integer."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(key), F.col(text), *text_hash(F.col(text)))
     kind = dict(rows.dtypes)[key]
 
     def work(batches):
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(fp.view(np.int64))], ["key", "t1", "t2", "fp"])
 
-    return rows.mapInArrow(work, f"key {kind}, fp bigint")
+    return rows.mapInArrow(work, f"key {kind}, t1 bigint, t2 bigint, fp bigint")
 
 
 def near_links(distinct: DataFrame, radius: int) -> DataFrame:
@@ -64,8 +65,6 @@ def near_links(distinct: DataFrame, radius: int) -> DataFrame:
     if radius == 4:
         two = "flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> fp ^ shiftleft(1L, i) ^ shiftleft(1L, j))))"
         ball = f"concat({ball}, {two})"
-    from pyspark.sql import Window
-
     variants = distinct.select(fp, F.explode(F.expr(ball)).alias("variant"))
     least = F.min("fp").over(Window.partitionBy("variant"))
     return (
@@ -76,19 +75,42 @@ def near_links(distinct: DataFrame, radius: int) -> DataFrame:
     )
 
 
-def simhash_groups(docs: DataFrame, shingle_words: int = 5, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint, component_id) for each document; component_id is the least key that links reach."""
+def _labelled(docs: DataFrame, shingle_words: int, radius: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, t1, t2, fp) of each document, and (fp, root, component_id) of each fingerprint."""
     fps = stored(fingerprints(docs, shingle_words, key, text), "simhash")
     distinct = stored(fps.groupBy("fp").agg(F.min("key").alias("first_key")), "distinct")
     roots = connected_components(near_links(distinct.select("fp"), radius))
-    linked = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "first_key")
-    linked = linked.unionByName(
-        distinct.join(roots.select("root").distinct(), distinct.fp == F.col("root")).select("fp", "root", "first_key")
-    )
-    linked = linked.join(linked.groupBy("root").agg(F.min("first_key").alias("component_id")), "root").select("fp", "component_id")
-    labels = stored(
-        distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_key").alias("component_id")), "labels"
-    )
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_key")
+    rooted = stored(rooted, "rooted")
+    shared = rooted.where("fp <> root").select("root").distinct()
+    least = rooted.join(shared, "root").groupBy("root").agg(F.min("first_key").alias("least"))
+    labels = rooted.join(least, "root", "left").select("fp", "root", F.coalesce("least", "first_key").alias("component_id"))
+    return fps, stored(labels, "labels")
+
+
+def simhash_groups(docs: DataFrame, shingle_words: int = 5, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, fingerprint, component_id) for each document; component_id is the least key that links reach."""
+    fps, labels = _labelled(docs, shingle_words, radius, key, text)
     return fps.join(labels, "fp").select(
         F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each_group(docs: DataFrame, shingle_words: int = 5, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row with the least key of every group, with all its columns: a null key comes last, equal keys go by their texts'
+    hashes, and of rows that repeat key and text one stays. Texts move once."""
+    fps, labels = _labelled(docs, shingle_words, radius, key, text)
+    order = F.struct(F.col("key").isNull().alias("unknown"), "key", "t1", "t2")
+    first = fps.join(labels, "fp").groupBy("root", "key", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
+    first = first.groupBy("root").agg(F.min(F.struct(order.alias("o"), "n")).alias("x"))
+    first = stored(first.select("x.o.key", "x.o.t1", "x.o.t2", "x.n"), "first")
+    t1, t2 = text_hash(F.col(text))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.withColumns({"rookery_t1": t1, "rookery_t2": t2})
+    same = (F.col("rookery_t1") == F.col("t1")) & (F.col("rookery_t2") == F.col("t2")) & own[key].eqNullSafe(first["key"])
+    kept = own.join(first.where("n = 1"), same, "left_semi").select(*names)
+    repeated = first.where("n > 1")
+    if repeated.head(1):
+        again = own.join(repeated, same, "left_semi").dropDuplicates([key, "rookery_t1", "rookery_t2"])
+        kept = kept.unionByName(again.select(*names))
+    return kept

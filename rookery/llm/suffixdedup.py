@@ -28,10 +28,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, small_batches, stored
+from .common import dropped, small_batches, stored, text_hash
 
 GRAM = 40
 #: Bytes worked on at a time; longer texts are cut into parts whose runs may end at the border, which changes no result.
@@ -118,18 +118,13 @@ def _parts(encoded: list[bytes], length: int):
         yield numbers, np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([len(p) for p in pieces]), 0
 
 
-def _text_key(text: Column) -> list[Column]:
-    known = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(known).alias("t1"), F.xxhash64(F.lit(17), known).alias("t2")]
-
-
 def _anchors(docs: DataFrame, text: str, length: int, whole: bool) -> DataFrame:
     """(h, seg) of every run, and if whole (t1, t2, place): place packs the anchor, its run's first start before it and the run's size.
 
     A text seen twice before by a task is not written again: two are as good as more to tell that it is repeated.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(text).alias("text"), *_text_key(F.col(text))).where(F.octet_length("text") >= length)
+    rows = docs.select(F.col(text).alias("text"), *text_hash(F.col(text))).where(F.octet_length("text") >= length)
 
     def work(batches):
         times: dict[tuple[int, int], int] = {}
@@ -337,7 +332,7 @@ def _by_text(docs: DataFrame, text: str, length: int, array_runs: int) -> DataFr
     # The bytes of each distinct differing run, from any text that has it.
     chosen = differ.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("t1", "t2", "place")).alias("x"))
     by_text = chosen.select("h", "seg", "rows", "x.*").groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "seg", "rows", "place")).alias("runs"))
-    texts = docs.select(F.col(text).alias("text"), *_text_key(F.col(text))).where(F.octet_length("text") >= length)
+    texts = docs.select(F.col(text).alias("text"), *text_hash(F.col(text))).where(F.octet_length("text") >= length)
     asked = texts.join(by_text, ["t1", "t2"]).select("text", "runs", "t1", "t2")
 
     def cut(batches):
@@ -366,7 +361,8 @@ def _with_spans(docs: DataFrame, text: str, length: int, array_runs: int) -> Dat
     found = _by_text(docs, text, length, array_runs).distinct()
     by_text = found.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("s"))
     flat = F.flatten(F.transform("s", lambda x: F.array(x["a"], x["b"]))).alias("rookery_spans")
-    keyed = docs.select("*", *(k.alias(f"rookery_{k_}") for k, k_ in zip(_text_key(F.col(text)), ("t1", "t2"), strict=True)))
+    t1, t2 = text_hash(F.col(text))
+    keyed = docs.withColumns({"rookery_t1": t1, "rookery_t2": t2})
     by_text = by_text.select(F.col("t1").alias("rookery_t1"), F.col("t2").alias("rookery_t2"), flat)
     return keyed.join(by_text, ["rookery_t1", "rookery_t2"], "left").drop("rookery_t1", "rookery_t2")
 
