@@ -70,7 +70,7 @@ class Runs:
             return
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(values[data] * power[:n], out=prefix[1:])
-        hashes = _mixed((prefix[gram:] - prefix[: n - gram + 1]) * inverse[: n - gram + 1])
+        hashes = (prefix[gram:] - prefix[: n - gram + 1]) * inverse[: n - gram + 1]
         low = np.uint64((1 << _POSITION_BITS) - 1)
         keys = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
         padded = np.full(-(-len(keys) // width) * width, np.uint64(2**64 - 1))
@@ -90,7 +90,7 @@ class Runs:
         self.anchor, self.first = at[new], good[new]
         self.last = good[np.concatenate([new[1:] - 1, [len(good) - 1]])]
         self.text = of[self.first]
-        self.gram_hash = hashes[self.anchor]
+        self.gram_hash = _mixed(hashes[self.anchor])
         over = (prefix[self.last + length] - prefix[self.first]) * inverse[self.first]
         shape = ((self.anchor - self.first) * 512 + (self.last - self.first)).astype(np.uint64)
         self.run_hash = _mixed(over ^ _mixed(shape + np.uint64(1)))
@@ -159,44 +159,51 @@ def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cut_ranks(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of all suffixes by their first `length` bytes, by prefix doubling; suffixes that a text ends before
-    have ranks of their own. Only suffixes that still share a rank are sorted again."""
+    """Ranks of the suffixes by their first `length` bytes, by prefix doubling; -1 for suffixes that their text's end cuts
+    shorter. Only suffixes that still share a rank are sorted again."""
     n = len(data)
     left = np.concatenate([[0], ends[:-1]])
-    room = np.repeat(ends, ends - left) - np.arange(n)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    room = (np.repeat(ends, ends - left) - np.arange(n)).astype(np.int32)
+    have = min(8, length)
     key = np.zeros(n, np.uint64)
-    for k in range(8):
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    for k in range(have):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    have = min(8, length)
-    if have < 8:
-        key >>= np.uint64(8 * (8 - have))
-    rank = _bucket_ranks(np.zeros(n, np.int64), key, np.where(room >= have, -1, np.arange(n)))
-    shared = np.arange(n)
-    while have < length:
+    rank = np.full(n, -1, np.int64)
+    shared = np.flatnonzero(room >= have)
+    shared = _ranked(rank, shared, key[shared], None)
+    while have < length and len(shared):
         step = min(have, length - have)
-        count = np.bincount(rank[shared], minlength=n)
-        shared = shared[count[rank[shared]] > 1]
-        if not len(shared):
-            break
-        alone = np.where(room[shared] >= have + step, -1, shared)
-        rank[shared] = _bucket_ranks(rank[shared], rank[np.minimum(shared + step, n - 1)], alone)
+        shared = shared[room[shared] >= have + step]
+        old = rank[shared]
+        shared = _ranked(rank, shared, (old.astype(np.uint64) << np.uint64(32)) | rank[shared + step].astype(np.uint64), old)
         have += step
+    rank[room < length] = -1
     return rank
 
 
-def _bucket_ranks(old: np.ndarray, key: np.ndarray, alone: np.ndarray) -> np.ndarray:
-    """New ranks within buckets of equal old rank: the old rank plus how many of the bucket come before."""
-    order = np.lexsort((alone, key, old))
-    o, k, a = old[order], key[order], alone[order]
-    bucket = np.concatenate([[True], o[1:] != o[:-1]])
-    group = bucket | np.concatenate([[True], (k[1:] != k[:-1]) | (a[1:] != a[:-1])])
-    at = np.arange(len(order))
-    first = np.maximum.accumulate(np.where(group, at, 0))
-    start = np.maximum.accumulate(np.where(bucket, at, 0))
-    out = np.empty(len(order), np.int64)
-    out[order] = o + first - start
-    return out
+def _ranked(rank: np.ndarray, at: np.ndarray, key: np.ndarray, old: np.ndarray | None) -> np.ndarray:
+    """Sets the ranks of positions `at` by key: how many come before, from their old rank on. Returns those that share one."""
+    if not len(at):
+        return at
+    order = np.argsort(key)
+    k = key[order]
+    new = np.empty(len(k), bool)
+    new[0] = True
+    np.not_equal(k[1:], k[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(k)))
+    if old is None:
+        group_rank = first
+    else:  # groups of one bucket follow each other from the bucket's old rank on
+        bucket = old[order[first]]
+        start = np.empty(len(first), bool)
+        start[0] = True
+        np.not_equal(bucket[1:], bucket[:-1], out=start[1:])
+        group_rank = bucket + first - first[start][np.cumsum(start) - 1]
+    moved = at[order]
+    rank[moved] = np.repeat(group_rank, size)
+    return moved[np.repeat(size > 1, size)]
 
 
 def smaller_before(position: np.ndarray) -> np.ndarray:
@@ -217,9 +224,10 @@ def previous_factors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[n
     cut order stand by position, so common prefixes along the order are full exactly within a run of equal ranks.
     """
     rank = cut_ranks(data, ends, length)
-    order = np.lexsort((np.arange(len(rank)), rank))
+    order = np.flatnonzero(rank >= 0)
+    order = order[np.argsort(rank[order], kind="stable")]
     rank = rank[order]
-    same = np.concatenate([[False], rank[1:] == rank[:-1]])
+    same = np.concatenate([[False], rank[1:] == rank[:-1]])[: len(rank)]
     # Only runs of two and more can give a full factor.
     kept = same | np.concatenate([same[1:], [False]])
     position, rank = order[kept], rank[kept]
