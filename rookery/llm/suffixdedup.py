@@ -38,6 +38,8 @@ GRAM = 40
 PART = 1 << 19
 _POSITION_BITS = 20
 ARRAY_BYTES = 1 << 20
+#: Starts that the counting path takes together.
+BLOCK = 16
 
 
 @lru_cache(4)
@@ -264,9 +266,9 @@ def _spans_by_array(segments: list[tuple[int, int, int, bytes]], length: int) ->
 
 
 def _mixed_spans(distinct: DataFrame, length: int, array_runs: int) -> DataFrame:
-    """(h, seg, spans) for the distinct runs (h, seg, rows, piece) of anchors whose runs differ."""
+    """(h, seg, spans) for the distinct runs (h, seg, rows, place, piece) of anchors whose runs differ."""
     size = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") > array_runs).select("h")
-    large = stored(size, "large")
+    large = stored(size, "large")  # at most one in array_runs of the runs
     any_large = bool(large.head(1))
     few = distinct.join(large, "h", "left_anti") if any_large else distinct
     parts = distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -285,7 +287,8 @@ def _mixed_spans(distinct: DataFrame, length: int, array_runs: int) -> DataFrame
             yield _span_batch(_spans_by_array(held, length))
 
     schema = "h bigint, seg bigint, spans array<bigint>"
-    spans = few.repartition(int(parts), "h").sortWithinPartitions("h").mapInArrow(by_array, schema)
+    few = few.select("h", "seg", "rows", "piece").repartition(int(parts), "h").sortWithinPartitions("h")
+    spans = few.mapInArrow(by_array, schema)
     return spans.unionByName(_by_counting(distinct.join(large, "h"), length)) if any_large else spans
 
 
@@ -296,22 +299,37 @@ def _span_batch(rows):
 
 
 def _by_counting(runs: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many distinct runs: strings are spread by their hashes."""
+    """The same for anchors with very many distinct runs: strings are spread by their hashes.
+
+    Starts are grouped by BLOCK places relative to the anchor. A block whose bytes repeat as a whole needs one row;
+    only the starts of blocks that do not are looked up one by one. Counts are over all blocks and all starts.
+    """
 
     def strings(batches):
         for b in batches:
-            for h, seg, rows, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n = len(piece) - length + 1
-                digests = [hashlib.blake2b(piece[i : i + length], digest_size=16).digest() for i in range(n)]
+            for h, seg, rows, place, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                n, ahead = len(piece) - length + 1, (place >> 10) & 1023
+                first = np.arange(n)
+                block = (ahead - first) // BLOCK
+                cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+                a = np.concatenate([first, cuts])
+                z = np.concatenate([first, np.append(cuts[1:], n) - 1])
+                digests = [hashlib.blake2b(piece[i : j + length], digest_size=16).digest() for i, j in zip(a.tolist(), z.tolist(), strict=True)]
                 w = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                columns = [np.full(n, h), np.full(n, seg), np.full(n, rows, np.int64), np.arange(n), w[:, 0], w[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["h", "seg", "rows", "at", "w1", "w2"])
-
-    spread = runs.select("h", "seg", "rows", "piece").mapInArrow(strings, "h bigint, seg bigint, rows bigint, at bigint, w1 bigint, w2 bigint")
-    spread = stored(spread, "strings")
-    repeated = spread.groupBy("w1", "w2").agg(F.sum("rows").alias("n")).where("n > 1").select("w1", "w2")
-    hits = spread.join(repeated, ["w1", "w2"]).groupBy("h", "seg").agg(F.collect_set("at").alias("at"))
-    return hits.select("h", "seg", F.flatten(F.transform("at", lambda x: F.array(x, x))).alias("spans"))
+                whole = np.arange(len(a)) >= n
+                columns = [np.full(len(a), h), np.full(len(a), seg), np.full(len(a), rows, np.int64), whole, block[a], a, z, w[:, 0], w[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["h", "seg", "rows", "whole", "block", "a", "z", "w1", "w2"])
+
+    schema = "h bigint, seg bigint, rows bigint, whole boolean, block bigint, a bigint, z bigint, w1 bigint, w2 bigint"
+    spread = stored(runs.select("h", "seg", "rows", "place", "piece").mapInArrow(strings, schema), "strings")
+    counted = spread.groupBy("whole", "w1", "w2").agg(F.sum("rows").alias("n")).where("n > 1").select("whole", "w1", "w2")
+    repeated = stored(counted, "repeated")
+    key = ["whole", "w1", "w2"]
+    blocks = stored(spread.where("whole").join(repeated, key).select("h", "seg", "block", "a", "z"), "blocks")
+    singles = spread.where("not whole").join(blocks, ["h", "seg", "block"], "left_anti").join(repeated, key)
+    hits = blocks.select("h", "seg", "a", "z").unionByName(singles.select("h", "seg", "a", "z"))
+    hits = hits.groupBy("h", "seg").agg(F.collect_set(F.struct("a", "z")).alias("s"))
+    return hits.select("h", "seg", F.flatten(F.transform("s", lambda x: F.array(x["a"], x["z"]))).alias("spans"))
 
 
 def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -354,11 +372,12 @@ def _by_text(docs: DataFrame, text: str, length: int, array_runs: int) -> DataFr
                 h, seg, rows, place = (own.field(i).to_numpy() for i in range(4))
                 a, z = _unpacked(place)
                 pieces = pa.array([data[i : j + length] for i, j in zip(a, z, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(seg), pa.array(rows), pieces], ["h", "seg", "rows", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(seg), pa.array(rows), pa.array(place), pieces], ["h", "seg", "rows", "place", "piece"])
 
-    pieces = asked.mapInArrow(cut, "h bigint, seg bigint, rows bigint, piece binary")
-    distinct = stored(pieces.groupBy("h", "seg").agg(F.max("rows").alias("rows"), F.max("piece").alias("piece")), "pieces")
-    spans = stored(_mixed_spans(distinct.select("h", "seg", "rows", "piece"), length, array_runs), "spans")
+    pieces = asked.mapInArrow(cut, "h bigint, seg bigint, rows bigint, place bigint, piece binary")
+    # texts with equal hashes are equal, so repeated answers are; the place's low bits belong to the run
+    distinct = stored(pieces.dropDuplicates(["h", "seg"]), "pieces")
+    spans = stored(_mixed_spans(distinct, length, array_runs), "spans")
     pair = F.explode(F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(F.get("spans", 2 * i).alias("a"), F.get("spans", 2 * i + 1).alias("b"))))
     back = differ.select("h", "seg", "t1", "t2", first.alias("first")).join(spans.select("h", "seg", pair.alias("s")), ["h", "seg"])
     return same.unionByName(back.select("t1", "t2", (F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b")).alias("b")))
