@@ -103,13 +103,14 @@ def one_of_each_group(docs: DataFrame, shingle_words: int = 5, radius: int = 2,
     order = F.struct(F.col("key").isNull().alias("unknown"), "key", "t1", "t2")
     first = fps.join(labels, "fp").groupBy("root", "key", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
     first = first.groupBy("root").agg(F.min(F.struct(order.alias("o"), "n")).alias("x"))
-    first = stored(first.select("x.o.key", "x.o.t1", "x.o.t2", "x.n"), "first")
+    names_of = {"x.o.key": "rookery_key", "x.o.t1": "rookery_a", "x.o.t2": "rookery_b", "x.n": "rookery_n"}
+    first = stored(first.select(*(F.col(c).alias(n) for c, n in names_of.items())), "first")
     t1, t2 = text_hash(F.col(text))
     names = [F.col(f"`{c}`") for c in docs.columns]
     own = docs.withColumns({"rookery_t1": t1, "rookery_t2": t2})
-    same = (F.col("rookery_t1") == F.col("t1")) & (F.col("rookery_t2") == F.col("t2")) & own[key].eqNullSafe(first["key"])
-    kept = own.join(first.where("n = 1"), same, "left_semi").select(*names)
-    repeated = first.where("n > 1")
+    same = (F.col("rookery_t1") == F.col("rookery_a")) & (F.col("rookery_t2") == F.col("rookery_b")) & F.col(f"`{key}`").eqNullSafe(F.col("rookery_key"))
+    kept = own.join(first.where("rookery_n = 1"), same, "left_semi").select(*names)
+    repeated = first.where("rookery_n > 1")
     if repeated.head(1):
         again = own.join(repeated, same, "left_semi").dropDuplicates([key, "rookery_t1", "rookery_t2"])
         kept = kept.unionByName(again.select(*names))
