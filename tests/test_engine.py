@@ -460,3 +460,19 @@ def test_stream_commits_and_delivers(spark, tmp_path):
     assert len(answer) == 4 and answer[-1].frame == '["EOSE","s"]'
     matches = subscribe.matched(events, subscribe.subscriptions(spark, [("c", "x", [Filter(kinds=(1,))])]))
     assert streaming.delivered(matches, events, per_connection=2).count() == 2
+
+
+def test_session(spark, tmp_path):
+    from rookery.plans.session import Session
+
+    session = Session(EventStore(spark, str(tmp_path / "s")), verify=False)
+    frames_in = lambda rows: spark.createDataFrame(rows, "n long, conn string, frame string")
+    told = lambda df: sorted((r.conn, r.n, r.part, json.loads(r.frame)) for r in df.collect())
+    one = f'["EVENT",{event(1)[8]}]'
+    got = told(session.answer(frames_in([(1, "a", '["REQ","s",{"kinds":[1]}]'), (2, "b", one), (3, "b", "junk"), (4, "b", '["REQ","x",{"ids":["ab"]}]'), (5, "b", '["EVENT",{"id":1}]')])))
+    assert [(c, n, p, f[0]) for c, n, p, f in got] == [("a", 1, 1, "EOSE"), ("a", 2, 2, "EVENT"), ("b", 2, 0, "OK"), ("b", 3, 0, "NOTICE"), ("b", 4, 0, "NOTICE"), ("b", 5, 0, "NOTICE")]
+    got = told(session.answer(frames_in([(6, "b", one), (7, "b", '["REQ","t",{"kinds":[1]}]'), (8, "a", '["CLOSE","s"]')])))
+    assert [(c, n, p, f[0]) for c, n, p, f in got] == [("b", 6, 0, "OK"), ("b", 7, 0, "EVENT"), ("b", 7, 1, "EOSE")]
+    assert "duplicate" in got[0][3][3]
+    session.disconnect("b")
+    assert session.subscriptions.count() == 0 and "Events" in session.status_page()
