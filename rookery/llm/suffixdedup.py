@@ -17,8 +17,10 @@ maximal ranges of string starts with the same least gram, the run's anchor.
 Hashes: polynomials over random 64-bit byte values modulo 2^64, mixed; step 2 trusts anchor and run hash together
 (128 bits), step 3 compares bytes. Texts are known by 128 bits of XXH64; rows with equal texts have equal results.
 
+Either all copies go, or the first stays: then runs and strings are compared by the order of their texts' least keys and places.
+
 Defined results: null and empty texts have no bytes; texts shorter than `length` keep all; repeated rows are copies of each
-other; an empty table gives an empty result; other columns are ignored by `repeated_bytes` and kept by `without_repeats`.
+other, but where the first copy stays, rows that repeat key and text are one document, and a null key comes last; an empty table gives an empty result; other columns are ignored by `repeated_bytes` and kept by `without_repeats`.
 """
 
 from __future__ import annotations
@@ -243,18 +245,20 @@ def previous_factors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[n
     return later, source
 
 
-def _spans_by_array(segments: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int, list[int]]]:
-    """(h, seg, flat first and last starts of repeated strings) of segments (h, seg, rows, bytes)."""
+def _spans_by_array(segments: list[tuple[int, int, int, bytes]], length: int, first: bool = False) -> list[tuple[int, int, list[int]]]:
+    """(h, seg, flat first and last starts of repeated strings) of segments (h, seg, rows, bytes); with first, of strings that
+    an earlier segment or place holds."""
     ends = np.cumsum([len(s[3]) for s in segments])
     data = np.frombuffer(b"".join(s[3] for s in segments), np.uint8)
     later, source = previous_factors(data, ends, length)
     hit = np.zeros(len(data) + 1, bool)
     hit[later] = True
-    hit[source] = True
+    if not first:
+        hit[source] = True
     out = []
     for (h, seg, rows, text), end in zip(segments, ends, strict=True):
         own = hit[end - len(text) : end - length + 1]
-        if rows > 1:
+        if rows > 1 and not first:
             out.append((h, seg, [0, len(text) - length]))
         elif own.any():
             edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]])))
@@ -265,8 +269,8 @@ def _spans_by_array(segments: list[tuple[int, int, int, bytes]], length: int) ->
 # --- the distributed operator ---------------------------------------------------------------------------------------
 
 
-def _mixed_spans(distinct: DataFrame, length: int, array_runs: int) -> DataFrame:
-    """(h, seg, spans) for the distinct runs (h, seg, rows, place, piece) of anchors whose runs differ."""
+def _mixed_spans(distinct: DataFrame, length: int, array_runs: int, first: bool) -> DataFrame:
+    """(h, seg, spans) for the distinct runs (h, seg, rows, place, piece, ord) of anchors whose runs differ."""
     size = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") > array_runs).select("h")
     large = stored(size, "large")  # at most one in array_runs of the runs
     any_large = bool(large.head(1))
@@ -279,17 +283,17 @@ def _mixed_spans(distinct: DataFrame, length: int, array_runs: int) -> DataFrame
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and size > ARRAY_BYTES and held[-1][0] != row[0]:
-                    yield _span_batch(_spans_by_array(held, length))
+                    yield _span_batch(_spans_by_array(held, length, first))
                     held, size = [], 0
                 held.append(row)
                 size += len(row[3])
         if held:
-            yield _span_batch(_spans_by_array(held, length))
+            yield _span_batch(_spans_by_array(held, length, first))
 
     schema = "h bigint, seg bigint, spans array<bigint>"
-    few = few.select("h", "seg", "rows", "piece").repartition(int(parts), "h").sortWithinPartitions("h")
+    few = few.repartition(int(parts), "h").sortWithinPartitions("h", "ord").select("h", "seg", "rows", "piece")
     spans = few.mapInArrow(by_array, schema)
-    return spans.unionByName(_by_counting(distinct.join(large, "h"), length)) if any_large else spans
+    return spans.unionByName(_by_counting(distinct.join(large, "h"), length, first)) if any_large else spans
 
 
 def _span_batch(rows):
@@ -298,7 +302,7 @@ def _span_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "seg", "spans"])
 
 
-def _by_counting(runs: DataFrame, length: int) -> DataFrame:
+def _by_counting(runs: DataFrame, length: int, first: bool) -> DataFrame:
     """The same for anchors with very many distinct runs: strings are spread by their hashes.
 
     Starts are grouped by BLOCK places relative to the anchor. A block whose bytes repeat as a whole needs one row;
@@ -322,11 +326,17 @@ def _by_counting(runs: DataFrame, length: int) -> DataFrame:
 
     schema = "h bigint, seg bigint, rows bigint, whole boolean, block bigint, a bigint, z bigint, w1 bigint, w2 bigint"
     spread = stored(runs.select("h", "seg", "rows", "place", "piece").mapInArrow(strings, schema), "strings")
-    counted = spread.groupBy("whole", "w1", "w2").agg(F.sum("rows").alias("n")).where("n > 1").select("whole", "w1", "w2")
-    repeated = stored(counted, "repeated")
     key = ["whole", "w1", "w2"]
-    blocks = stored(spread.where("whole").join(repeated, key).select("h", "seg", "block", "a", "z"), "blocks")
-    singles = spread.where("not whole").join(blocks, ["h", "seg", "block"], "left_anti").join(repeated, key)
+    if first:
+        order = stored(runs.select("h", "seg", "ord"), "order")
+        spread = spread.join(order, ["h", "seg"])
+        repeated = stored(spread.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("lead")).where("n > 1").drop("n"), "repeated")
+        later = F.col("ord") > F.col("lead")
+    else:
+        repeated = stored(spread.groupBy(*key).agg(F.sum("rows").alias("n")).where("n > 1").select(*key), "repeated")
+        later = F.lit(True)
+    blocks = stored(spread.where("whole").join(repeated, key).where(later).select("h", "seg", "block", "a", "z"), "blocks")
+    singles = spread.where("not whole").join(blocks, ["h", "seg", "block"], "left_anti").join(repeated, key).where(later)
     hits = blocks.select("h", "seg", "a", "z").unionByName(singles.select("h", "seg", "a", "z"))
     hits = hits.groupBy("h", "seg").agg(F.collect_set(F.struct("a", "z")).alias("s"))
     return hits.select("h", "seg", F.flatten(F.transform("s", lambda x: F.array(x["a"], x["z"]))).alias("spans"))
@@ -343,21 +353,27 @@ def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _by_text(docs: DataFrame, text: str, length: int, array_runs: int) -> DataFrame | None:
-    """(t1, t2, starts): for each text with repeated strings the flat first and last starts; None if no anchor repeats."""
+def _by_text(docs: DataFrame, text: str, length: int, array_runs: int, order: DataFrame | None) -> DataFrame:
+    """(t1, t2, a, b): starts a to b of a text are repeated strings. With order (t1, t2, first_key) only those that an earlier text by
+    first_key, or an earlier place of the same text, holds too."""
     counted = _anchors(docs, text, length, False).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b"))
     repeated = stored(counted.where("n > 1").select("h", (F.col("a") != F.col("b")).alias("differ")), "anchors")
-    runs = stored(_anchors(docs, text, length, True).join(repeated, "h"), "runs")
+    found = _anchors(docs, text, length, True).join(repeated, "h")
+    runs = stored(found if order is None else found.join(order, ["t1", "t2"]), "runs")
     dropped(repeated)
-    first = F.shiftright("place", 20) - F.shiftright("place", 10).bitwiseAND(F.lit(1023))
-    last = first + F.col("place").bitwiseAND(F.lit(1023))
-    same = runs.where("not differ").select("t1", "t2", first.alias("a"), last.alias("b"))
-    differ = runs.where("differ")
+    place = ["t1", "t2", "place"]
+    ord_ = F.struct(*place) if order is None else F.struct(F.col("first_key").isNull().alias("unknown"), "first_key", *place)
+    start = F.shiftright("place", 20) - F.shiftright("place", 10).bitwiseAND(F.lit(1023))
+    whole = ["t1", "t2", start.alias("a"), (start + F.col("place").bitwiseAND(F.lit(1023))).alias("b")]
+    same, differ = runs.where("not differ").withColumn("ord", ord_), runs.where("differ").withColumn("ord", ord_)
+    if order is not None:
+        same = same.join(same.groupBy("h").agg(F.min("ord").alias("lead")), "h").where(F.col("ord") > F.col("lead"))
+    out = same.select(*whole)
     if not differ.head(1):
-        return same
-    # The bytes of each distinct differing run, from any text that has it.
-    chosen = differ.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("t1", "t2", "place")).alias("x"))
-    by_text = chosen.select("h", "seg", "rows", "x.*").groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "seg", "rows", "place")).alias("runs"))
+        return out
+    # The bytes of each distinct differing run, from the first text that has it.
+    chosen = differ.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("rows"), F.min("ord").alias("ord"))
+    by_text = chosen.select("h", "seg", "rows", *(f"ord.{c}" for c in place)).groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "seg", "rows", "place")).alias("runs"))
     texts = docs.select(F.col(text).alias("text"), *text_hash(F.col(text))).where(F.octet_length("text") >= length)
     asked = texts.join(by_text, ["t1", "t2"]).select("text", "runs", "t1", "t2")
 
@@ -372,26 +388,43 @@ def _by_text(docs: DataFrame, text: str, length: int, array_runs: int) -> DataFr
                 h, seg, rows, place = (own.field(i).to_numpy() for i in range(4))
                 a, z = _unpacked(place)
                 pieces = pa.array([data[i : j + length] for i, j in zip(a, z, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(seg), pa.array(rows), pa.array(place), pieces], ["h", "seg", "rows", "place", "piece"])
+                columns = [pa.array(h), pa.array(seg), pa.array(rows), pa.array(place), pa.array(np.full(len(h), k[0])), pa.array(np.full(len(h), k[1])), pieces]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "seg", "rows", "place", "t1", "t2", "piece"])
 
-    pieces = asked.mapInArrow(cut, "h bigint, seg bigint, rows bigint, place bigint, piece binary")
+    pieces = asked.mapInArrow(cut, "h bigint, seg bigint, rows bigint, place bigint, t1 bigint, t2 bigint, piece binary")
     # texts with equal hashes are equal, so repeated answers are; the place's low bits belong to the run
-    distinct = stored(pieces.dropDuplicates(["h", "seg"]), "pieces")
-    spans = stored(_mixed_spans(distinct, length, array_runs), "spans")
+    pieces = pieces.dropDuplicates(["h", "seg"])
+    if order is not None:
+        pieces = pieces.join(order, ["t1", "t2"])
+    distinct = stored(pieces.withColumn("ord", ord_).select("h", "seg", "rows", "place", "piece", "ord"), "pieces")
+    spans = stored(_mixed_spans(distinct, length, array_runs, order is not None), "spans")
     pair = F.explode(F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(F.get("spans", 2 * i).alias("a"), F.get("spans", 2 * i + 1).alias("b"))))
-    back = differ.select("h", "seg", "t1", "t2", first.alias("first")).join(spans.select("h", "seg", pair.alias("s")), ["h", "seg"])
-    return same.unionByName(back.select("t1", "t2", (F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b")).alias("b")))
+    if order is not None:  # what is not the first of its run is a later copy as a whole
+        differ = differ.join(distinct.select("h", "seg", F.col("ord").alias("lead")), ["h", "seg"])
+        out = out.unionByName(differ.where(F.col("ord") > F.col("lead")).select(*whole))
+        differ = differ.where(F.col("ord") == F.col("lead"))
+    back = differ.select("h", "seg", "t1", "t2", start.alias("first")).join(spans.select("h", "seg", pair.alias("s")), ["h", "seg"])
+    return out.unionByName(back.select("t1", "t2", (F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b")).alias("b")))
 
 
-def _with_spans(docs: DataFrame, text: str, length: int, array_runs: int) -> DataFrame:
+def _with_spans(docs: DataFrame, text: str, length: int, array_runs: int, first_by: str | None) -> DataFrame:
     """docs with rookery_spans: the starts of repeated strings, flat first and last; null where there are none."""
-    found = _by_text(docs, text, length, array_runs).distinct()
+    t1, t2 = text_hash(F.col(text))
+    order = None
+    if first_by is not None:
+        order = stored(docs.select(F.col(first_by).alias("k"), t1, t2).groupBy("t1", "t2").agg(F.min("k").alias("first_key")), "order")
+    found = _by_text(docs, text, length, array_runs, order).distinct()
     by_text = found.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("s"))
     flat = F.flatten(F.transform("s", lambda x: F.array(x["a"], x["b"]))).alias("rookery_spans")
-    t1, t2 = text_hash(F.col(text))
     keyed = docs.withColumns({"rookery_t1": t1, "rookery_t2": t2})
     by_text = by_text.select(F.col("t1").alias("rookery_t1"), F.col("t2").alias("rookery_t2"), flat)
-    return keyed.join(by_text, ["rookery_t1", "rookery_t2"], "left").drop("rookery_t1", "rookery_t2")
+    out = keyed.join(by_text, ["rookery_t1", "rookery_t2"], "left")
+    if order is not None:  # rows of a text that have not its least key are copies as a whole
+        order = order.select(F.col("t1").alias("rookery_t1"), F.col("t2").alias("rookery_t2"), F.col("first_key").alias("rookery_first"))
+        copy = ~F.col("rookery_first").eqNullSafe(F.col(f"`{first_by}`")) & (F.octet_length(F.col(f"`{text}`")) >= length)
+        all_of = F.array(F.lit(0).cast("bigint"), (F.octet_length(F.col(f"`{text}`")) - length).cast("bigint"))
+        out = out.join(order, ["rookery_t1", "rookery_t2"], "left").withColumn("rookery_spans", F.when(copy, all_of).otherwise(F.col("rookery_spans"))).drop("rookery_first")
+    return out.drop("rookery_t1", "rookery_t2")
 
 
 def _removed(data: bytes, starts, length: int) -> tuple[list[tuple[int, int]], bytes]:
@@ -405,9 +438,12 @@ def _removed(data: bytes, starts, length: int) -> tuple[list[tuple[int, int]], b
     return gone, b"".join(kept) + data[at:]
 
 
-def repeated_bytes(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", array_runs: int = 3000, with_spans: bool = False) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) and, if asked for, the removed ranges as flat starts and ends."""
-    rows = _with_spans(docs.select(F.col(key), F.col(text)), text, length, array_runs)
+def repeated_bytes(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", array_runs: int = 3000, with_spans: bool = False, keep_first: bool = False) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) and, if asked for, the removed ranges as flat starts and ends.
+
+    With keep_first the first copy of each string stays: that of the text with the least key, then of the earliest place.
+    """
+    rows = _with_spans(docs.select(F.col(key), F.col(text)), text, length, array_runs, key if keep_first else None)
     schema = f"{key} {dict(rows.dtypes)[key]}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", removed array<bigint>" * with_spans
 
     def work(batches):
@@ -424,11 +460,12 @@ def repeated_bytes(docs: DataFrame, length: int = 200, key: str = "doc_id", text
     return rows.select(key, text, "rookery_spans").mapInArrow(work, schema)
 
 
-def without_repeats(docs: DataFrame, length: int = 200, text: str = "text", chars: str | None = "n_chars", array_runs: int = 3000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 200, text: str = "text", chars: str | None = "n_chars", array_runs: int = 3000, keep_first_by: str | None = None) -> DataFrame:
     """The documents with all their columns, repeated strings removed from the text (bytes of a character cut apart go too),
-    its number of characters set anew; a document of which nothing but white space stays, though it had more, is dropped."""
+    its number of characters set anew; a document of which nothing but white space stays, though it had more, is dropped.
+    With keep_first_by, a key column, the first copy of each string stays, by that key."""
     names = docs.columns
-    rows = _with_spans(docs, text, length, array_runs).select(*(F.col(f"`{c}`") for c in names), "rookery_spans")
+    rows = _with_spans(docs, text, length, array_runs, keep_first_by).select(*(F.col(f"`{c}`") for c in names), "rookery_spans")
     at, count = names.index(text), names.index(chars) if chars in names else None
 
     def work(batches):

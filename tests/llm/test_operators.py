@@ -329,6 +329,27 @@ def test_repeated_bytes(spark, runs):
     assert [got[i] for i in range(len(texts))] == [w[:4] for w in repeats_brute(texts, 200)]
 
 
+def first_copies_brute(texts, length):
+    """Kept bytes of each text if the first copy of every string stays."""
+    seen, out = set(), []
+    for t in texts:
+        d = (t or "").encode()
+        hit = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if d[i : i + length] in seen:
+                hit[i : i + length] = b"\1" * length
+            seen.add(d[i : i + length])
+        out.append(bytes(x for x, h in zip(d, hit, strict=True) if not h))
+    return out
+
+
+@pytest.mark.parametrize("runs", [3000, 1])
+def test_first_copies_stay(spark, runs):
+    texts = repeat_texts()
+    got = {r.doc_id: r.kept_sha256 for r in suffixdedup.repeated_bytes(frame(spark, texts), array_runs=runs, keep_first=True).collect()}
+    assert [got[i] for i in range(len(texts))] == [hashlib.sha256(k).hexdigest() for k in first_copies_brute(texts, 200)]
+
+
 def test_without_repeats(spark):
     texts = repeat_texts()
     docs = frame(spark, texts)
