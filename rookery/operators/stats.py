@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import capacity, format_bytes
+from ..workdir import shared_folder
 
 #: Upper edges of the histograms in seconds, fixed values.
 HISTOGRAMS = {
@@ -33,8 +34,13 @@ def author_rank_sample(events: DataFrame) -> DataFrame:
 
 
 def at_ranks(rows: DataFrame, order: list[str], places: list[int]) -> DataFrame:
-    """The rows at the given places (from 0) of an order, with their rank."""
-    held = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    """The rows at the given places (from 0) of an order, with their rank.
+
+    The ranges are written once: range bounds come from a sample, so a second evaluation might draw them elsewhere.
+    """
+    spark, path = rows.sparkSession, shared_folder(rows.sparkSession, "ranges")
+    rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    held = spark.read.parquet(path)
     sizes = {r["_part"]: r["count"] for r in held.groupBy("_part").count().collect()}
     start, wanted = 0, []
     for part in sorted(sizes):
