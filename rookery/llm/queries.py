@@ -73,4 +73,9 @@ QUERIES = {
         op10_quality_rules,
     )
 }
-ORACLE_SQL = {"op1_url_filters": sql.OP1, "op7_decontamination": sql.OP7}
+ORACLE_SQL = {
+    "op1_url_filters": sql.OP1,
+    "op5_html_extraction": sql.OP5,
+    "op7_decontamination": sql.OP7,
+    "op9_suffix_array_dedup": sql.OP9,
+}
