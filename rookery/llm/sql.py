@@ -64,7 +64,9 @@ OP5 = """
 WITH articles AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*)</article>', 1) AS a FROM pages),
 parted AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(a, '(?s)<!--.*?-->', '', 'g'), '<br[^>]*>', ' ', 'g'),
     '</?(?:p|h[1-6]|ul|ol|li|div|section|table|tr|td|th|blockquote|pre|article)\\b[^>]*>', chr(1), 'g'), chr(1)) AS parts FROM articles),
-plain AS (SELECT page_id, url, list_transform(parts, lambda p: trim(regexp_replace(replace(replace(replace(replace(replace(replace(
-    regexp_replace(p, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS parts FROM parted),
+bare AS (SELECT page_id, url, list_transform(parts, lambda p: regexp_replace(p, '<[^>]*>', '', 'g')) AS parts FROM parted),
+known AS (SELECT page_id, url, list_transform(parts, lambda p: regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    p, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#39;?', '''', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g')) AS parts FROM bare),
+plain AS (SELECT page_id, url, list_transform(parts, lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))) AS parts FROM known),
 joined AS (SELECT page_id, url, coalesce(array_to_string(list_filter(parts, lambda p: p <> ''), chr(10)), '') AS text FROM plain)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM joined"""
