@@ -8,10 +8,9 @@ live keys. A bounded alternative with other semantics is `bounded_dedup`.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import is_ephemeral, is_replaceable, route_key
 from ..model import EVENT_SCHEMA
@@ -22,6 +21,7 @@ from ..plans.persistence import append_ops
 from ..sources.filters import Filter
 from ..sources.parse import events_of
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _OUT = "seq long, id string, outcome string, replaced_id string, raw string"
 
 
@@ -38,31 +38,38 @@ def read_frame_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.text(path).withColumnRenamed("value", "frame")
 
 
+class _Cell(StatefulProcessor):
+    """The live id of one route key."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "id string")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        known = self.held.get()
+        before = held = known[0] if known else None
+        for r in sorted(rows, key=lambda r: r.seq):
+            outcome, gone = "duplicate", None
+            if r.passing:
+                outcome = "ephemeral"
+            elif r.id != held:
+                outcome, gone, held = "stored", held if r.replaceable else None, r.id
+            yield Row(seq=r.seq, id=r.id, outcome=outcome, replaced_id=gone, raw=r.raw)
+        if held != before:
+            self.held.update((held,))
+
+    def close(self) -> None:
+        pass
+
+
 def outcome_stream(log: DataFrame) -> DataFrame:
     """(seq, id, outcome, replaced_id, raw) of every arrival, as the batch operator `outcomes` gives them.
 
-    State: the live id of each route key. Within a micro-batch a key's rows are applied by seq. An ephemeral event has its own
-    key and leaves no state.
+    State: the live id of each route key, in RocksDB, so it may exceed memory. Within a micro-batch a key's rows are applied by
+    seq. An ephemeral event has its own key and leaves no state.
     """
-
-    def apply(key, frames, state: GroupState):
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        held = state.get[0] if state.exists else None
-        out = []
-        for seq, id_, raw, passing, replaceable in zip(rows["seq"], rows["id"], rows["raw"], rows["passing"], rows["replaceable"], strict=True):
-            if passing:
-                out.append((seq, id_, "ephemeral", None, raw))
-            elif id_ == held:
-                out.append((seq, id_, "duplicate", None, raw))
-            else:
-                out.append((seq, id_, "stored", held if replaceable else None, raw))
-                held = id_
-        if held is not None:
-            state.update((held,))
-        yield pd.DataFrame(out, columns=["seq", "id", "outcome", "replaced_id", "raw"], dtype=object)
-
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rows = log.select("seq", "id", "raw", is_ephemeral("kind").alias("passing"), is_replaceable("kind").alias("replaceable"), route_key("id", "pubkey", "kind", "tags").alias("route"))
-    return rows.groupBy("route").applyInPandasWithState(apply, _OUT, "held string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("route").transformWithState(_Cell(), _OUT, "Append", "None")
 
 
 def bounded_dedup(log: DataFrame, time_column: str, delay: str) -> DataFrame:
