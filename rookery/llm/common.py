@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 import re
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The folder that holds the package.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Bytes of text that are split into words at a time, so that one very long text needs little memory.
 BLOCK_BYTES = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -51,7 +54,9 @@ def dropped(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python in Arrow batches; these bounds keep a batch of long texts small."""
+    """Before texts go to Python: keeps Arrow batches of long texts small, and puts this package on the workers' path wherever
+    the driver was started."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
