@@ -1,15 +1,25 @@
 """HTML extraction by equivalence-class template deduction.
 
-A page's tokens are its tags, told apart by their path of tags, classes and ids, and its text blocks outside an article.
-Tokens of a host's pages that have the same occurrence vector (how often on which page) form an equivalence class; tokens of a
-class that stands on enough pages belong to the host's template. As a tag token holds its path, classes nest as their tags do.
-What lies between template tokens are slots. A slot holds main text unless its tags say otherwise (menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments); on a page with an article or a main element only slots inside it
-hold main text, on others template text and slots made mostly of links do not either.
+A page's tokens are its tags, told apart by their path of tags, classes and ids, and its text blocks, told apart by their path
+and text, inside articles as well. Tokens of a host's pages that have the same occurrence vector (how often on which page) form an
+equivalence class. A class is valid if
+
+* it stands on more than `share` of the host's pages,
+* it has `least_tokens` tokens, one of them a tag,
+* its tokens come in the same order on every page, over and over where it occurs more than once,
+* it nests: of two classes, every occurrence of one lies in one gap between the other's tokens; of two that do not, the one on
+  fewer pages (then the smaller, then the one of the larger hash) is invalid.
+
+Text of a valid class is template text and goes, inside an article or a main element too. What lies between the tokens of a valid
+class are its slots; a text belongs to the slot that the nearest valid token before it opens. A slot holds no main text if over
+half of its characters on all of the host's pages are aside (menus, headers, footers, sidebars, notices, adverts, forms, reader
+comments, by tag or by a fixed list of words) or in blocks made mostly of links; else its blocks are judged one by one by the same
+signs. On a page with an article or a main element only what is inside it is main text.
 
 No host's pages are brought together: an occurrence vector is represented by its number of pages and two sums over pages of
-a hash of page and count, which add up map-side. A template has a bounded size (a token must be on `share` of the host's
-pages, so at most tokens-per-page / share can be), and goes to the pages by a join on the host, broadcast while all
+a hash of page and count, which add up map-side. A second pass adds up each class's least and greatest hash of order, the
+pairs of classes that do not nest and the characters of slots. A template has a bounded size (a token must be on `share` of the
+host's pages, so at most tokens-per-page / share can be), and goes to the pages by a join on the host, broadcast while all
 templates together are below `broadcast_tokens`.
 
 Defined results: null or empty html gives the empty text; a null url, or one without a host, belongs to the empty host; a host
@@ -20,6 +30,7 @@ a row; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -68,11 +79,11 @@ def _label(name: str, rest: str) -> tuple[str, bool]:
     return ".".join([name, *sorted(w for w in set(words) if not any(c.isdigit() for c in w))]), aside
 
 
-def blocks(html: str) -> Iterator[tuple[str, str, bool, bool, bool, float]]:
+def blocks(html: str) -> Iterator[tuple[str, str, bool, bool, bool, float, str]]:
     """(kind, token, ...) of a page in order.
 
     ("tag", path, ...) for each tag that is not inline; ("text", text, aside, inside an article, inside main, share of its
-    characters in links) for each block of text, white space turned into one space, trimmed, not empty.
+    characters in links, path) for each block of text, white space turned into one space, trimmed, not empty.
     """
     stack: list[tuple[str, str, bool]] = []
     text: list[str] = []
@@ -86,7 +97,7 @@ def blocks(html: str) -> Iterator[tuple[str, str, bool, bool, bool, float]]:
         if whole:
             names = [s[0] for s in stack]
             aside = any(s[2] for s in stack) or ("header" in names and "article" not in names[: names.index("header")])
-            yield "text", whole, aside, "article" in names, "main" in names, min(1.0, part / len(whole))
+            yield "text", whole, aside, "article" in names, "main" in names, min(1.0, part / len(whole)), stack[-1][1] if stack else ""
 
     for m in _TOKEN.finditer(html):
         if m.start() < at:
@@ -130,7 +141,7 @@ def blocks(html: str) -> Iterator[tuple[str, str, bool, bool, bool, float]]:
                 break
         label, aside = _label(name, rest)
         path = f"{stack[-1][1]}/{label}" if stack else label
-        yield "tag", path, aside, False, False, 0.0
+        yield "tag", path, aside, False, False, 0.0, path
         if name not in VOID and not rest.endswith("/"):
             stack.append((name, path, aside))
     if at < len(html) and skip is None:
@@ -138,29 +149,80 @@ def blocks(html: str) -> Iterator[tuple[str, str, bool, bool, bool, float]]:
     yield from flush()
 
 
-def token_hash(kind: str, value: str) -> int:
-    return xxhash.xxh64_intdigest(value, 1 if kind == "tag" else 2) >> 1
+def token_hash(kind: str, value: str, path: str = "") -> int:
+    """Texts have even hashes, tags odd ones."""
+    if kind == "tag":
+        return xxhash.xxh64_intdigest(value, 1) >> 1 | 1
+    return xxhash.xxh64_intdigest(f"{path}\0{value}", 2) >> 2 << 1
 
 
 def page_tokens(html: str | None) -> dict[int, int]:
-    """How often each token stands on the page; text inside an article is no token."""
+    """How often each token stands on the page."""
     out: dict[int, int] = {}
-    for kind, value, _, article, main, _ in blocks(html or ""):
-        if not (article or main):
-            h = token_hash(kind, value)
-            out[h] = out.get(h, 0) + 1
+    for kind, value, _, _, _, _, path in blocks(html or ""):
+        h = token_hash(kind, value, path)
+        out[h] = out.get(h, 0) + 1
     return out
 
 
-def main_text(html: str | None, template: set[int]) -> str:
-    """Main text of a page: the blocks in the slots that hold it, in page order, joined by newlines."""
-    found = [(value, aside, article, main, link) for kind, value, aside, article, main, link in blocks(html or "") if kind == "text"]
-    if any(article and not aside for _, aside, article, _, _ in found):
+def _not_nested(a: list[int], m: int, b: list[int], n: int) -> bool:
+    """Whether neither class, given by its places and number of tokens, has all its occurrences in gaps of the other."""
+    within = lambda x, k, y: all(bisect_left(y, x[i]) == bisect_left(y, x[i + k - 1]) for i in range(0, len(x), k))
+    return not (within(a, m, b) or within(b, n, a))
+
+
+def page_classes(html: str | None, class_of: dict[int, int], sizes: dict[int, int]) -> tuple[dict[int, int], set[tuple[int, int]], dict[tuple[int, int], list[int]]]:
+    """Of the classes on a page: a hash of the order of each (-1: it has none), pairs that do not nest, and by (class, slot) the
+    characters of the texts that are in no class, and those of them that are no main text."""
+    places: dict[int, list[int]] = {c: [] for c in sizes}
+    order: dict[int, list[int]] = {c: [] for c in sizes}
+    slots: dict[tuple[int, int], list[int]] = {}
+    for at, (kind, value, aside, article, main, link, path) in enumerate(blocks(html or "")):
+        h = token_hash(kind, value, path)
+        c = class_of.get(h)
+        if c is not None:
+            places[c].append(at)
+            order[c].append(h)
+        elif kind == "text":
+            off = aside or (link > 0.5 and not (article or main))
+            for c, seen in places.items():
+                s = slots.setdefault((c, (len(seen) - 1) % sizes[c] if seen else -1), [0, 0])
+                s[0] += len(value)
+                s[1] += len(value) * off
+    signs = {}
+    for c, seen in order.items():
+        once = seen[: sizes[c]]
+        if seen:
+            ordered = len(set(once)) == sizes[c] and seen == once * (len(seen) // sizes[c])
+            signs[c] = xxhash.xxh64_intdigest(np.array(once, np.int64).tobytes()) >> 1 if ordered else -1
+    good = [c for c, sign in signs.items() if sign >= 0]
+    crossed = {(min(a, b), max(a, b)) for i, a in enumerate(good) for b in good[:i] if _not_nested(places[a], sizes[a], places[b], sizes[b])}
+    return signs, crossed, slots
+
+
+def main_text(html: str | None, template: dict[int, int] | set[int], sizes: dict[int, int] | None = None, shut: set[tuple[int, int]] | frozenset = frozenset()) -> str:
+    """Main text of a page: the blocks in the slots that hold it, in page order, joined by newlines.
+
+    The template gives the class of each token of valid classes, sizes the classes' numbers of tokens, shut the (class, slot)
+    that hold no main text."""
+    found, seen, last = [], dict.fromkeys(sizes or (), 0), None
+    for kind, value, aside, article, main, link, path in blocks(html or ""):
+        h = token_hash(kind, value, path)
+        if h in template:
+            if sizes:
+                last = template[h]
+                seen[last] += 1
+        elif kind == "text":
+            off = last is not None and (last, (seen[last] - 1) % sizes[last]) in shut
+            found.append((value, aside or off, article, main, link))
+        if kind == "text" and h in template:
+            found.append((value, True, article, main, link))
+    if any(article for _, _, article, _, _ in found):
         kept = [v for v, aside, article, _, _ in found if article and not aside]
-    elif any(main and not aside for _, aside, _, main, _ in found):
+    elif any(main for _, _, _, main, _ in found):
         kept = [v for v, aside, _, main, _ in found if main and not aside]
     else:
-        kept = [v for v, aside, _, _, link in found if not aside and link <= 0.5 and token_hash("text", v) not in template]
+        kept = [v for v, aside, _, _, link in found if not aside and link <= 0.5]
     return "\n".join(kept)
 
 
@@ -189,28 +251,107 @@ def token_statistics(pages: DataFrame, url: str, html: str) -> DataFrame:
     return counted.groupBy("host", "token").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("on_pages").alias("on_pages"))
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = 3, share: float = 0.05) -> DataFrame:
-    """(host, template): the tokens of each host's valid equivalence classes, by class from the one on most pages."""
+def candidates(pages: DataFrame, url: str, html: str, least_pages: int, share: float, least_tokens: int) -> DataFrame:
+    """(host, classes): (on_pages, id, tokens) of each host's classes that stand on enough pages and have enough tokens, with a tag."""
     known = stored(token_statistics(pages, url, html).where(F.col("on_pages") >= least_pages), "tokens")
     hosts = known.where("token = -1").select("host", F.col("on_pages").alias("pages"))
-    frequent = known.where("token <> -1").join(hosts, "host").where(F.col("on_pages") >= share * F.col("pages"))
+    frequent = known.where("token <> -1").join(hosts, "host").where(F.col("on_pages") > share * F.col("pages"))
     classes = frequent.groupBy("host", "s1", "s2", "on_pages").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("on_pages")).alias("order"), "tokens")))
-    return classes.groupBy("host").agg(F.flatten(F.transform(ordered, lambda c: c["tokens"])).alias("template"))
+    classes = classes.where((F.size("tokens") >= least_tokens) & F.exists("tokens", lambda t: t % 2 == 1))
+    return classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("on_pages", F.col("tokens")[0].alias("id"), "tokens"))).alias("classes"))
+
+
+def _joined(pages: DataFrame, by_host: DataFrame, url: str, columns: list, broadcast: bool) -> DataFrame:
+    rows = pages.select(*columns, host_of(F.col(url)).alias("rookery_host"))
+    by_host = by_host.withColumnRenamed("host", "rookery_host")
+    return rows.join(F.broadcast(by_host) if broadcast else by_host, "rookery_host", "left")
+
+
+def templates(
+    pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = 3, share: float = 0.05, least_tokens: int = 2, broadcast_tokens: int = 500_000
+) -> DataFrame:
+    """(host, classes, shut): the tokens of each host's valid equivalence classes, and the (class, slot) that hold no main text; a
+    class is known by its least token."""
+    found = stored(candidates(pages, url, html, least_pages, share, least_tokens), "classes")
+    size = found.agg(F.sum(F.expr("aggregate(classes, 10, (n, c) -> n + size(c.tokens))"))).first()[0] or 0
+    small_batches(pages.sparkSession)
+    rows = _joined(pages, found, url, [F.col(html).alias("rookery_html")], size <= broadcast_tokens).where("classes is not null").select("rookery_host", "rookery_html", "classes")
+
+    def work(batches):
+        known: dict[str, tuple] = {}
+        for b in batches:
+            out: dict[tuple, list[int]] = {}
+            for host, page, classes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if host not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    listed = classes.as_py()
+                    known[host] = {t: c["id"] for c in listed for t in c["tokens"]}, {c["id"]: len(c["tokens"]) for c in listed}
+                signs, crossed, slots = page_classes(page, *known[host])
+                for c, sign in signs.items():
+                    low = out.setdefault((host, "order", c, 0), [sign, sign])
+                    low[:] = min(low[0], sign), max(low[1], sign)
+                for a, z in crossed:
+                    out[host, "crossed", a, z] = [0, 0]
+                for (c, slot), (n, off) in slots.items():
+                    s = out.setdefault((host, "slot", c, slot), [0, 0])
+                    s[0] += n
+                    s[1] += off
+            keys, values = list(out), list(out.values())
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string())]
+            columns += [pa.array([k[i] for k in keys], pa.int64()) for i in (2, 3)] + [pa.array([v[i] for v in values], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["rookery_host", "what", "a", "b", "x", "y"])
+
+    told = rows.mapInArrow(work, "rookery_host string, what string, a bigint, b bigint, x bigint, y bigint")
+    sums = [F.sum(F.when(F.col("what") == "slot", F.col(c))).alias(f"sum_{c}") for c in "xy"]
+    told = told.groupBy("rookery_host", "what", "a", "b").agg(F.min("x").alias("min_x"), F.max("y").alias("max_y"), *sums)
+    ordered = (F.col("what") == "order") & (F.col("min_x") >= 0) & (F.col("min_x") == F.col("max_y"))
+    shut = (F.col("what") == "slot") & (2 * F.col("sum_y") > F.col("sum_x"))
+    told = told.groupBy(F.col("rookery_host").alias("host")).agg(
+        F.collect_list(F.when(ordered, F.col("a"))).alias("ordered"),
+        F.collect_list(F.when(F.col("what") == "crossed", F.struct("a", "b"))).alias("crossed"),
+        F.collect_list(F.when(shut, F.struct("a", "b"))).alias("shut"),
+    )
+    whole = found.join(told, "host").select("host", "classes", "ordered", "crossed", "shut")
+    schema = "host string, classes array<struct<id: bigint, tokens: array<bigint>>>, shut array<struct<a: bigint, b: bigint>>"
+
+    def valid(batches):
+        for b in batches:
+            hosts, kept_of, shut_of = b.column(0).to_pylist(), [], []
+            for classes, ordered, crossed, shut in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                bad = {frozenset((p["a"], p["b"])) for p in crossed}
+                kept: list[dict] = []
+                for c in sorted(classes, key=lambda c: (-c["on_pages"], -len(c["tokens"]), c["id"])):
+                    if c["id"] in ordered and not any(frozenset((c["id"], k["id"])) in bad for k in kept):
+                        kept.append({"id": c["id"], "tokens": c["tokens"]})
+                ids = {k["id"] for k in kept}
+                kept_of.append(kept)
+                shut_of.append([p for p in shut if p["a"] in ids])
+            types = [pa.list_(pa.struct([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(kept_of, types[0]), pa.array(shut_of, types[1])], ["host", "classes", "shut"])
+
+    return whole.mapInArrow(valid, schema)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", broadcast_tokens: int = 500_000, **more) -> DataFrame:
     """(key, url, text, n_chars) of every page."""
-    found = stored(templates(pages, url, html, **more), "templates")
-    size = found.agg(F.sum(F.size("template") + F.lit(10))).first()[0] or 0
+    found = stored(templates(pages, url, html, broadcast_tokens=broadcast_tokens, **more), "templates")
+    size = found.agg(F.sum(F.expr("aggregate(classes, 10 + size(shut), (n, c) -> n + size(c.tokens))"))).first()[0] or 0
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col(key), F.col(url), F.col(html), host_of(F.col(url)).alias("rookery_host"))
-    by_host = found.withColumnRenamed("host", "rookery_host")
-    rows = rows.join(F.broadcast(by_host) if size <= broadcast_tokens else by_host, "rookery_host", "left").select(key, url, html, "template")
+    rows = _joined(pages, found, url, [F.col(key), F.col(url), F.col(html)], size <= broadcast_tokens).select(key, url, html, "rookery_host", "classes", "shut")
 
     def work(batches):
+        known: dict[str, tuple] = {}
         for b in batches:
-            texts = [main_text(h.as_py(), set(t.as_py() or ())) for h, t in zip(b.column(2), b.column(3), strict=True)]
+            texts = []
+            for page, host, classes, shut in zip(b.column(2), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+                if host not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    listed = classes.as_py() or []
+                    pairs = {(p["a"], p["b"]) for p in shut.as_py() or ()}
+                    known[host] = {t: c["id"] for c in listed for t in c["tokens"]}, {c["id"]: len(c["tokens"]) for c in listed}, pairs
+                texts.append(main_text(page.as_py(), *known[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [key, url, "text", "n_chars"])
 
     return rows.mapInArrow(work, f"{key} {dict(rows.dtypes)[key]}, {url} string, text string, n_chars bigint")

@@ -207,6 +207,27 @@ def test_templates(spark):
         assert got[20].text == "alone" and got[21].text == ""
 
 
+def test_template_text_goes_inside_an_article(spark):
+    rng = random.Random(51)
+    page = lambda i: f"<body><article><p>Read our magazine</p><div>{words(rng, 20)}</div><p>Tell a friend</p><p>{'Tell a friend' if i == 3 else words(rng, 9)}</p></article></body>"
+    rows = [(i, "http://h.example/x", page(i)) for i in range(12)]
+    got = {r.page_id: r.text for r in htmlextract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, html in rows:
+        own = re.findall(r"<(?:div|p)>([^<]*)<", html)
+        assert "Read our magazine" not in got[i] and own[1] in got[i] and own[3] in got[i], i
+
+
+def test_classes_without_order_or_nesting_are_no_template():
+    h = lambda kind, value, path="": htmlextract.token_hash(kind, value, path)
+    a, b, c, d = (h("tag", f"{x}") for x in ("div.a", "div.b", "div.c", "div.d"))
+    html = lambda names: "".join(f"<div class={n}>x</div>" for n in names)
+    both = {a: 1, b: 1, c: 2, d: 2}
+    signs = lambda names: htmlextract.page_classes(html(names), both, {1: 2, 2: 2})
+    assert signs("abcd")[0] == signs("acdb")[0] != signs("bacd")[0]
+    assert signs("abba")[0] == {1: -1}
+    assert signs("acdb")[1] == signs("abcdab")[1] == set() and signs("acbd")[1] == {(1, 2)}
+
+
 # --- op6 --------------------------------------------------------------------------------------------------------------
 
 
