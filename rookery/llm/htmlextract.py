@@ -4,7 +4,7 @@ A page's tokens are its tags, told apart by their path of tags, classes and ids,
 and text, inside articles as well. Tokens of a host's pages that have the same occurrence vector (how often on which page) form an
 equivalence class. A class is valid if
 
-* it stands on more than `share` of the host's pages,
+* it stands on more than `share` (half) of the host's pages, so that an article copied to some pages of a host is no class,
 * it has `least_tokens` tokens, one of them a tag,
 * its tokens come in the same order on every page, over and over where it occurs more than once,
 * it nests: of two classes, every occurrence of one lies in one gap between the other's tokens; of two that do not, the one on
@@ -268,7 +268,7 @@ def _joined(pages: DataFrame, by_host: DataFrame, url: str, columns: list, broad
 
 
 def templates(
-    pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = 3, share: float = 0.05, least_tokens: int = 2, broadcast_tokens: int = 500_000
+    pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = 3, share: float = 0.5, least_tokens: int = 2, broadcast_tokens: int = 500_000
 ) -> DataFrame:
     """(host, classes, shut): the tokens of each host's valid equivalence classes, and the (class, slot) that hold no main text; a
     class is known by its least token."""

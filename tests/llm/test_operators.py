@@ -228,6 +228,16 @@ def test_classes_without_order_or_nesting_are_no_template():
     assert signs("acdb")[1] == signs("abcdab")[1] == set() and signs("acbd")[1] == {(1, 2)}
 
 
+def test_copies_on_pages_made_of_divs_stay(spark):
+    rng = random.Random(52)
+    own = [f"text {words(rng, 30)}" for _ in range(40)]
+    for k in (7, 8):
+        own[k] = own[6]
+    rows = [(i, "http://h.example/x", f"<body><div><p>Welcome to our site</p></div><div><p>{t}</p><p>{t}</p></div><div><p>All about us</p></div>") for i, t in enumerate(own)]
+    got = {r.page_id: r.text for r in htmlextract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{t}\n{t}" for i, t in enumerate(own)}
+
+
 # --- op6 --------------------------------------------------------------------------------------------------------------
 
 
