@@ -2,8 +2,10 @@
 
 A text becomes the TF-IDF vector of its hashed byte trigrams (square-root term frequency, unit length). Each learnt
 language has several centroids, found by spherical k-means of its training vectors. The language of the centroid with
-the largest cosine wins. A text whose best cosine is below its language's distance bound is rejected; the bound lies far
-below the least cosine of any training text with as many trigrams, so that only what resembles no learnt language goes.
+the largest cosine wins. A text whose best cosine is below its language's distance bound for its number of trigrams is rejected.
+The bounds are half of the 1% quantile of the cosines between each half of the language's training texts and centroids of the
+other half, by powers of two of the number of trigrams; neighbouring powers are added until they hold `AT_LEAST` texts. A language
+of a single training text has the bound zero.
 
 Bound of the fit: about `max_rows` documents, shared equally by the languages (a hash of the id chooses them), whole
 texts; prediction reads every whole text.
@@ -28,6 +30,9 @@ _SHIFT = np.uint32(32 - DIMS.bit_length() + 1)
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 BLOCK = 1 << 20
 HASHES = 1_000_003
+#: Training texts that a distance bound rests on, where the language has as many; powers of two of the number of trigrams.
+AT_LEAST = 50
+POWERS = 48
 _MULT = np.uint32(2654435761)
 
 
@@ -47,9 +52,13 @@ def counts(text: str | None) -> np.ndarray:
     return total
 
 
+def power(n: np.ndarray) -> int:
+    return min(POWERS - 1, int(n.sum(dtype=np.int64)).bit_length())
+
+
 class Centroids:
-    def __init__(self, langs: list[str], idf: np.ndarray, centres: np.ndarray, of: np.ndarray, floor: float):
-        self.langs, self.idf, self.centres, self.of, self.floor = langs, idf, centres, of, floor
+    def __init__(self, langs: list[str], idf: np.ndarray, centres: np.ndarray, of: np.ndarray, bounds: np.ndarray):
+        self.langs, self.idf, self.centres, self.of, self.bounds = langs, idf, centres, of, bounds
 
     def vector(self, n: np.ndarray) -> np.ndarray:
         v = np.sqrt(n, dtype=np.float32) * self.idf
@@ -60,36 +69,55 @@ class Centroids:
         """(language, cosine between 0 and 1, rejected)"""
         if not self.langs or not has_letter(text):
             return "und", 0.0, True
-        cosines = self.centres @ self.vector(counts(text))
+        n = counts(text)
+        cosines = self.centres @ self.vector(n)
         best = int(np.argmax(cosines))
         score = float(min(1.0, max(0.0, cosines[best])))
-        return self.langs[self.of[best]], score, score < self.floor
+        return self.langs[self.of[best]], score, score < float(self.bounds[self.of[best], power(n)])
 
 
 def fit(rows: list[tuple[str, np.ndarray]], per_lang: int = 3, rounds: int = 8) -> Centroids:
     """From (language, trigram counts) of the training documents."""
     if not rows:
-        return Centroids([], np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), 0.0)
+        return Centroids([], np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros((0, POWERS)))
     langs = sorted({x for x, _ in rows})
     seen = np.zeros(DIMS)
     for _, n in rows:
         seen += n > 0
     idf = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
-    shape = Centroids(langs, idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), 0.0)
-    centres, of = [], []
+    shape = Centroids(langs, idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros((0, POWERS)))
+    centres, of, bounds = [], [], []
     for k, lang in enumerate(langs):
         x = np.stack([shape.vector(n) for y, n in rows if y == lang])
-        order = np.argsort(-(x @ x.mean(axis=0)), kind="stable")
-        c = x[order[np.linspace(0, len(x) - 1, min(per_lang, len(x))).astype(int)]]
-        for _ in range(rounds):
-            near = np.argmax(x @ c.T, axis=1)
-            c = np.stack([_unit(x[near == j].sum(axis=0)) if (near == j).any() else c[j] for j in range(len(c))])
+        c = _centres(x, per_lang, rounds)
         centres += list(c)
         of += [k] * len(c)
-    out = Centroids(langs, idf, np.stack(centres), np.array(of), 0.0)
-    best = np.array([max(out.centres[out.of == langs.index(y)] @ out.vector(n)) for y, n in rows])
-    out.floor = float(best.min() / 4)
-    return out
+        bounds.append(_bounds(x, np.array([power(n) for y, n in rows if y == lang]), per_lang, rounds))
+    return Centroids(langs, idf, np.stack(centres), np.array(of), np.stack(bounds))
+
+
+def _centres(x: np.ndarray, per_lang: int, rounds: int) -> np.ndarray:
+    """Spherical k-means of unit vectors."""
+    order = np.argsort(-(x @ x.mean(axis=0)), kind="stable")
+    c = x[order[np.linspace(0, len(x) - 1, min(per_lang, len(x))).astype(int)]]
+    for _ in range(rounds):
+        near = np.argmax(x @ c.T, axis=1)
+        c = np.stack([_unit(x[near == j].sum(axis=0)) if (near == j).any() else c[j] for j in range(len(c))])
+    return c
+
+
+def _bounds(x: np.ndarray, powers: np.ndarray, per_lang: int, rounds: int) -> np.ndarray:
+    """The least cosine that is not rejected, by power of two of the number of trigrams."""
+    if len(x) < 2:
+        return np.zeros(POWERS)
+    best = np.zeros(len(x))
+    for half in (0, 1):
+        best[half::2] = (x[half::2] @ _centres(x[1 - half :: 2], per_lang, rounds).T).max(axis=1)
+    out, apart = [], np.abs(powers[:, None] - np.arange(POWERS))
+    for p in range(POWERS):
+        width = np.sort(apart[:, p])[min(AT_LEAST, len(x)) - 1]
+        out.append(np.quantile(best[apart[:, p] <= width], 0.01) / 2)
+    return np.maximum(out, 0.0)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:

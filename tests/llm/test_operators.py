@@ -328,6 +328,21 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.languages(docs.where("false or lang is null")).collect()} == {"und"}
 
 
+def test_texts_of_no_learnt_language_are_rejected(spark):
+    rng = random.Random(53)
+    syllables = {"aa": "ka lo mi ra to ve sa ni", "bb": "zwe schu bli sta rk ung ei ich"}
+    vocabulary = {k: ["".join(rng.choices(v.split(), k=rng.randrange(1, 4))) for _ in range(150)] for k, v in syllables.items()}
+    clean = [(i, " ".join(rng.choices(vocabulary["ab"[i % 2] * 2], k=rng.randrange(4, 200))), "ab"[i % 2] * 2, "s", 1) for i in range(400)]
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem " * 3
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki " * 3
+    noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10))) for _ in range(300))
+    docs = spark.createDataFrame(clean + [(1000 + i, t, None, "s", 1) for i, t in enumerate([polish, finnish, noise])], DOCS)
+    got = {r.doc_id: r.rejected for r in langid.languages(docs).collect()}
+    assert [got[1000 + i] for i in range(3)] == [True] * 3 and not any(got[i] for i in range(400))
+    kept = langid.only_known(docs, langid.learn(docs))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(400))
+
+
 # --- op9 --------------------------------------------------------------------------------------------------------------
 
 
