@@ -73,18 +73,21 @@ def text_hash(text: Column) -> list[Column]:
 
 
 def word_blocks(data: bytes, carry: int) -> Iterator[list[bytes]]:
-    """Words between white space, in blocks of about BLOCK_BYTES; each block starts with the last `carry` words before it."""
+    """Words between white space, in blocks of about BLOCK_BYTES; each block starts with the last `carry` words before it and has
+    more than those, unless the whole text has no more."""
     if len(data) <= BLOCK_BYTES:
         yield data.split()
         return
-    at, last = 0, []
+    at, last, new = 0, [], 0
     while at < len(data):
         cut = _SPACE.search(data, at + BLOCK_BYTES)
         end = cut.end() if cut else len(data)
-        words = last + data[at:end].split()
-        if len(words) > len(last):
+        more = data[at:end].split()
+        words, new, at = last + more, new + len(more), end
+        if new and (len(words) > carry or at >= len(data)):
             yield words
-        last, at = words[-carry:] if carry else [], end
+            new, words = 0, words[-carry:] if carry else []
+        last = words
 
 
 def crc_mod(column, n: int):

@@ -123,6 +123,11 @@ def test_simhash(spark):
     assert simhash.simhash_groups(frame(spark, texts).limit(0), 3, 2).count() == 0
 
 
+def test_fingerprint_of_a_text_whose_first_block_is_short():
+    for text in ("x" * ((1 << 20) + 9) + " a b c d e", "a " + "x" * (1 << 20) + " b " + "y" * (1 << 20) + " c", "one " + " " * (1 << 21) + "two"):
+        assert simhash.fingerprint(text, 3) == fingerprint_brute(text), text[:3]
+
+
 def test_simhash_odd_rows(spark):
     docs = frame(spark, ["a b c d", "a b c d", "x y z", "x y z"], [7, 7, None, None])
     assert Counter(r.doc_id for r in simhash.one_of_each_group(docs, 3, 2).collect()) == {7: 1, None: 1}
