@@ -6,6 +6,11 @@ radius of each other (triangle inequality), so a star to their least one keeps e
 bucket without all its pairs, and a bucket has 65 distinct fingerprints at most for radius 2 however many documents
 carry them. Links are deduplicated and verified by their differing bits.
 
+`near_copies` is for a stage that must find near copies by the similarity of their shingles: two bits of radius lose most pairs of
+Jaccard similarity 0.8, so blocks of minimal hashes give candidates beside the balls, and each candidate is checked by the exact
+Jaccard similarity of the two sets of shingles. Under a block each set meets the least, the greatest and the one before it, so a
+block's pairs are never all made; pairs that meet in none of their blocks this way stay linked through others, or are lost.
+
 Defined results: null and empty texts and texts without words have fingerprint zero, linked like any
 other; fewer words than a shingle form one shingle; repeated rows each get a row; a null doc_id takes
 no part in the minimum (a component of null ids only has a null component_id); an empty table gives
@@ -14,6 +19,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -26,21 +32,30 @@ from .common import small_batches, stored, text_hash, word_blocks
 from .components import connected_components
 
 
-def fingerprint(text: str | None, shingle_words: int, seed: int = 42) -> int:
-    """64 bits; a bit is 1 if it is set in over half of the shingles' XXH64."""
+def shingle_hashes(text: str | None, shingle_words: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of the text's shingles, in blocks."""
     data = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: A-Z only
-    n, ones = 0, np.zeros(64, np.int64)
     for words in word_blocks(data, shingle_words - 1):
         if len(words) < shingle_words:
             shingles = [b" ".join(words)] if words else []
         else:
             shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle_words))))
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64)
+        yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64)
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in hashes:
         n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little") if n else 0
 
 
+def fingerprint(text: str | None, shingle_words: int, seed: int = 42) -> int:
+    """64 bits; a bit is 1 if it is set in over half of the shingles' XXH64."""
+    return majority(shingle_hashes(text, shingle_words, seed))
+
+
 def fingerprints(docs: DataFrame, shingle_words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, t1, t2, fp): a row for each document, its text's hash, and fp as a signed 64-bit integer."""
     small_batches(docs.sparkSession)
@@ -99,7 +114,10 @@ def simhash_groups(docs: DataFrame, shingle_words: int = 5, radius: int = 2, key
 def one_of_each_group(docs: DataFrame, shingle_words: int = 5, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The row with the least key of every group, with all its columns: a null key comes last, equal keys go by their texts'
     hashes, and of rows that repeat key and text one stays. Texts move once."""
-    fps, labels = _labelled(docs, shingle_words, radius, key, text)
+    return _first_of_groups(docs, *_labelled(docs, shingle_words, radius, key, text), key, text)
+
+
+def _first_of_groups(docs: DataFrame, fps: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
     order = F.struct(F.col("key").isNull().alias("unknown"), "key", "t1", "t2")
     first = fps.join(labels, "fp").groupBy("root", "key", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
     first = first.groupBy("root").agg(F.min(F.struct(order.alias("o"), "n")).alias("x"))
@@ -115,3 +133,82 @@ def one_of_each_group(docs: DataFrame, shingle_words: int = 5, radius: int = 2,
         again = own.join(repeated, same, "left_semi").dropDuplicates([key, "rookery_t1", "rookery_t2"])
         kept = kept.unionByName(again.select(*names))
     return kept
+
+
+BANDS, BAND_ROWS = 20, 5
+_RNG = np.random.default_rng(20240807)
+_FACTORS = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _RNG.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64)
+
+
+def shingle_set(text: str | None, shingle_words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The hashes of all shingles, in blocks, and the distinct ones in order."""
+    hashes = list(shingle_hashes(text, shingle_words))
+    return hashes, np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """A hash of each block of minimal hashes; sets of Jaccard similarity j share a block with probability j ** BAND_ROWS."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 1 << 13):
+        part = own[at : at + (1 << 13)]
+        for k in range(len(least)):
+            x = part * _FACTORS[k] + _TERMS[k]
+            least[k] = min(least[k], (x ^ (x >> np.uint64(29))).min())
+    return np.array([xxhash.xxh64_intdigest(least[i : i + BAND_ROWS].tobytes(), i) for i in range(0, len(least), BAND_ROWS)], np.uint64).view(np.int64)
+
+
+def _sketches(docs: DataFrame, shingle_words: int, key: str, text: str) -> DataFrame:
+    """(key, t1, t2, fp, simhash, bands) of each document; fp is a hash of its set of shingles."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), *text_hash(F.col(f"`{text}`")))
+
+    def work(batches):
+        for b in batches:
+            found = []
+            for t in b.column(1):
+                hashes, own = shingle_set(t.as_py(), shingle_words)
+                found.append((xxhash.xxh64_intdigest(own.tobytes()), majority(hashes), bands(own).tolist()))
+            fp, sim = (pa.array(np.array([f[i] for f in found], np.uint64).view(np.int64)) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), fp, sim, pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["key", "t1", "t2", "fp", "simhash", "bands"])
+
+    return rows.mapInArrow(work, f"key {dict(rows.dtypes)['key']}, t1 bigint, t2 bigint, fp bigint, simhash bigint, bands array<bigint>")
+
+
+def _similar(docs: DataFrame, links: DataFrame, fps: DataFrame, shingle_words: int, similarity: float, text: str) -> DataFrame:
+    """The links (a, b) whose sets of shingles have the Jaccard similarity; sets are made anew from one text each."""
+    wanted = links.select(F.col("a").alias("fp")).union(links.select("b")).distinct()
+    one = fps.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("t1", "t2")).alias("x")).select("fp", F.col("x.t1").alias("t1"), F.col("x.t2").alias("t2"))
+    t1, t2 = text_hash(F.col(f"`{text}`"))
+    rows = docs.select(F.col(f"`{text}`").alias("text"), t1, t2).join(one, ["t1", "t2"]).select("fp", "text")
+
+    def work(batches):
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle_words)[1].view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "own"])
+
+    sets = stored(rows.mapInArrow(work, "fp bigint, own array<bigint>").dropDuplicates(["fp"]), "sets")
+    both = links.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
+    return both.where(F.col("n") >= similarity * (F.col("m") - F.col("n")) - 1e-9).select("a", "b")
+
+
+def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As one_of_each_group, but groups are linked by the Jaccard similarity of their shingles."""
+    fps = stored(_sketches(docs, shingle_words, key, text), "sketches")
+    sets = fps.groupBy("fp").agg(F.first("simhash").alias("simhash"), F.first("bands").alias("bands"))
+    sets = stored(sets, "distinct")
+    rows = sets.select("fp", F.explode("bands").alias("band"))
+    under, order = Window.partitionBy("band"), Window.partitionBy("band").orderBy("fp")
+    met = rows.select("fp", F.array(F.min("fp").over(under), F.max("fp").over(under), F.lag("fp").over(order)).alias("others"))
+    links = met.select("fp", F.explode("others").alias("other"))
+    one = sets.groupBy("simhash").agg(F.min("fp").alias("first"))
+    links = links.unionByName(sets.join(one, "simhash").select("fp", F.col("first").alias("other")))
+    balls = near_links(one.select(F.col("simhash").alias("fp")), radius)
+    first = lambda c, n: one.select(F.col("simhash").alias(c), F.col("first").alias(n))
+    links = links.unionByName(balls.join(first("a", "fp"), "a").join(first("b", "other"), "b").select("fp", "other"))
+    links = links.where("other is not null and other <> fp").select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct()
+    links = stored(links, "candidates")
+    roots = connected_components(_similar(docs, links, fps, shingle_words, similarity, text))
+    labels = sets.select("fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return _first_of_groups(docs, fps.select("key", "t1", "t2", "fp"), stored(labels, "labels"), key, text)

@@ -146,3 +146,23 @@ def test_results_follow_only_the_text(spark, folder):
     other = docs.withColumn("lang", F.when(crc_mod(F.col("doc_id"), 3) == 1, F.lit("zz")).otherwise(F.col("lang"))).withColumn("source", F.lit("q"))
     told = lambda d: sorted(tuple(r) for r in langid.languages(d).collect())
     assert told(docs) == told(other)
+
+
+def test_near_dedup_links_five_word_shingles_by_their_similarity(spark, folder):
+    """Copies of texts with a few words changed: those of similarity 0.8 go, those below stay."""
+    rng = random.Random(21)
+    split = lambda t: t.lower().split()
+    grams = lambda t: {tuple(split(t)[i : i + 5]) for i in range(len(split(t)) - 4)}
+    alike = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    texts = []
+    for k in range(40):
+        base = [f"{rng.choice('abcdefgh')}{rng.randrange(3000)}" for _ in range(300)]
+        near, far = base.copy(), base.copy()
+        for i in range(4):
+            near[10 + 60 * i] = f"near{k}"
+        for i in range(15):
+            far[5 + 19 * i] = f"far{k}"
+        texts += [" ".join(x) for x in (base, near, far)]
+    assert all(alike(texts[i], texts[i + 1]) >= 0.8 > max(alike(texts[i], texts[i + 2]), alike(texts[i + 1], texts[i + 2])) for i in range(0, 120, 3))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, folder[0]).collect()) == [i for i in range(120) if i % 3 != 1]
