@@ -4,7 +4,9 @@ Each template's word shingles are hashed; of every `window` neighbouring hashes
 that shares `shingle + window - 1` words in a row with a template shares a kept fingerprint. The kept fingerprints of all
 templates form an inverted index. All of a text's shingles are looked up; hits on neighbouring diagonals (place in the text
 minus place in the template) form a candidate, and a banded alignment around the diagonal counts the template words that
-stand in the text in order. Matches that cover enough of their template are reported with their span in characters;
+stand in the text in order. What is left of a candidate after a match is aligned again until no match is found. Candidates of one
+template that are no match by themselves are chained, if their diagonals are at most the template's words (and the band) apart,
+and aligned together within their bands, so that a passage put into a notice or missing from it does not hide it. Matches that cover enough of their template are reported with their span in characters;
 of matches that overlap, the one with more matched words stays, then the higher coverage, then the name that sorts first.
 
 The index holds the templates alone, so its size is bounded by theirs; documents are never shuffled.
@@ -17,6 +19,8 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +72,7 @@ class Scanner:
         self.shingle, self.coverage, self.band = shingle, coverage, band
         self.names = sorted(templates)
         self.words = [templates[n].encode("utf-8").translate(_FOLD).split() for n in self.names]
+        self.bags = [Counter(w) for w in self.words]
         self.index: dict[int, list[tuple[int, int]]] = {}
         for t, words in enumerate(self.words):
             hashes = shingle_hashes(words, min(shingle, max(len(words), 1)))
@@ -81,7 +86,7 @@ class Scanner:
         """(template, coverage, matched words, start, end) of each match, in text order; start and end count characters."""
         data = (text or "").encode("utf-8")
         flat, matches, before = data.translate(_FOLD), [], 0  # before: words in earlier blocks
-        carry = 2 * max(map(len, self.words), default=0) + 2 * self.band
+        carry = 3 * max(map(len, self.words), default=0) + 4 * self.band
         for words in word_blocks(flat, carry):
             first = before - min(carry, before)
             matches += [(t, c, m, a + first, b + first) for t, c, m, a, b in self._scan(words)]
@@ -102,44 +107,94 @@ class Scanner:
                 by_template.setdefault(t, []).append((at - place, at))
         for t, hits in by_template.items():
             hits.sort()
-            group: list[int] = []
-            for diagonal, _ in [*hits, (1 << 60, 0)]:
-                if group and diagonal - group[-1] > self.band:
-                    found = self._align(words, t, group[0], group[-1])
-                    if found:
-                        yield (t, *found)
-                    group = []
-                group.append(diagonal)
-
-    def _align(self, words: list[bytes], t: int, low: int, high: int):
-        """Longest common subsequence of the template and the text within `band` of the diagonals low to high."""
+            open_groups: list[list[tuple[int, int]]] = []
+            found: list[tuple[float, int, int, int]] = []
+            for group in _split(hits, self.band):
+                new = list(self._matches(words, t, group))
+                found += new
+                rest = [h for h in group if all(not a <= h[1] < b for _, _, a, b in new)]
+                if rest:
+                    open_groups += _split(rest, self.band)
+            open_groups.sort()
+            for i, first in enumerate(open_groups):
+                reach = first[0][0] + len(self.words[t]) + self.band
+                chain = [g for g in open_groups[i:] if g[0][0] <= reach]
+                if len(chain) > 1:
+                    start, end = chain[0][0][0], chain[-1][-1][0] + len(self.words[t])
+                    new = self._align(words, t, [(g[0][0], g[-1][0]) for g in chain], max(0, start - self.band), end + self.band)
+                    if new:
+                        found.append(new)
+            yield from ((t, *f) for f in found)
+
+    def _matches(self, words: list[bytes], t: int, hits: list[tuple[int, int]]):
+        """All matches around the hits (diagonal, place), which are in order; of a long row of copies some at a time."""
+        size, used = len(self.words[t]), 0
+        while hits:
+            low = hits[0][0]
+            part = [d for d, _ in hits[: bisect_right(hits, (low + size, 1 << 60))]]
+            pieces = [(max(used, low - self.band), part[-1] + size + self.band)]
+            ends = []
+            while pieces:
+                start, end = pieces.pop()
+                new = self._align(words, t, [(low, part[-1])], start, end)
+                if new:
+                    yield new
+                    ends.append(new[3])
+                    pieces += [(start, new[2]), (new[3], end)]
+            if ends:
+                used = max(ends)
+                hits = [h for h in hits if h[1] >= used]
+            else:
+                hits = hits[bisect_right(hits, (max(low, low + size - 2 * self.band), 1 << 60)) :]
+
+    def _align(self, words: list[bytes], t: int, diagonals: list[tuple[int, int]], start: int, end: int):
+        """Longest common subsequence of the template and the words from start to end within `band` of the diagonals, given as
+        ranges from the least to the greatest."""
         own = self.words[t]
-        start = max(0, low - self.band)
-        end = min(len(words), high + len(own) + self.band)
+        start, end = max(0, start), min(len(words), end)
         part = words[start:end]
         width = end - start
+        if not own or width < self.coverage * len(own) or (self.bags[t] & Counter(part)).total() < self.coverage * len(own):
+            return None
         # with the text used up to j: matched words, places of the first and the last of them
         count, first, last = [0] * (width + 1), [-1] * (width + 1), [-1] * (width + 1)
         for i, w in enumerate(own):
-            a = min(width, max(0, low - self.band + i - start))
-            b = max(a, min(width, high + self.band + i - start + 1))
             c, f, z = count[:], first[:], last[:]
-            for j in range(a, b):
-                if part[j] == w and count[j] + 1 > c[j + 1]:
-                    c[j + 1], f[j + 1], z[j + 1] = count[j] + 1, first[j] if count[j] else j, j
-                if c[j] > c[j + 1]:
+            done = 0
+            for low, high in diagonals:
+                a = min(width, max(done, low - self.band + i - start))
+                b = max(a, min(width, high + self.band + i - start + 1))
+                for j in range(done, a):
+                    if c[j] <= c[j + 1]:
+                        break
                     c[j + 1], f[j + 1], z[j + 1] = c[j], f[j], z[j]
-            for j in range(b, width):
+                for j in range(a, b):
+                    if part[j] == w and count[j] + 1 > c[j + 1]:
+                        c[j + 1], f[j + 1], z[j + 1] = count[j] + 1, first[j] if count[j] else j, j
+                    if c[j] > c[j + 1]:
+                        c[j + 1], f[j + 1], z[j + 1] = c[j], f[j], z[j]
+                done = b
+            for j in range(done, width):
                 if c[j] <= c[j + 1]:
                     break
                 c[j + 1], f[j + 1], z[j + 1] = c[j], f[j], z[j]
             count, first, last = c, f, z
         matched = count[width]
-        if not own or matched < self.coverage * len(own):
+        if matched < self.coverage * len(own):
             return None
         return matched / len(own), matched, start + first[width], start + last[width] + 1
 
 
+def _split(hits: list[tuple[int, int]], band: int) -> list[list[tuple[int, int]]]:
+    """Hits in order, parted where neighbouring diagonals are more than `band` apart."""
+    out: list[list[tuple[int, int]]] = []
+    for h in hits:
+        if not out or h[0] - out[-1][-1][0] > band:
+            out.append([])
+        out[-1].append(h)
+    return out
+
+
 def _apart(matches, names):
     """Of overlapping matches the best one."""
     kept = []

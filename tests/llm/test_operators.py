@@ -80,6 +80,27 @@ def test_licenses(spark):
     assert coverage == 1 and far[start:].startswith("Permission to use")
 
 
+def test_every_copy_of_a_short_notice():
+    scan = licenses.Scanner(TEMPLATES).scan
+    line = TEMPLATES["MIT-line"]
+    for text in ((line + "\n") * 7, f"{line} and then {line} or else {line}"):
+        found = scan(text)
+        assert len(found) == text.count(line) and {m[0] for m in found} == {"MIT-line"}
+        assert [text[m[3] : m[4]] for m in found] == [line.rstrip(".")] * len(found)
+
+
+def test_notices_with_a_passage_put_in_or_missing():
+    scan, rng = licenses.Scanner(TEMPLATES).scan, random.Random(54)
+    for name, drop in (("ISC", 0), ("MIT", 20)):
+        w = TEMPLATES[name].split()
+        half = len(w) // 2
+        put_in = " ".join(w[:half] + words(rng, 20).split() + w[half:])
+        missing = " ".join(w[: half - drop // 2] + w[half + drop // 2 :])
+        for text in (put_in, missing):
+            assert [m[0] for m in scan(f"{words(rng, 50)} {text} {words(rng, 50)}")] == [name]
+        assert scan(put_in)[0][1] == 1
+
+
 # --- op3 --------------------------------------------------------------------------------------------------------------
 
 
