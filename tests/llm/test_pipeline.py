@@ -166,3 +166,13 @@ def test_near_dedup_links_five_word_shingles_by_their_similarity(spark, folder):
     assert all(alike(texts[i], texts[i + 1]) >= 0.8 > max(alike(texts[i], texts[i + 2]), alike(texts[i + 1], texts[i + 2])) for i in range(0, 120, 3))
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, folder[0]).collect()) == [i for i in range(120) if i % 3 != 1]
+
+
+def test_suffix_stage_keeps_the_first_copy(spark, folder):
+    rng = random.Random(22)
+    passage = sentence(rng, "en", 60)
+    texts = [f"{sentence(rng, 'de', 30)} {passage} {sentence(rng, 'fr', 30)}" for _ in range(3)]
+    docs = spark.createDataFrame([(9 - i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.suffix_array_dedup(spark, docs, folder[0]).collect()}
+    assert got[7].text == texts[2] and got[7].n_chars == len(texts[2])
+    assert all(passage[50:150] not in got[i].text and got[i].n_chars == len(got[i].text) for i in (8, 9))
