@@ -2,46 +2,47 @@
 
 from __future__ import annotations
 
-import gc
-import os
+import contextlib
+import contextvars
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The folder that holds the package.
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from rookery.workdir import shared_base, shipped
+
 #: Bytes of text that are split into words at a time, so that one very long text needs little memory.
 BLOCK_BYTES = 1 << 20
+#: Bytes of an Arrow batch, where the session has no bound of its own.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Shuffle files go when the query that made them has ended.
+_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
+_scope: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("scope", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='rookery-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared store and reads it back: cuts the lineage, survives lost executors, frees shuffle files."""
+def stored(df: DataFrame, label: str, owned: bool = True) -> DataFrame:
+    """Writes df to the shared store and reads it back: cuts the lineage and survives lost executors; its shuffle files go.
+    The table goes with the scratch() around, if it is owned by it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rookery/{uuid.uuid4().hex}-{label}"
-    df.write.parquet(path)
+    path = f"{shared_base(spark)}/rookery/{uuid.uuid4().hex}-{label}"
+    before = spark.conf.get(_CLEANUP_KEY, None)
+    spark.conf.set(_CLEANUP_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP_KEY) if before is None else spark.conf.set(_CLEANUP_KEY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
+    if owned and (scope := _scope.get()) is not None:
+        scope.append(out)
     return out
 
 
@@ -53,17 +54,46 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Before texts go to Python: keeps Arrow batches of long texts small, and puts this package on the workers' path wherever
-    the driver was started."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end the tables that operators stored inside it. An operator's result reads some of them: write it inside."""
+    token = _scope.set([])
+    try:
+        yield
+    finally:
+        for df in _scope.get():
+            dropped(df)
+        _scope.reset(token)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Before texts go to Python: bounds the bytes of Arrow batches, unless the session has a bound, and sends the package to the workers."""
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    shipped(spark)
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, with a number where df has a column of the name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        own, n = f"rookery_{name}", 0
+        while own.lower() in taken:
+            own, n = f"rookery_{name}_{n}", n + 1
+        taken.add(own.lower())
+        out.append(own)
+    return out
 
 
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key and the text, whatever other columns there are."""
-    small_batches(df.sparkSession)
-    return df.select(F.col(key), F.col(text))
+    bounded_batches(df.sparkSession)
+    return df.select(quoted(key), quoted(text))
 
 
 def text_hash(text: Column) -> list[Column]:
@@ -100,4 +130,9 @@ def sampled(df: DataFrame, rows: int, by: str, have: int | None = None) -> DataF
     have = df.count() if have is None else have
     if have <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(F.lit(7), F.col(by)), F.lit(1_000_003)) < int(1_000_003 * rows / have))
+    return df.where(share_of(F.col(by)) < rows / have)
+
+
+def share_of(column: Column) -> Column:
+    """A number between 0 and 1 by the column's hash, as fine as doubles are."""
+    return F.xxhash64(F.lit(7), column) / F.lit(2.0**64) + F.lit(0.5)

@@ -21,8 +21,9 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import small_batches, stored, word_blocks
+from .common import bounded_batches, free_names, quoted, stored, word_blocks
 
 #: A-Z to a-z; ASCII characters that are neither letter nor digit to a space; all other bytes stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -115,19 +116,21 @@ def word_rarity(docs: DataFrame, words: set[bytes], text: str) -> Counter:
                 counts.update(seen)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    small_batches(spark)
+    bounded_batches(spark)
     counted = docs.select(text).mapInArrow(work, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return Counter({bytes(r["word"]): r["n"] for r in counted.collect()})
 
 
 def marked(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text",
            block_bytes: int = 16 << 20) -> DataFrame:
-    """docs with rookery_words (count), rookery_spans (flat starts and ends of hit words) and rookery_items; no shuffle of docs."""
+    """docs with three columns more, of names that docs does not have: the number of words, flat starts and ends of hit words, and items.
+    No shuffle of docs."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     blocks = item_blocks(items, block_bytes, item, item_text)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    schema = ", ".join([*fields, "rookery_words bigint", "rookery_spans array<bigint>", "rookery_items array<string>"])
+    more = free_names(docs, "words", "spans", "items")
+    kinds = (LongType(), ArrayType(LongType()), ArrayType(StringType()))
+    schema = StructType([*docs.schema.fields, *(StructField(n, k) for n, k in zip(more, kinds, strict=True))])
     out, at, docs_columns = docs, docs.columns.index(text), docs.columns
     for k, block in enumerate(blocks):
         listed = [(r["item"], r["text"]) for r in block.toLocalIterator()]
@@ -149,7 +152,7 @@ def marked(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "tex
                     found.append(sorted(items, key=lambda x: (x is not None, x or "")))
                 yield pa.RecordBatch.from_arrays(
                     [*own, pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))],
-                    [*docs_columns, "rookery_words", "rookery_spans", "rookery_items"],
+                    schema.names,
                 )
 
         out = out.mapInArrow(work, schema)
@@ -160,16 +163,17 @@ def marked(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "tex
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated, items) for each document."""
-    found = marked(docs.select(key, text), items, window, text, **more)
-    ids = F.array_compact("rookery_items")
-    pairs = F.sequence(F.lit(0), (F.size("rookery_spans") / 2).cast("int") - 1)
-    n_hit = F.when(F.size("rookery_spans") == 0, F.lit(0)).otherwise(
-        F.aggregate(pairs, F.lit(0).cast("bigint"), lambda s, i: s + F.get("rookery_spans", 2 * i + 1) - F.get("rookery_spans", 2 * i))
+    found = marked(docs.select(quoted(key), quoted(text)), items, window, text, **more)
+    words, spans, hits = found.columns[-3:]
+    ids = F.array_compact(hits)
+    pairs = F.sequence(F.lit(0), (F.size(spans) / 2).cast("int") - 1)
+    n_hit = F.when(F.size(spans) == 0, F.lit(0)).otherwise(
+        F.aggregate(pairs, F.lit(0).cast("bigint"), lambda s, i: s + F.get(spans, 2 * i + 1) - F.get(spans, 2 * i))
     )
     n_hit = n_hit.cast("bigint")
     return found.select(
-        key,
-        F.col("rookery_words").alias("n_words"),
+        quoted(key),
+        F.col(words).alias("n_words"),
         n_hit.alias("n_hit"),
         F.size(ids).cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"),
@@ -180,5 +184,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, key: str
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", **more) -> DataFrame:
     """The documents that no window of an item occurs in, as they are."""
-    return marked(docs, items, window, text, **more).where(F.size("rookery_spans") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = marked(docs, items, window, text, **more)
+    return found.where(F.size(found.columns[-2]) == 0).select(*map(quoted, docs.columns))
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import bounded_batches, stored
 from .urlfilter import host_of
 
 _TOKEN = re.compile(
@@ -228,7 +228,7 @@ def main_text(html: str | None, template: dict[int, int] | set[int], sizes: dict
 
 def token_statistics(pages: DataFrame, url: str, html: str) -> DataFrame:
     """(host, token, s1, s2, on_pages): the occurrence vector of every token of every host; token -1 counts the host's pages."""
-    small_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"), F.monotonically_increasing_id().alias("page"))
 
     def work(batches):
@@ -274,7 +274,7 @@ def templates(
     class is known by its least token."""
     found = stored(candidates(pages, url, html, least_pages, share, least_tokens), "classes")
     size = found.agg(F.sum(F.expr("aggregate(classes, 10, (n, c) -> n + size(c.tokens))"))).first()[0] or 0
-    small_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
     rows = _joined(pages, found, url, [F.col(html).alias("rookery_html")], size <= broadcast_tokens).where("classes is not null").select("rookery_host", "rookery_html", "classes")
 
     def work(batches):
@@ -337,7 +337,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """(key, url, text, n_chars) of every page."""
     found = stored(templates(pages, url, html, broadcast_tokens=broadcast_tokens, **more), "templates")
     size = found.agg(F.sum(F.expr("aggregate(classes, 10 + size(shut), (n, c) -> n + size(c.tokens))"))).first()[0] or 0
-    small_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
     rows = _joined(pages, found, url, [F.col(key), F.col(url), F.col(html)], size <= broadcast_tokens).select(key, url, html, "rookery_host", "classes", "shut")
 
     def work(batches):

@@ -22,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, texts
+from .common import bounded_batches, crc_mod, share_of, texts
 
 DIMS = 8192
 _SHIFT = np.uint32(32 - DIMS.bit_length() + 1)
 #: ASCII that is no letter becomes a space.
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 BLOCK = 1 << 20
-HASHES = 1_000_003
 #: Training texts that a distance bound rests on, where the language has as many; powers of two of the number of trigrams.
 AT_LEAST = 50
 POWERS = 48
@@ -132,9 +131,9 @@ def learn(docs: DataFrame, max_rows: int = 3000, key: str = "doc_id", text: str
     if not have:
         return fit([])
     share = max(1, max_rows // len(have))
-    part = F.create_map(*[F.lit(x) for name, n in sorted(have.items()) for x in (name, min(HASHES, HASHES * share // n))])
-    wanted = rows.where(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(HASHES)) < part[F.col(lang)])
-    small_batches(docs.sparkSession)
+    part = F.create_map(*[F.lit(x) for name, n in sorted(have.items()) for x in (name, min(2.0, share / n))])
+    wanted = rows.where(share_of(F.col(key)) < part[F.col(lang)])
+    bounded_batches(docs.sparkSession)
 
     def work(batches):
         for b in batches:
@@ -169,7 +168,7 @@ def languages(docs: DataFrame, key: str = "doc_id", folds: int = 3, skip: int =
 
 def only_known(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame:
     """The documents that are not rejected, with all their columns; no shuffle."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def work(batches):

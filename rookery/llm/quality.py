@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, sampled, small_batches, texts
+from .common import crc_mod, sampled, bounded_batches, texts
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -175,7 +175,7 @@ def _split(binned, cuts, g, h, bound, l2, bins, least):
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Trees | None:
     """Trees from about max_rows labelled documents; None without rows of both labels."""
     known = sampled(labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("y")), max_rows, key)
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(key, text).join(F.broadcast(known), key).select(text, "y")
 
     def work(batches):

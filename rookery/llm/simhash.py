@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, text_hash, word_blocks
+from .common import bounded_batches, free_names, quoted, stored, text_hash, word_blocks
 from .components import connected_components
 
 
@@ -58,7 +58,7 @@ def fingerprint(text: str | None, shingle_words: int, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, shingle_words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, t1, t2, fp): a row for each document, its text's hash, and fp as a signed 64-bit integer."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key), F.col(text), *text_hash(F.col(text)))
     kind = dict(rows.dtypes)[key]
 
@@ -121,16 +121,17 @@ def _first_of_groups(docs: DataFrame, fps: DataFrame, labels: DataFrame, key: st
     order = F.struct(F.col("key").isNull().alias("unknown"), "key", "t1", "t2")
     first = fps.join(labels, "fp").groupBy("root", "key", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
     first = first.groupBy("root").agg(F.min(F.struct(order.alias("o"), "n")).alias("x"))
-    names_of = {"x.o.key": "rookery_key", "x.o.t1": "rookery_a", "x.o.t2": "rookery_b", "x.n": "rookery_n"}
-    first = stored(first.select(*(F.col(c).alias(n) for c, n in names_of.items())), "first")
-    t1, t2 = text_hash(F.col(text))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    own = docs.withColumns({"rookery_t1": t1, "rookery_t2": t2})
-    same = (F.col("rookery_t1") == F.col("rookery_a")) & (F.col("rookery_t2") == F.col("rookery_b")) & F.col(f"`{key}`").eqNullSafe(F.col("rookery_key"))
-    kept = own.join(first.where("rookery_n = 1"), same, "left_semi").select(*names)
-    repeated = first.where("rookery_n > 1")
+    own_key, a, b, n, k1, k2 = free_names(docs, "key", "a", "b", "n", "k1", "k2")
+    names_of = {"x.o.key": own_key, "x.o.t1": a, "x.o.t2": b, "x.n": n}
+    first = stored(first.select(*(F.col(c).alias(name) for c, name in names_of.items())), "first")
+    t1, t2 = text_hash(quoted(text))
+    names = [*map(quoted, docs.columns)]
+    own = docs.withColumns({k1: t1, k2: t2})
+    same = (F.col(k1) == F.col(a)) & (F.col(k2) == F.col(b)) & quoted(key).eqNullSafe(F.col(own_key))
+    kept = own.join(first.where(F.col(n) == 1), same, "left_semi").select(*names)
+    repeated = first.where(F.col(n) > 1)
     if repeated.head(1):
-        again = own.join(repeated, same, "left_semi").dropDuplicates([key, "rookery_t1", "rookery_t2"])
+        again = own.join(repeated, same, "left_semi").dropDuplicates([key, k1, k2])
         kept = kept.unionByName(again.select(*names))
     return kept
 
@@ -160,7 +161,7 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 def _sketches(docs: DataFrame, shingle_words: int, key: str, text: str) -> DataFrame:
     """(key, t1, t2, fp, simhash, bands) of each document; fp is a hash of its set of shingles."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), *text_hash(F.col(f"`{text}`")))
 
     def work(batches):

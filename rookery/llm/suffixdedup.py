@@ -1,26 +1,27 @@
 """Repeated byte strings across documents by suffix order and previous factors, without one global suffix array.
 
-What must meet: two equal strings of `length` bytes. Every such string holds a k-byte gram whose hash is the least of
-its grams (the leftmost on ties); equal strings hold equal least grams at the same place. So each document is cut into runs:
-maximal ranges of string starts with the same least gram, the run's anchor.
+What must meet: two equal strings of `length` bytes. Every such string holds a gram whose hash is the least of its grams (the
+leftmost on ties); equal strings hold equal least grams at the same place. So each document is cut into runs: maximal ranges
+of string starts with the same least gram, the run's anchor.
 
 1. Anchors' hashes are counted (map-side first). An anchor that occurs once has no repeated string: most runs end here.
-2. The runs of repeated anchors are found by a join. Where all runs of an anchor are the same bytes at the same offset, all
-   their strings repeat, whole passages at a time; no text moves.
-3. Other anchors' distinct runs (at the borders of passages and at edits) are compared by a suffix array of their bytes, cut
-   at `length` bytes, many anchors to an array: previous and next smaller positions in suffix order give each position's
-   longest previous factor (cut at `length`), and a factor of full length marks both the later copy and its source.
-   An anchor with more than `array_runs` distinct runs is not brought together: its strings are spread by their
-   128-bit hashes and counted map-side first, which gives the same answer for any number of runs.
-4. The marked strings come back to the documents' texts, which move once, or twice where step 3 is needed.
-
-Hashes: polynomials over random 64-bit byte values modulo 2^64, mixed; step 2 trusts anchor and run hash together
-(128 bits), step 3 compares bytes. Texts are known by 128 bits of XXH64; rows with equal texts have equal results.
+2. The runs of the other anchors are found by a join, and one piece of text is fetched for each distinct run.
+3. The pieces of an anchor are compared by a suffix array of their bytes, cut at `length` bytes, many anchors to an array: previous
+   and next smaller positions in suffix order give each position's longest previous factor (cut at `length`), and a factor of
+   full length marks both the later copy and its source. A run that occurs more than once is laid into the array twice.
+4. An anchor with more than `array_runs` distinct runs is not brought together. Its pieces are cut into runs anew by their least
+   grams of a larger size, which fewer strings share, and steps 1 to 4 work on these, until a gram is a whole string and all
+   its strings are equal. Each size leaves a quarter of the room that the one before left for a gram inside a string.
+5. The marked strings come back to the documents' texts, which move once for the pieces and once for this.
+
+Hashes: polynomials over random 64-bit byte values modulo 2^64, mixed; an anchor's and a run's hash together (128 bits) tell that
+two runs are equal, bytes decide everything else. Texts are known by 128 bits of XXH64; rows with equal texts have equal results.
 
 Either all copies go, or the first stays: then runs and strings are compared by the order of their texts' least keys and places.
 
 Defined results: null and empty texts have no bytes; texts shorter than `length` keep all; repeated rows are copies of each
-other, but where the first copy stays, rows that repeat key and text are one document, and a null key comes last; an empty table gives an empty result; other columns are ignored by `repeated_bytes` and kept by `without_repeats`.
+other, but where the first copy stays, rows that repeat key and text are one document, and a null key comes last; an empty table
+gives an empty result; other columns, whatever their names, are ignored by `repeated_bytes` and kept by `without_repeats`.
 """
 
 from __future__ import annotations
@@ -32,16 +33,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import dropped, small_batches, stored, text_hash
+from .common import bounded_batches, dropped, free_names, quoted, stored, text_hash
 
 GRAM = 40
 #: Bytes worked on at a time; longer texts are cut into parts whose runs may end at the border, which changes no result.
-PART = 1 << 19
+PART = 1 << 18
 _POSITION_BITS = 20
-ARRAY_BYTES = 1 << 20
-#: Starts that the counting path takes together.
-BLOCK = 16
+ARRAY_BYTES = 1 << 19
+#: Texts whose copies a task remembers at a time.
+REMEMBERED = 100_000
 
 
 @lru_cache(4)
@@ -61,6 +63,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def gram_sizes(length: int) -> list[int]:
+    """The gram's size at each level; the last is the whole string's."""
+    room, sizes = length - min(GRAM, max(1, length // 5)), []
+    while room:
+        sizes.append(length - room)
+        room //= 4
+    return [*sizes, length]
+
+
 class Runs:
     """Runs of a part's string starts with the same anchor, over one or more texts laid end to end."""
 
@@ -96,19 +107,19 @@ class Runs:
         self.text = of[self.first]
         self.gram_hash = _mixed(hashes[self.anchor])
         over = (prefix[self.last + length] - prefix[self.first]) * inverse[self.first]
-        shape = ((self.anchor - self.first) * 512 + (self.last - self.first)).astype(np.uint64)
+        shape = ((self.anchor - self.first) * 1024 + (self.last - self.first)).astype(np.uint64)
         self.run_hash = _mixed(over ^ _mixed(shape + np.uint64(1)))
         for name in ("anchor", "first", "last"):
             setattr(self, name, getattr(self, name) - left[self.text])
 
 
-def _parts(encoded: list[bytes], length: int):
+def _parts(encoded: list, length: int):
     """(texts' numbers, their data end to end, ends, offset in the text) by parts of about PART bytes."""
     numbers, pieces, size = [], [], 0
     for i, data in enumerate(encoded):
         if len(data) > PART:
             for at in range(0, len(data) - length + 1, PART):
-                one = data[at : at + PART + length - 1]
+                one = memoryview(data)[at : at + PART + length - 1]
                 yield [i], np.frombuffer(one, np.uint8), np.array([len(one)]), at
             continue
         if len(data) < length:
@@ -122,35 +133,36 @@ def _parts(encoded: list[bytes], length: int):
         yield numbers, np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([len(p) for p in pieces]), 0
 
 
-def _anchors(docs: DataFrame, text: str, length: int, whole: bool) -> DataFrame:
-    """(h, seg) of every run, and if whole (t1, t2, place): place packs the anchor, its run's first start before it and the run's size.
+def _runs(corpus: DataFrame, length: int, gram: int, whole: bool) -> DataFrame:
+    """h of every run of corpus (k1, k2, data, rows), and if whole (h, seg, k1, k2, place): place packs the anchor, its run's first
+    start before it and the run's size.
 
-    A text seen twice before by a task is not written again: two are as good as more to tell that it is repeated.
+    Of rows with equal keys, or of a row that stands for more, a task writes the runs twice: two tell as well as more that they repeat.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(text).alias("text"), *text_hash(F.col(text))).where(F.octet_length("text") >= length)
+    bounded_batches(corpus.sparkSession)
 
     def work(batches):
         times: dict[tuple[int, int], int] = {}
         for b in batches:
-            keys = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+            k1, k2, rows = (b.column(i).to_numpy() for i in (1, 2, 3))
             encoded = []
-            for i, k in enumerate(keys):
+            for i, k in enumerate(zip(k1.tolist(), k2.tolist(), strict=True)):
                 times[k] = times.get(k, 0) + 1
-                encoded.append(b.column(0)[i].as_py().encode("utf-8") if times[k] <= 2 else b"")
-            if len(times) > 500_000:
+                encoded.append(b.column(0)[i].as_buffer() if times[k] <= 2 else b"")
+            if len(times) > REMEMBERED:
                 times.clear()
-            t1, t2 = (np.array([k[j] for k in keys], np.int64) for j in (0, 1))
             for numbers, data, ends, offset in _parts(encoded, length):
-                r = Runs(data, ends, length)
-                columns = [r.gram_hash.view(np.int64), r.run_hash.view(np.int64)]
+                r = Runs(data, ends, length, gram)
+                of = np.array(numbers)[r.text]
+                again = np.where(rows[of] > 1, 2, 1)
+                columns = [r.gram_hash.view(np.int64)]
                 if whole:
-                    of = np.array(numbers)[r.text]
                     place = ((r.anchor + offset) << 20) | ((r.anchor - r.first) << 10) | (r.last - r.first)
-                    columns += [t1[of], t2[of], place]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "seg", "t1", "t2", "place"][: len(columns)])
+                    columns += [r.run_hash.view(np.int64), k1[of], k2[of], place]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c, again)) for c in columns], ["h", "seg", "k1", "k2", "place"][: len(columns)])
 
-    return rows.mapInArrow(work, "h bigint, seg bigint" + ", t1 bigint, t2 bigint, place bigint" * whole)
+    rows = corpus.where(F.octet_length("data") >= length).select("data", "k1", "k2", "rows")
+    return rows.mapInArrow(work, "h bigint" + ", seg bigint, k1 bigint, k2 bigint, place bigint" * whole)
 
 
 def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,21 +258,21 @@ def previous_factors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[n
 
 
 def _spans_by_array(segments: list[tuple[int, int, int, bytes]], length: int, first: bool = False) -> list[tuple[int, int, list[int]]]:
-    """(h, seg, flat first and last starts of repeated strings) of segments (h, seg, rows, bytes); with first, of strings that
-    an earlier segment or place holds."""
-    ends = np.cumsum([len(s[3]) for s in segments])
-    data = np.frombuffer(b"".join(s[3] for s in segments), np.uint8)
+    """(h, seg, flat first and last starts of repeated strings) of segments (h, seg, rows, bytes); a segment of more rows than one is
+    laid twice. With first, of strings that an earlier segment or place holds."""
+    laid = [1 + (rows > 1 and not first) for _, _, rows, _ in segments]
+    data = np.frombuffer(b"".join(s[3] * n for s, n in zip(segments, laid, strict=True)), np.uint8)
+    ends = np.cumsum([len(s[3]) for s, n in zip(segments, laid, strict=True) for _ in range(n)])
     later, source = previous_factors(data, ends, length)
     hit = np.zeros(len(data) + 1, bool)
     hit[later] = True
     if not first:
         hit[source] = True
-    out = []
-    for (h, seg, rows, text), end in zip(segments, ends, strict=True):
-        own = hit[end - len(text) : end - length + 1]
-        if rows > 1 and not first:
-            out.append((h, seg, [0, len(text) - length]))
-        elif own.any():
+    out, at = [], 0
+    for (h, seg, _, text), n in zip(segments, laid, strict=True):
+        own = hit[at : at + len(text) - length + 1]
+        at += n * len(text)
+        if own.any():
             edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]])))
             out.append((h, seg, [int(x) - (i % 2) for i, x in enumerate(edges)]))
     return out
@@ -269,15 +281,10 @@ def _spans_by_array(segments: list[tuple[int, int, int, bytes]], length: int, fi
 # --- the distributed operator ---------------------------------------------------------------------------------------
 
 
-def _mixed_spans(distinct: DataFrame, length: int, array_runs: int, first: bool) -> DataFrame:
-    """(h, seg, spans) for the distinct runs (h, seg, rows, place, piece, ord) of anchors whose runs differ."""
-    size = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") > array_runs).select("h")
-    large = stored(size, "large")  # at most one in array_runs of the runs
-    any_large = bool(large.head(1))
-    few = distinct.join(large, "h", "left_anti") if any_large else distinct
-    parts = distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")
+def _by_arrays(pieces: DataFrame, length: int, first: bool) -> DataFrame:
+    """(h, seg, spans) of pieces (h, seg, rows, piece, ord): an anchor's pieces meet in one suffix array, by their order."""
 
-    def by_array(batches):
+    def work(batches):
         held: list[tuple[int, int, int, bytes]] = []
         size = 0
         for b in batches:
@@ -290,10 +297,8 @@ def _mixed_spans(distinct: DataFrame, length: int, array_runs: int, first: bool)
         if held:
             yield _span_batch(_spans_by_array(held, length, first))
 
-    schema = "h bigint, seg bigint, spans array<bigint>"
-    few = few.repartition(int(parts), "h").sortWithinPartitions("h", "ord").select("h", "seg", "rows", "piece")
-    spans = few.mapInArrow(by_array, schema)
-    return spans.unionByName(_by_counting(distinct.join(large, "h"), length, first)) if any_large else spans
+    met = pieces.repartition("h").sortWithinPartitions("h", "ord").select("h", "seg", "rows", "piece")
+    return met.mapInArrow(work, "h bigint, seg bigint, spans array<bigint>")
 
 
 def _span_batch(rows):
@@ -302,44 +307,63 @@ def _span_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "seg", "spans"])
 
 
-def _by_counting(runs: DataFrame, length: int, first: bool) -> DataFrame:
-    """The same for anchors with very many distinct runs: strings are spread by their hashes.
+def _pieces(corpus: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
+    """(h, seg, rows, ord, piece): the bytes of each chosen run (h, seg, rows, ord), from a text that has it."""
+    own = chosen.groupBy(F.col("ord.k1").alias("k1"), F.col("ord.k2").alias("k2")).agg(F.collect_list(F.struct("h", "seg", "rows", "ord")).alias("runs"))
+    asked = corpus.where(F.octet_length("data") >= length).select("data", "k1", "k2").join(own, ["k1", "k2"]).select("data", "k1", "k2", "runs")
 
-    Starts are grouped by BLOCK places relative to the anchor. A block whose bytes repeat as a whole needs one row;
-    only the starts of blocks that do not are looked up one by one. Counts are over all blocks and all starts.
-    """
-
-    def strings(batches):
+    def work(batches):
         for b in batches:
-            for h, seg, rows, place, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n, ahead = len(piece) - length + 1, (place >> 10) & 1023
-                first = np.arange(n)
-                block = (ahead - first) // BLOCK
-                cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
-                a = np.concatenate([first, cuts])
-                z = np.concatenate([first, np.append(cuts[1:], n) - 1])
-                digests = [hashlib.blake2b(piece[i : j + length], digest_size=16).digest() for i, j in zip(a.tolist(), z.tolist(), strict=True)]
-                w = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                whole = np.arange(len(a)) >= n
-                columns = [np.full(len(a), h), np.full(len(a), seg), np.full(len(a), rows, np.int64), whole, block[a], a, z, w[:, 0], w[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["h", "seg", "rows", "whole", "block", "a", "z", "w1", "w2"])
-
-    schema = "h bigint, seg bigint, rows bigint, whole boolean, block bigint, a bigint, z bigint, w1 bigint, w2 bigint"
-    spread = stored(runs.select("h", "seg", "rows", "place", "piece").mapInArrow(strings, schema), "strings")
-    key = ["whole", "w1", "w2"]
-    if first:
-        order = stored(runs.select("h", "seg", "ord"), "order")
-        spread = spread.join(order, ["h", "seg"])
-        repeated = stored(spread.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("lead")).where("n > 1").drop("n"), "repeated")
-        later = F.col("ord") > F.col("lead")
+            flat, sizes = b.column(3).flatten(), np.diff(b.column(3).offsets.to_numpy())
+            first, last = _unpacked(flat.field("ord").field("place").to_numpy())
+            seen, pieces, wanted, at = set(), [], [], 0
+            for i, (k1, k2) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                own = slice(at, at := at + int(sizes[i]))
+                if new := (k1, k2) not in seen:
+                    data = memoryview(b.column(0)[i].as_buffer())
+                    pieces += [data[x : y + length] for x, y in zip(first[own].tolist(), last[own].tolist(), strict=True)]
+                seen.add((k1, k2))
+                wanted.append(new)
+            flat = flat.filter(pa.array(np.repeat(wanted, sizes)))
+            names = ["h", "seg", "rows", "ord"]
+            yield pa.RecordBatch.from_arrays([*(flat.field(n) for n in names), pa.array(pieces, pa.binary())], [*names, "piece"])
+
+    schema = StructType([chosen.schema[n] for n in ("h", "seg", "rows", "ord")] + [StructField("piece", BinaryType())])
+    # texts with equal hashes are equal, so repeated answers are
+    return asked.mapInArrow(work, schema).dropDuplicates(["h", "seg"])
+
+
+def _repeats(corpus: DataFrame, leads: DataFrame | None, length: int, sizes: list[int], array_runs: int) -> DataFrame:
+    """(k1, k2, spans): flat first and last starts of repeated strings in corpus (k1, k2, data, rows); more rows than one may tell
+    of a key. With leads (k1, k2, lead) only of strings that an earlier text by lead, or an earlier place of the same text, holds too."""
+    repeated = _runs(corpus, length, sizes[0], False).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    repeated = stored(repeated, "anchors")
+    found = _runs(corpus, length, sizes[0], True).join(repeated, "h")
+    runs = stored(found if leads is None else found.join(leads, ["k1", "k2"]), "runs")
+    dropped(repeated)
+    ord_ = F.struct(*["lead"] * (leads is not None), "k1", "k2", "place")
+    chosen = stored(runs.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("rows"), F.min(ord_).alias("ord")), "chosen")
+    large = stored(chosen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > array_runs).select("h"), "large")
+    pieces = stored(_pieces(corpus, chosen, length), "pieces")
+    first = leads is not None
+    if len(sizes) > 1 and large.head(1):
+        spans = stored(_by_arrays(pieces.join(large, "h", "left_anti"), length, first), "spans")
+        again = stored(pieces.join(large, "h").select(F.col("h").alias("k1"), F.col("seg").alias("k2"), F.col("piece").alias("data"), "rows", F.col("ord").alias("lead")), "again")
+        deeper = _repeats(again.drop("lead"), again.select("k1", "k2", "lead") if first else None, length, sizes[1:], array_runs)
+        dropped(again)
+        spans = spans.unionByName(deeper.select(F.col("k1").alias("h"), F.col("k2").alias("seg"), "spans"))
     else:
-        repeated = stored(spread.groupBy(*key).agg(F.sum("rows").alias("n")).where("n > 1").select(*key), "repeated")
-        later = F.lit(True)
-    blocks = stored(spread.where("whole").join(repeated, key).where(later).select("h", "seg", "block", "a", "z"), "blocks")
-    singles = spread.where("not whole").join(blocks, ["h", "seg", "block"], "left_anti").join(repeated, key).where(later)
-    hits = blocks.select("h", "seg", "a", "z").unionByName(singles.select("h", "seg", "a", "z"))
-    hits = hits.groupBy("h", "seg").agg(F.collect_set(F.struct("a", "z")).alias("s"))
-    return hits.select("h", "seg", F.flatten(F.transform("s", lambda x: F.array(x["a"], x["z"]))).alias("spans"))
+        spans = _by_arrays(pieces, length, first)
+    start = F.shiftright("place", 20) - F.shiftright("place", 10).bitwiseAND(F.lit(1023))
+    marked = F.transform("spans", lambda x: x + start)
+    if first:  # what is not the first of its run is a later copy as a whole
+        spans = chosen.select("h", "seg", F.col("ord").alias("first")).join(spans, ["h", "seg"], "left")
+        marked = F.when(ord_ > F.col("first"), F.array(start, start + F.col("place").bitwiseAND(F.lit(1023)))).otherwise(marked)
+    back = runs.join(stored(spans, "spans"), ["h", "seg"]).select("k1", "k2", marked.alias("spans")).where("spans is not null")
+    out = stored(back.groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans")), "marks")
+    for x in (runs, chosen, large, pieces):
+        dropped(x)
+    return out
 
 
 def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -353,78 +377,30 @@ def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _by_text(docs: DataFrame, text: str, length: int, array_runs: int, order: DataFrame | None) -> DataFrame:
-    """(t1, t2, a, b): starts a to b of a text are repeated strings. With order (t1, t2, first_key) only those that an earlier text by
-    first_key, or an earlier place of the same text, holds too."""
-    counted = _anchors(docs, text, length, False).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b"))
-    repeated = stored(counted.where("n > 1").select("h", (F.col("a") != F.col("b")).alias("differ")), "anchors")
-    found = _anchors(docs, text, length, True).join(repeated, "h")
-    runs = stored(found if order is None else found.join(order, ["t1", "t2"]), "runs")
-    dropped(repeated)
-    place = ["t1", "t2", "place"]
-    ord_ = F.struct(*place) if order is None else F.struct(F.col("first_key").isNull().alias("unknown"), "first_key", *place)
-    start = F.shiftright("place", 20) - F.shiftright("place", 10).bitwiseAND(F.lit(1023))
-    whole = ["t1", "t2", start.alias("a"), (start + F.col("place").bitwiseAND(F.lit(1023))).alias("b")]
-    same, differ = runs.where("not differ").withColumn("ord", ord_), runs.where("differ").withColumn("ord", ord_)
-    if order is not None:
-        same = same.join(same.groupBy("h").agg(F.min("ord").alias("lead")), "h").where(F.col("ord") > F.col("lead"))
-    out = same.select(*whole)
-    if not differ.head(1):
-        return out
-    # The bytes of each distinct differing run, from the first text that has it.
-    chosen = differ.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("rows"), F.min("ord").alias("ord"))
-    by_text = chosen.select("h", "seg", "rows", *(f"ord.{c}" for c in place)).groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "seg", "rows", "place")).alias("runs"))
-    texts = docs.select(F.col(text).alias("text"), *text_hash(F.col(text))).where(F.octet_length("text") >= length)
-    asked = texts.join(by_text, ["t1", "t2"]).select("text", "runs", "t1", "t2")
-
-    def cut(batches):
-        for b in batches:
-            seen = set()
-            for t, own, t1, t2 in zip(*(c for c in b.columns), strict=True):
-                if (k := (t1.as_py(), t2.as_py())) in seen:
-                    continue
-                seen.add(k)
-                data, own = t.as_py().encode("utf-8"), own.values
-                h, seg, rows, place = (own.field(i).to_numpy() for i in range(4))
-                a, z = _unpacked(place)
-                pieces = pa.array([data[i : j + length] for i, j in zip(a, z, strict=True)], pa.binary())
-                columns = [pa.array(h), pa.array(seg), pa.array(rows), pa.array(place), pa.array(np.full(len(h), k[0])), pa.array(np.full(len(h), k[1])), pieces]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "seg", "rows", "place", "t1", "t2", "piece"])
-
-    pieces = asked.mapInArrow(cut, "h bigint, seg bigint, rows bigint, place bigint, t1 bigint, t2 bigint, piece binary")
-    # texts with equal hashes are equal, so repeated answers are; the place's low bits belong to the run
-    pieces = pieces.dropDuplicates(["h", "seg"])
-    if order is not None:
-        pieces = pieces.join(order, ["t1", "t2"])
-    distinct = stored(pieces.withColumn("ord", ord_).select("h", "seg", "rows", "place", "piece", "ord"), "pieces")
-    spans = stored(_mixed_spans(distinct, length, array_runs, order is not None), "spans")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(F.get("spans", 2 * i).alias("a"), F.get("spans", 2 * i + 1).alias("b"))))
-    if order is not None:  # what is not the first of its run is a later copy as a whole
-        differ = differ.join(distinct.select("h", "seg", F.col("ord").alias("lead")), ["h", "seg"])
-        out = out.unionByName(differ.where(F.col("ord") > F.col("lead")).select(*whole))
-        differ = differ.where(F.col("ord") == F.col("lead"))
-    back = differ.select("h", "seg", "t1", "t2", start.alias("first")).join(spans.select("h", "seg", pair.alias("s")), ["h", "seg"])
-    return out.unionByName(back.select("t1", "t2", (F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b")).alias("b")))
-
-
-def _with_spans(docs: DataFrame, text: str, length: int, array_runs: int, first_by: str | None) -> DataFrame:
-    """docs with rookery_spans: the starts of repeated strings, flat first and last; null where there are none."""
-    t1, t2 = text_hash(F.col(text))
-    order = None
+def _with_spans(docs: DataFrame, text: str, length: int, array_runs: int, first_by: str | None) -> tuple[DataFrame, str]:
+    """docs with the starts of repeated strings, flat first and last, null where there are none, and that column's name."""
+    t1, t2 = text_hash(quoted(text))
+    k1, k2, spans, first = free_names(docs, "k1", "k2", "spans", "first")
+    long = F.octet_length(quoted(text)) >= length
+    corpus = docs.select(quoted(text).cast("binary").alias("data"), t1.alias("k1"), t2.alias("k2"), F.lit(1).alias("rows"))
+    leads = None
     if first_by is not None:
-        order = stored(docs.select(F.col(first_by).alias("k"), t1, t2).groupBy("t1", "t2").agg(F.min("k").alias("first_key")), "order")
-    found = _by_text(docs, text, length, array_runs, order).distinct()
-    by_text = found.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("s"))
-    flat = F.flatten(F.transform("s", lambda x: F.array(x["a"], x["b"]))).alias("rookery_spans")
-    keyed = docs.withColumns({"rookery_t1": t1, "rookery_t2": t2})
-    by_text = by_text.select(F.col("t1").alias("rookery_t1"), F.col("t2").alias("rookery_t2"), flat)
-    out = keyed.join(by_text, ["rookery_t1", "rookery_t2"], "left")
-    if order is not None:  # rows of a text that have not its least key are copies as a whole
-        order = order.select(F.col("t1").alias("rookery_t1"), F.col("t2").alias("rookery_t2"), F.col("first_key").alias("rookery_first"))
-        copy = ~F.col("rookery_first").eqNullSafe(F.col(f"`{first_by}`")) & (F.octet_length(F.col(f"`{text}`")) >= length)
-        all_of = F.array(F.lit(0).cast("bigint"), (F.octet_length(F.col(f"`{text}`")) - length).cast("bigint"))
-        out = out.join(order, ["rookery_t1", "rookery_t2"], "left").withColumn("rookery_spans", F.when(copy, all_of).otherwise(F.col("rookery_spans"))).drop("rookery_first")
-    return out.drop("rookery_t1", "rookery_t2")
+        key = quoted(first_by)
+        order = docs.where(long).select(key.alias("key"), t1.alias("k1"), t2.alias("k2")).groupBy("k1", "k2").agg(F.min("key").alias("key"))
+        order = stored(order, "order")
+        leads = order.select("k1", "k2", F.struct(F.col("key").isNull().alias("unknown"), "key").alias("lead"))
+    found = _repeats(corpus, leads, length, gram_sizes(length), array_runs).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(spans))
+    # Short texts have no marks; keys of their whole rows keep the commonest of them from meeting in one task.
+    alone = F.xxhash64(*(quoted(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    keyed = docs.withColumns({k1: F.when(long, t1).otherwise(alone), k2: F.when(long, t2)})
+    if leads is None:
+        return keyed.join(found, [k1, k2], "left").drop(k1, k2), spans
+    # Rows of a text that have not its least key are copies as a whole.
+    found = order.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("key").alias(first)).join(found, [k1, k2], "left")
+    copy = long & ~F.col(first).eqNullSafe(key)
+    all_of = F.array(F.lit(0).cast("bigint"), (F.octet_length(quoted(text)) - length).cast("bigint"))
+    out = keyed.join(stored(found, "found"), [k1, k2], "left").withColumn(spans, F.when(copy, all_of).otherwise(F.col(spans)))
+    return out.drop(k1, k2, first), spans
 
 
 def _removed(data: bytes, starts, length: int) -> tuple[list[tuple[int, int]], bytes]:
@@ -443,8 +419,9 @@ def repeated_bytes(docs: DataFrame, length: int = 200, key: str = "doc_id", text
 
     With keep_first the first copy of each string stays: that of the text with the least key, then of the earliest place.
     """
-    rows = _with_spans(docs.select(F.col(key), F.col(text)), text, length, array_runs, key if keep_first else None)
-    schema = f"{key} {dict(rows.dtypes)[key]}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", removed array<bigint>" * with_spans
+    docs = docs.select(quoted(key), quoted(text))
+    rows, spans = _with_spans(docs, text, length, array_runs, key if keep_first else None)
+    schema = f"`{key}` {dict(rows.dtypes)[key]}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", removed array<bigint>" * with_spans
 
     def work(batches):
         for b in batches:
@@ -457,7 +434,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, key: str = "doc_id", text
             columns = [pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"][: 5 + with_spans])
 
-    return rows.select(key, text, "rookery_spans").mapInArrow(work, schema)
+    return rows.select(quoted(key), quoted(text), spans).mapInArrow(work, schema)
 
 
 def without_repeats(docs: DataFrame, length: int = 200, text: str = "text", chars: str | None = "n_chars", array_runs: int = 3000, keep_first_by: str | None = None) -> DataFrame:
@@ -465,7 +442,8 @@ def without_repeats(docs: DataFrame, length: int = 200, text: str = "text", char
     its number of characters set anew; a document of which nothing but white space stays, though it had more, is dropped.
     With keep_first_by, a key column, the first copy of each string stays, by that key."""
     names = docs.columns
-    rows = _with_spans(docs, text, length, array_runs, keep_first_by).select(*(F.col(f"`{c}`") for c in names), "rookery_spans")
+    rows, spans = _with_spans(docs, text, length, array_runs, keep_first_by)
+    rows = rows.select(*map(quoted, names), spans)
     at, count = names.index(text), names.index(chars) if chars in names else None
 
     def work(batches):

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, sampled, small_batches, texts, word_blocks
+from .common import crc_mod, sampled, bounded_batches, texts, word_blocks
 
 BITS = 20
 #: Lower-cases ASCII; other ASCII that is no letter, digit or apostrophe parts words.
@@ -120,7 +120,7 @@ def fit(examples: list[tuple[np.ndarray, int]], epochs: int = 8) -> tuple[np.nda
 def examples(docs: DataFrame, labels: DataFrame, max_rows: int, key: str, text: str, label: str) -> list[tuple[np.ndarray, int]]:
     """Features of about max_rows labelled documents; the sample of labels is small and is sent to the documents."""
     known = sampled(labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("y")), max_rows, key)
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(key, text).join(F.broadcast(known), key).select(text, "y")
 
     def work(batches):
