@@ -17,24 +17,24 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from .common import texts
+from .common import quoted, texts
 
 #: How byte-level BPE cuts a text into pieces, a fixed value of the format.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: No piece reaches over a single space between two other characters.
 _SAFE_CUT = regex.compile(r"(?<=[^\s]) (?=[^\s])")
 BLOCK_CHARS = 1 << 19
-KEPT_PIECES = 200_000
-KEPT_PAIRS = 1_000_000
+KEPT_PIECES = 100_000
+KEPT_PAIRS = 250_000
 _NEVER = 1 << 60
 
 
@@ -46,9 +46,9 @@ def byte_characters() -> dict[str, int]:
 
 
 class Bpe:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, text: str):
+        """text: a tokenizer's JSON."""
+        spec = json.loads(text)
         model, of_char = spec["model"], byte_characters()
         raw = lambda token: bytes(of_char[c] for c in token)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -72,7 +72,7 @@ class Bpe:
             self.joined.setdefault((born[left], born[right]), born[whole])
         self.n_bytes_tokens = sum(p is None for p in self.parts)
         self.length = [len(b) for b in self.bytes_of]
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
         self._automaton()
         self._offsets(model["vocab"], raw)
         self.cache = _Pieces(self)
@@ -101,11 +101,12 @@ class Bpe:
         self.blob = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(size)), np.uint8)
 
     def compatible(self, a: int, b: int) -> bool:
-        found = self._compatible.get((a, b))
+        pair = a << 32 | b
+        found = self._compatible.get(pair)
         if found is None:
             if len(self._compatible) >= KEPT_PAIRS:
                 self._compatible.clear()
-            found = self._compatible[a, b] = self._stay_apart(a, b)
+            found = self._compatible[pair] = self._stay_apart(a, b)
         return found
 
     def _stay_apart(self, a: int, b: int) -> bool:
@@ -198,9 +199,31 @@ class _Pieces(dict):
         return ids
 
 
+def spec_of(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 @lru_cache(2)
 def loaded(path: str) -> Bpe:
-    return Bpe(path)
+    return Bpe(spec_of(path))
+
+
+_by_digest: dict[str, Bpe] = {}
+
+
+def _sent(spark: SparkSession, path: str) -> Callable[[], Bpe]:
+    """For tasks: the tokenizer, from a file that only the driver needs to see; a worker builds it once."""
+    spec = spec_of(path)
+    digest, text = hashlib.sha256(spec.encode()).hexdigest(), spark.sparkContext.broadcast(spec)
+
+    def known() -> Bpe:
+        if digest not in _by_digest:
+            _by_digest.clear()
+            _by_digest[digest] = Bpe(text.value)
+        return _by_digest[digest]
+
+    return known
 
 
 def default_path() -> str:
@@ -224,12 +247,13 @@ def digest(bpe: Bpe, text: str | None, ids: bool = False) -> tuple[int, str, str
 
 def encode_documents(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256), and the ids themselves if asked for. No shuffle."""
-    path, rows = path or default_path(), texts(docs, key, text)
-    schema = f"{key} {dict(rows.dtypes)[key]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    rows = texts(docs, key, text)
+    tokenizer = _sent(docs.sparkSession, path or default_path())
+    schema = f"`{key}` {dict(rows.dtypes)[key]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))[: 3 + with_ids]
 
     def work(batches):
-        bpe = loaded(path)
+        bpe = tokenizer()
         for b in batches:
             all_of = [digest(bpe, t.as_py(), with_ids) for t in b.column(1)]
             columns = [pa.array([x[i] for x in all_of], k) for i, k in enumerate(kinds)]
@@ -240,12 +264,12 @@ def encode_documents(docs: DataFrame, path: str | None = None, key: str = "doc_i
 
 def decode_documents(encoded: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
     """(key, text) of encoded documents (key, ids); null ids give the empty text."""
-    path = path or default_path()
-    rows = encoded.select(key, "ids")
+    tokenizer = _sent(encoded.sparkSession, path or default_path())
+    rows = encoded.select(quoted(key), "ids")
 
     def work(batches):
-        bpe = loaded(path)
+        bpe = tokenizer()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(x.as_py() or []) for x in b.column(1)], pa.string())], [key, "text"])
 
-    return rows.mapInArrow(work, f"{key} {dict(rows.dtypes)[key]}, text string")
+    return rows.mapInArrow(work, f"`{key}` {dict(rows.dtypes)[key]}, text string")

@@ -354,4 +354,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 texts.append(main_text(page.as_py(), *known[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [key, url, "text", "n_chars"])
 
-    return rows.mapInArrow(work, f"{key} {dict(rows.dtypes)[key]}, {url} string, text string, n_chars bigint")
+    return rows.mapInArrow(work, f"`{key}` {dict(rows.dtypes)[key]}, {url} string, text string, n_chars bigint")

@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: Centroids, key: str = "doc_id", text: str =
             columns = [pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], [key, "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(work, f"{key} {dict(rows.dtypes)[key]}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(work, f"`{key}` {dict(rows.dtypes)[key]}, lang_pred string, score double, rejected boolean")
 
 
 def languages(docs: DataFrame, key: str = "doc_id", folds: int = 3, skip: int = 1, **more) -> DataFrame:

@@ -224,4 +224,4 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, key:
                 [key, "n_matches", "licenses", "best_coverage", "matches"],
             )
 
-    return rows.mapInArrow(work, f"{key} {dict(rows.dtypes)[key]}, n_matches bigint, licenses string, best_coverage double, matches string")
+    return rows.mapInArrow(work, f"`{key}` {dict(rows.dtypes)[key]}, n_matches bigint, licenses string, best_coverage double, matches string")

@@ -207,7 +207,7 @@ def judged(docs: DataFrame, model: Trees | None, key: str = "doc_id", text: str
             columns = [*(pa.array(c) for c in n.T), pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], [key, *names, "base_failed", "kept", "score"])
 
-    schema = f"{key} {dict(rows.dtypes)[key]}, {', '.join(f'{n} bigint' for n in names)}, base_failed boolean, kept boolean, score double"
+    schema = f"`{key}` {dict(rows.dtypes)[key]}, {', '.join(f'{n} bigint' for n in names)}, base_failed boolean, kept boolean, score double"
     return rows.mapInArrow(work, schema)
 
 

@@ -310,6 +310,7 @@ def _span_batch(rows):
 def _pieces(corpus: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     """(h, seg, rows, ord, piece): the bytes of each chosen run (h, seg, rows, ord), from a text that has it."""
     own = chosen.groupBy(F.col("ord.k1").alias("k1"), F.col("ord.k2").alias("k2")).agg(F.collect_list(F.struct("h", "seg", "rows", "ord")).alias("runs"))
+    own = stored(own, "asked")  # so that the join deals both sides itself, and can split the rows of a text that many documents are
     asked = corpus.where(F.octet_length("data") >= length).select("data", "k1", "k2").join(own, ["k1", "k2"]).select("data", "k1", "k2", "runs")
 
     def work(batches):

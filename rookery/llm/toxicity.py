@@ -147,7 +147,7 @@ def score(docs: DataFrame, model, key: str = "doc_id", text: str = "text") -> Da
             s = [float(logistic(bias + dense[features(t.as_py())].sum(dtype=np.float64))) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], [key, "score"])
 
-    return rows.mapInArrow(work, f"{key} {dict(rows.dtypes)[key]}, score double")
+    return rows.mapInArrow(work, f"`{key}` {dict(rows.dtypes)[key]}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 10000, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5) -> DataFrame:

@@ -45,6 +45,7 @@ PATTERN_RULES = [
 ]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BUCKETS = 256
+BROADCAST_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ class Rule:
     name: str
     verdict: str
     kind: str  # host or pattern
-    regex: str  # over lowerhost + "\n" + path for host rules, over the lower-cased url for pattern rules
+    regex: str  # over lowerhost + "#" + path for host rules (neither holds a #), over the lower-cased url for pattern rules
     tokens: tuple[str, ...]
     rank: int = 0  # larger wins
 
@@ -62,7 +63,7 @@ def host_rule(verdict: str, text: str) -> Rule:
     path = slash + rest
     closed = [t for t in re.finditer(r"[A-Za-z0-9]+", path) if t.end() < len(path)]
     tokens = [t for t in re.findall(r"[a-z0-9]+", host)] + [t[0].lower() for t in closed]
-    regex = rf"(?s)^(?:.*\.)?{_quoted(host)}\n{_quoted(path)}"
+    regex = rf"(?s)^(?:[^#]*\.)?{_quoted(host)}#{_quoted(path)}"
     return Rule(text, verdict, "host", regex, tuple(tokens))
 
 
@@ -156,7 +157,7 @@ _KIND = "array<struct<rank:int,token:string,on_host:boolean,name:string,verdict:
 def _subjects(rows: DataFrame) -> DataFrame:
     url = F.col("url")
     return rows.withColumns(
-        {"subject": F.concat(host_of(url), F.lit("\n"), path_of(url)), "lower_url": F.translate(F.coalesce(url, F.lit("")), _UPPER, _LOWER), "tokens": tokens_of(url)}
+        {"subject": F.concat(host_of(url), F.lit("#"), path_of(url)), "lower_url": F.translate(F.coalesce(url, F.lit("")), _UPPER, _LOWER), "tokens": tokens_of(url)}
     )
 
 
@@ -179,11 +180,15 @@ def _by_array(rows: DataFrame, by: dict) -> DataFrame:
 
 
 def _by_join(rows: DataFrame, by: dict) -> DataFrame:
-    """For rule sets too large for a literal: distinct urls' tokens join the rules on the token."""
+    """For rule sets too large for a literal: distinct urls' tokens join the rules on the token. Rules come from the driver; where
+    their text is at most BROADCAST_BYTES the join is a broadcast, so that a common token does not gather its urls in one task."""
     spark = rows.sparkSession
     data = [(r.rank, t or "", r.kind == "host", r.name, r.verdict, r.regex) for t, rules in by.items() for r in rules]
     index = spark.createDataFrame(data, "rank int, token string, on_host boolean, name string, verdict string, regex string")
-    urls = _subjects(rows.select("url").distinct()).withColumn("token", F.explode(F.concat("tokens", F.array(F.lit("")))))
+    if sum(len(x) for row in data for x in row if isinstance(x, str)) <= BROADCAST_BYTES:
+        index = F.broadcast(index)
+    every = F.array(*[F.lit("")] * (None in by)).cast("array<string>")
+    urls = _subjects(rows.select("url").distinct()).withColumn("token", F.explode(F.concat("tokens", every)))
     rule = F.struct("rank", "token", "on_host", "name", "verdict", "regex")
     hits = urls.join(index, "token").where(F.regexp_like(F.when(F.col("on_host"), F.col("subject")).otherwise(F.col("lower_url")), F.col("regex")))
     won = hits.groupBy("url").agg(F.max(rule).alias("won"))

@@ -29,6 +29,7 @@ URLS = [
     "http://a.com/x", "http://example.com/en/1", "https://WWW.Example.com/en/", "http://b.www.example.com/en/2?q", "http://x.net/es/1",
     "http://x.net/ES/1", "http://net/fr/", "http://notcom/x", "http://com", "http://a.com?x/y", None, "", "no scheme", "http://casino.org/x",
     "https://wiki.casino.org/", "http://my-casino.org", "http://xcasinox.org", "x://y://z.com/", "http://é.com/ü#z", "http://a.com/x",
+    "http://foo.org/a.com\n/b", "http://a\nb.com/x", "http://x.org\ny.net/es/\n", "http://www.example.com\n/en/",
 ]
 
 

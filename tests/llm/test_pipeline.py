@@ -15,6 +15,7 @@ from .test_operators import (
     components_brute,
     contamination_brute,
     fingerprint_brute,
+    first_copies_brute,
     repeats_brute,
     statistics_brute,
     url_brute,
@@ -58,21 +59,38 @@ def folder(spark, tmp_path_factory):
     return path, docs, items, pages
 
 
+def similar_brute(ids, texts, size=5, similarity=0.8):
+    """The least id that links of five-word shingles' similarity reach."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+    sets = [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in split]
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    return [min(ids[j] for j in range(len(ids)) if find(j) == find(i)) for i in range(len(ids))]
+
+
 def test_pipeline_against_brute_force(spark, folder):
     path, docs, items, _ = folder
     kept = [d for d in docs if langid.has_letter(d[1])]
     assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, spark.read.parquet(f"{path}/documents.parquet"), path).collect()) == sorted(d[0] for d in kept)
-    fps = [fingerprint_brute(d[1]) for d in kept]
-    first = components_brute([d[0] for d in kept], fps)
+    first = similar_brute([d[0] for d in kept], [d[1] for d in kept])
     seen, one = set(), []
     for d, c in zip(kept, first, strict=True):
         if d[0] == c and d[0] not in seen:
             seen.add(d[0])
             one.append(d)
-    cut = []
-    for d, (_, removed, _, _, left) in zip(one, repeats_brute([d[1] for d in one], 200), strict=True):
-        text = left.decode("utf-8", "ignore") if removed else d[1]
-        if text.strip() or not removed:
+    cut, one = [], sorted(one)
+    for d, left in zip(one, first_copies_brute([d[1] for d in one], 200), strict=True):
+        text = left.decode("utf-8", "ignore")
+        if text.strip() or text == d[1]:
             cut.append((d[0], text))
     clean = [d for d, c in zip(cut, contamination_brute([t for _, t in cut], items), strict=True) if not c[4]]
     own = bpe.loaded(bpe.default_path())
@@ -87,7 +105,8 @@ def test_pipeline_against_brute_force(spark, folder):
 def test_stages_keep_the_columns(spark, folder):
     path = folder[0]
     docs = spark.read.parquet(f"{path}/documents.parquet")
-    wide = docs.selectExpr("*", "1 as score", "'x' as fp", "2 as key", "3 as spans", "4 as rookery", "5 as t1", "6 as item")
+    wide = docs.selectExpr("*", "1 as score", "'x' as fp", "2 as key", "3 as spans", "4 as rookery", "5 as t1", "6 as item", "7 as rookery_words",
+                           "8 as rookery_spans", "9 as ROOKERY_K1", "10 as rookery_key", "11 as rookery_first")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, path).dtypes == docs.dtypes, name
         assert stage(spark, wide, path).columns == wide.columns, name
