@@ -8,8 +8,9 @@ carry them. Links are deduplicated and verified by their differing bits.
 
 `near_copies` is for a stage that must find near copies by the similarity of their shingles: two bits of radius lose most pairs of
 Jaccard similarity 0.8, so blocks of minimal hashes give candidates beside the balls, and each candidate is checked by the exact
-Jaccard similarity of the two sets of shingles. Under a block each set meets the least, the greatest and the one before it, so a
-block's pairs are never all made; pairs that meet in none of their blocks this way stay linked through others, or are lost.
+Jaccard similarity of the two sets of shingles. Under a block each set first meets the least one. Then the sets of a block that are not
+yet connected meet again in small groups of about NEIGHBOURS, dealt by another hash for each block, all with all. A block's pairs are
+never all made, so a link between two groups of a block is found if they meet in one of the blocks they share.
 
 Defined results: null and empty texts and texts without words have fingerprint zero, linked like any
 other; fewer words than a shingle form one shingle; repeated rows each get a row; a null doc_id takes
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_names, quoted, stored, text_hash, word_blocks
+from .common import bounded_batches, dropped, free_names, quoted, stored, text_hash, word_blocks
 from .components import connected_components
 
 
@@ -80,7 +81,8 @@ def near_links(distinct: DataFrame, radius: int) -> DataFrame:
     if radius == 4:
         two = "flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> fp ^ shiftleft(1L, i) ^ shiftleft(1L, j))))"
         ball = f"concat({ball}, {two})"
-    variants = distinct.select(fp, F.explode(F.expr(ball)).alias("variant"))
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but each row becomes many
+    variants = distinct.repartition(parts, fp).select(fp, F.explode(F.expr(ball)).alias("variant"))
     least = F.min("fp").over(Window.partitionBy("variant"))
     return (
         variants.select(F.col("fp").alias("a"), least.alias("b"))
@@ -137,6 +139,8 @@ def _first_of_groups(docs: DataFrame, fps: DataFrame, labels: DataFrame, key: st
 
 
 BANDS, BAND_ROWS = 20, 5
+#: Sets of a block that meet all with all, on average.
+NEIGHBOURS = 8
 _RNG = np.random.default_rng(20240807)
 _FACTORS = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RNG.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64)
@@ -176,40 +180,69 @@ def _sketches(docs: DataFrame, shingle_words: int, key: str, text: str) -> DataF
     return rows.mapInArrow(work, f"key {dict(rows.dtypes)['key']}, t1 bigint, t2 bigint, fp bigint, simhash bigint, bands array<bigint>")
 
 
-def _similar(docs: DataFrame, links: DataFrame, fps: DataFrame, shingle_words: int, similarity: float, text: str) -> DataFrame:
-    """The links (a, b) whose sets of shingles have the Jaccard similarity; sets are made anew from one text each."""
-    wanted = links.select(F.col("a").alias("fp")).union(links.select("b")).distinct()
-    one = fps.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("t1", "t2")).alias("x")).select("fp", F.col("x.t1").alias("t1"), F.col("x.t2").alias("t2"))
-    t1, t2 = text_hash(F.col(f"`{text}`"))
-    rows = docs.select(F.col(f"`{text}`").alias("text"), t1, t2).join(one, ["t1", "t2"]).select("fp", "text")
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, fps: DataFrame, shingle_words: int, text: str) -> DataFrame:
+    """(fp, own): the wanted sets of shingles, made anew from one text each."""
+    one = fps.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("t1", "t2")).alias("x"))
+    one = stored(one.select("fp", F.col("x.t1").alias("t1"), F.col("x.t2").alias("t2")), "one")
+    t1, t2 = text_hash(quoted(text))
+    rows = docs.select(quoted(text).alias("text"), t1.alias("t1"), t2.alias("t2")).join(one, ["t1", "t2"]).select("fp", "text")
 
     def work(batches):
         for b in batches:
-            sets = [shingle_set(t.as_py(), shingle_words)[1].view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "own"])
+            known, sets = set(), []
+            for fp, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if fp not in known:
+                    sets.append((fp, shingle_set(t.as_py(), shingle_words)[1].view(np.int64)))
+                known.add(fp)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.list_(pa.int64()))], ["fp", "own"])
 
     sets = stored(rows.mapInArrow(work, "fp bigint, own array<bigint>").dropDuplicates(["fp"]), "sets")
+    dropped(one)
+    return sets
+
+
+def _similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose sets of shingles have the Jaccard similarity."""
     both = links.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
     return both.where(F.col("n") >= similarity * (F.col("m") - F.col("n")) - 1e-9).select("a", "b")
 
 
+def _pairs(links: DataFrame, other: str) -> DataFrame:
+    return links.where(f"{other} <> fp").select(F.greatest("fp", other).alias("a"), F.least("fp", other).alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """As one_of_each_group, but groups are linked by the Jaccard similarity of their shingles."""
     fps = stored(_sketches(docs, shingle_words, key, text), "sketches")
-    sets = fps.groupBy("fp").agg(F.first("simhash").alias("simhash"), F.first("bands").alias("bands"))
-    sets = stored(sets, "distinct")
+    sets = stored(fps.groupBy("fp").agg(F.first("simhash").alias("simhash"), F.first("bands").alias("bands")), "distinct")
     rows = sets.select("fp", F.explode("bands").alias("band"))
-    under, order = Window.partitionBy("band"), Window.partitionBy("band").orderBy("fp")
-    met = rows.select("fp", F.array(F.min("fp").over(under), F.max("fp").over(under), F.lag("fp").over(order)).alias("others"))
-    links = met.select("fp", F.explode("others").alias("other"))
-    one = sets.groupBy("simhash").agg(F.min("fp").alias("first"))
-    links = links.unionByName(sets.join(one, "simhash").select("fp", F.col("first").alias("other")))
+    blocks = stored(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least")).where("n > 1"), "blocks")
+    met = stored(rows.join(blocks, "band"), "met")
+    one = sets.groupBy("simhash").agg(F.min("fp").alias("least"))
+    links = met.select("fp", "least").unionByName(sets.join(one, "simhash").select("fp", "least"))
     balls = near_links(one.select(F.col("simhash").alias("fp")), radius)
-    first = lambda c, n: one.select(F.col("simhash").alias(c), F.col("first").alias(n))
-    links = links.unionByName(balls.join(first("a", "fp"), "a").join(first("b", "other"), "b").select("fp", "other"))
-    links = links.where("other is not null and other <> fp").select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct()
-    links = stored(links, "candidates")
-    roots = connected_components(_similar(docs, links, fps, shingle_words, similarity, text))
+    of = lambda c, n: one.select(F.col("simhash").alias(c), F.col("least").alias(n))
+    links = links.unionByName(balls.join(of("a", "fp"), "a").join(of("b", "least"), "b").select("fp", "least"))
+    links = stored(_pairs(links, "least"), "candidates")
+    wanted = met.select("fp").unionByName(links.select(F.col("a").alias("fp"))).unionByName(links.select(F.col("b").alias("fp"))).distinct()
+    shingles = _shingle_sets(docs, wanted, fps, shingle_words, text)
+    sure = stored(_similar(links, shingles, similarity), "links")
+    roots = connected_components(sure)
+    sure = sure.unionByName(_similar(_meeting_again(met, roots), shingles, similarity))
+    roots = connected_components(stored(sure, "links"))
     labels = sets.select("fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     return _first_of_groups(docs, fps.select("key", "t1", "t2", "fp"), stored(labels, "labels"), key, text)
+
+
+def _meeting_again(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that share a block and are not connected yet: of each block's connected groups one set each, dealt into small
+    groups, all with all. The chosen set differs from block to block."""
+    rooted = met.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", F.coalesce("root", "fp").alias("root"))
+    own = rooted.groupBy("band", "root").agg(F.min(F.struct(F.xxhash64("fp", "band").alias("r"), "fp")).alias("x"))
+    own = stored(own.select("band", "root", "x.r", "x.fp"), "groups")
+    many = own.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = own.join(many, "band").withColumn("deal", F.pmod("r", F.ceil(F.col("n") / NEIGHBOURS)))
+    near = dealt.groupBy("band", "deal").agg(F.collect_set("fp").alias("fps"))
+    pair = near.select(F.explode("fps").alias("fp"), "fps").select("fp", F.explode("fps").alias("other"))
+    return stored(_pairs(pair, "other"), "again")
