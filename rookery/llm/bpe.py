@@ -184,16 +184,19 @@ _CHARACTERS = byte_characters()
 
 
 class _Pieces(dict):
-    """Ids of pieces seen lately."""
+    """Ids of pieces seen lately, in two halves: when the new one is full it takes the place of the old one."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.encode_piece(piece.encode("utf-8")), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = np.array(self.bpe.encode_piece(piece.encode("utf-8")), "<u4").tobytes()
         if len(piece) <= 64:
-            if len(self) >= KEPT_PIECES:
+            if len(self) >= KEPT_PIECES // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
