@@ -65,8 +65,13 @@ def load_eviction(log: DataFrame, max_bytes: int) -> DataFrame:
     """(id, evicted) of every distinct insert that ends live or evicted when events are loaded one after the other.
 
     Whenever the store passes 90 % of the limit, the oldest go until 70 %. That is a fold over the order of arrival, so one task
-    does it, over four narrow columns; what it holds is bounded by max_bytes, not by the log.
+    does it, over five narrow columns; what it holds is bounded by max_bytes, not by the log: entries of events that are gone leave the
+    heap when they are more than the live ones. Without a limit nothing goes, and each cell's last insert stays.
     """
+    if max_bytes == 0:
+        last = F.row_number().over(Window.partitionBy("route").orderBy(F.desc("seq")))
+        rows = log.select("seq", "id", route_key("id", "pubkey", "kind", "tags").alias("route")).withColumn("_n", last)
+        return rows.where("_n = 1").select("id", F.lit(False).alias("evicted"))
     rows = log.select("seq", "id", route_key("id", "pubkey", "kind", "tags").alias("route"), "created_at", "raw_bytes")
     start, stop = percent_of(max_bytes, LOAD_FROM), percent_of(max_bytes, LOAD_TO)
 
@@ -77,7 +82,7 @@ def load_eviction(log: DataFrame, max_bytes: int) -> DataFrame:
         used = 0
         for batch in batches:
             gone = []
-            for _, id_, route, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for id_, route, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if id_ in routes:
                     continue
                 if route in held:
@@ -87,6 +92,9 @@ def load_eviction(log: DataFrame, max_bytes: int) -> DataFrame:
                 held[route], routes[id_] = (id_, size), route
                 used += size
                 heapq.heappush(ages, (at, _descending(id_), id_))
+                if len(ages) > 2 * len(routes) + 1000:
+                    ages = list({x[2]: x for x in ages if x[2] in routes}.values())
+                    heapq.heapify(ages)
                 if max_bytes and used > start:
                     while used > stop and ages:
                         _, _, oldest_id = heapq.heappop(ages)
@@ -96,7 +104,8 @@ def load_eviction(log: DataFrame, max_bytes: int) -> DataFrame:
             yield _told(gone, True)
         yield _told(list(routes), False)
 
-    return rows.repartition(1).sortWithinPartitions("seq").mapInArrow(fold, "id string, evicted boolean")
+    ordered = rows.repartition(1).sortWithinPartitions("seq").drop("seq")
+    return ordered.mapInArrow(fold, "id string, evicted boolean")
 
 
 def _told(ids: list[str], gone: bool) -> pa.RecordBatch:

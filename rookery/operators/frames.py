@@ -68,7 +68,7 @@ def parse_message(frame) -> Column:
     for k, said in wrong.items():
         error = error.when((name == k) & text(1).isNull(), said)
     error = error.when((name == "OK") & (kind_at(2) != "BOOLEAN"), "Invalid OK accepted field").when((name == "OK") & text(3).isNull(), "Invalid OK message")
-    parts = F.transform(F.slice(F.try_variant_get(v, "$", "array<variant>"), 3, 1_000_000), lambda x: F.to_json(x))
+    parts = F.transform(F.slice(F.try_variant_get(v, "$", "array<variant>"), F.lit(3), F.greatest(n, F.lit(0))), lambda x: F.to_json(x))
     good = error.isNull()
     return F.struct(
         F.when(good, name).alias("type"),

@@ -19,7 +19,14 @@ def _routed(log: DataFrame) -> DataFrame:
 
 
 def outcomes(log: DataFrame) -> DataFrame:
-    """log with outcome (stored, duplicate, ephemeral) and replaced_id, for a log without deletes and eviction.
+    """log with outcome (stored, duplicate, ephemeral) and replaced_id, for a log without deletes and eviction."""
+    stored = _told(log).drop(_ROUTE)
+    passing = log.where(is_ephemeral("kind")).select("*", F.lit("ephemeral").alias("outcome"), F.lit(None).cast("string").alias("replaced_id"))
+    return stored.unionByName(passing)
+
+
+def _told(log: DataFrame) -> DataFrame:
+    """log without ephemeral events, with outcome (stored, duplicate), replaced_id and the route key.
 
     One shuffle on the route key (replacement key, else id): an event is a duplicate if the arrival before it in its
     cell has its id; otherwise it replaces that one.
@@ -27,21 +34,20 @@ def outcomes(log: DataFrame) -> DataFrame:
     before = F.lag("id").over(Window.partitionBy(_ROUTE).orderBy("seq"))
     rows = _routed(log.where(~is_ephemeral("kind"))).withColumn("_before", before)
     same = F.coalesce(F.col("_before") == F.col("id"), F.lit(False))
-    stored = rows.select(
+    return rows.select(
         *log.columns,
+        _ROUTE,
         F.when(same, "duplicate").otherwise("stored").alias("outcome"),
         F.when(~same & is_replaceable("kind"), F.col("_before")).alias("replaced_id"),
     )
-    passing = log.where(is_ephemeral("kind")).select("*", F.lit("ephemeral").alias("outcome"), F.lit(None).cast("string").alias("replaced_id"))
-    return stored.unionByName(passing)
 
 
 def live(log: DataFrame) -> DataFrame:
     """The events that are stored after the whole log. A replaceable cell keeps its last arrival (an arrival with the live id
-    changes nothing, so the first of the last stretch of equal ids is the stored row); others their first."""
-    rows = outcomes(log).where("outcome = 'stored'")
+    changes nothing, so the first of the last stretch of equal ids is the stored row); others their first. One shuffle: both windows
+    stand on the same route key."""
     last = F.row_number().over(Window.partitionBy(_ROUTE).orderBy(F.desc("seq")))
-    return _routed(rows).withColumn("_n", last).where("_n = 1").select(*log.columns)
+    return _told(log).where("outcome = 'stored'").withColumn("_n", last).where("_n = 1").select(*log.columns)
 
 
 def replaced(log: DataFrame) -> DataFrame:
@@ -85,9 +91,18 @@ def replay(ops: DataFrame) -> DataFrame:
     return kept.drop("_gone")
 
 
-def replay_counts(ops: DataFrame, errors: int = 0, evicted: int = 0) -> DataFrame:
-    """One row of load counters: operations applied, lines that were none, events evicted."""
-    return ops.agg(F.count(F.lit(1)).alias("applied"), F.lit(errors).cast("bigint").alias("errors"), F.lit(evicted).cast("bigint").alias("evicted"))
+def replay_counts(ops: DataFrame, max_bytes: int = 0) -> DataFrame:
+    """One row of load counters: operations applied (op is not null), records that were none (op is null), and, with a limit, the events
+    that loading the inserts one after the other evicts."""
+    from .evict import load_eviction
+
+    one = ops.agg(F.count("op").alias("applied"), F.count_if(F.col("op").isNull()).alias("errors"))
+    if not max_bytes:
+        return one.withColumn("evicted", F.lit(0).cast("bigint"))
+    order = F.struct("segment", "pos")
+    inserts = ops.where("op = 'insert'").withColumn("seq", order)
+    gone = load_eviction(inserts, max_bytes).agg(F.count_if("evicted").alias("evicted")).scalar()
+    return one.withColumn("evicted", gone)
 
 
 def compacted(ops: DataFrame, live_ids: DataFrame) -> DataFrame:

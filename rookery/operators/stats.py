@@ -63,14 +63,53 @@ def median_created_at(events: DataFrame) -> DataFrame:
     return _value_at(counts, total // 2).select(F.col("created_at").alias("median_created_at"))
 
 
+#: Bits that a step of _value_at tells apart; so many counts at most come to the driver.
+STEP = 12
+
+
 def _value_at(counts: DataFrame, place: int) -> DataFrame:
-    """The created_at that holds the given place (from 0) among counted values: day by day first, then within the day."""
-    days = counts.groupBy(F.floor(F.col("created_at") / 86400).alias("day")).agg(F.sum("n").alias("n"))
-    before = F.sum("n").over(Window.orderBy("day")) - F.col("n")
-    day = days.withColumn("before", before).where((F.col("before") <= place) & (F.lit(place) < F.col("before") + F.col("n"))).select("day", "before")
-    rows = counts.withColumn("day", F.floor(F.col("created_at") / 86400)).join(F.broadcast(day), "day")
-    upto = F.sum("n").over(Window.partitionBy("day").orderBy("created_at")) + F.col("before")
-    return rows.withColumn("upto", upto).where((F.col("upto") - F.col("n") <= place) & (F.lit(place) < F.col("upto")))
+    """The row of the created_at that holds the given place (from 0) among counted values (created_at, n), from its high bits down."""
+    low, high = counts.agg(F.min("created_at"), F.max("created_at")).first()
+    if low is None:
+        return counts.limit(0)
+    shift = -(-(high - low).bit_length() // STEP) * STEP
+    while shift:
+        shift -= STEP
+        part = F.shiftright(F.col("created_at") - low, shift)
+        found = counts.where((F.col("created_at") >= low) & (F.col("created_at") <= high)).groupBy(part.alias("part")).agg(F.sum("n").alias("n"))
+        for part_no, n in sorted(tuple(r) for r in found.collect()):
+            if place < n:
+                low, high = low + (part_no << shift), min(high, low + (part_no + 1 << shift) - 1)
+                break
+            place -= n
+    return counts.where(F.col("created_at") == low)
+
+
+def counters(outcomes: DataFrame, subs: DataFrame | None = None, replies: DataFrame | None = None) -> DataFrame:
+    """(name, value): what was saved, found twice, passed on or replaced; with subs (conn, sub_id) the gauges of connections and
+    subscriptions; with replies (conn, frame) the events and bytes that went out. Counts of one batch: totals are their sums."""
+
+    def rows(df: DataFrame, **cells) -> DataFrame:
+        one = df.agg(*(c.cast("bigint").alias(k) for k, c in cells.items()))
+        return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.coalesce(k, F.lit(0)).alias("value")) for k in cells))).alias("c")).select("c.*")
+
+    of = lambda name: F.count_if(F.col("outcome") == name)
+    out = rows(
+        outcomes, events_saved_total=of("stored"), events_duplicate_total=of("duplicate"), events_ephemeral_total=of("ephemeral"),
+        events_replaced_total=F.count("replaced_id"),
+    )
+    if subs is not None:
+        out = out.unionByName(rows(subs, active_connections=F.countDistinct("conn"), active_subscriptions=F.countDistinct("conn", "sub_id")))
+    if replies is not None:
+        out = out.unionByName(rows(replies, events_output_total=F.count_if(F.col("frame").startswith('["EVENT"')), bytes_output_total=F.sum(F.octet_length("frame"))))
+    return out
+
+
+def counter_lines(values: DataFrame) -> DataFrame:
+    """(line): counters and gauges (name, value) in Prometheus text form."""
+    kind = F.when(F.col("name").endswith("_total"), "counter").otherwise("gauge")
+    lines = F.array(F.concat(F.lit("# TYPE "), "name", F.lit(" "), kind), F.concat("name", F.lit(" "), F.col("value").cast("string")))
+    return values.select("name", F.posexplode(lines).alias("n", "line")).orderBy("name", "n").select("line")
 
 
 def histogram(values: DataFrame, column: str, edges: list[float]) -> DataFrame:

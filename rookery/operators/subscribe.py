@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tag_value
@@ -45,8 +45,9 @@ def closed(current: DataFrame, conn: str, sub_id: str | None = None) -> DataFram
     return current.where(~(gone & (F.col("sub_id") == sub_id) if sub_id is not None else gone))
 
 
-def matched(events: DataFrame, subs: DataFrame, each_filter: bool = False, loop_filters: int | None = None) -> DataFrame:
-    """(conn, sub_id, id) once for each event and subscription that match; with each_filter also filter_no, once for each filter."""
+def matched(events: DataFrame, subs: DataFrame, each_filter: bool = False, loop_filters: int | None = None, more: list[str] | None = None) -> DataFrame:
+    """(conn, sub_id, id) once for each event and subscription that match; with each_filter also filter_no, once for each filter, and more columns of
+    the event."""
     names = ("ids", "authors", "kinds", "tags", "since", "until")
     filters = subs.select("conn", "sub_id", "filter_no", *(F.col(n).alias(f"f_{n}") for n in names))
     filters = filters.withColumn("f_tags", F.coalesce("f_tags", F.create_map().cast("map<string,array<string>>")))
@@ -73,19 +74,35 @@ def matched(events: DataFrame, subs: DataFrame, each_filter: bool = False, loop_
     own = [F.struct(F.lit(p).alias("path"), F.col(c).cast("string").alias("key")) for p, c in (("id", "id"), ("author", "pubkey"), ("kind", "kind"))]
     narrow = events.select("id", "pubkey", "kind", "created_at", "tags")
     probes = narrow.withColumn("probe", F.explode(F.array_distinct(F.concat(F.array(*own), tags)))).select("*", "probe.path", "probe.key").drop("probe")
-    out = ["conn", "sub_id", "id"] + ["filter_no"] * each_filter
+    out = ["conn", "sub_id", "id"] + ["filter_no"] * each_filter + (more or [])
     parts = [probes.join(keyed, ["path", "key"]).where(row_matches()).select(*out)]
     loop = filters.where("path = 'loop'")
     n = loop.count() if loop_filters is None else loop_filters
     if n:
         in_time = F.coalesce(F.col("created_at") >= F.col("f_since"), F.lit(True)) & F.coalesce(F.col("created_at") <= F.col("f_until"), F.lit(True))
-        loop = F.broadcast(loop) if n <= BROADCAST_FILTERS else loop
-        parts.append(narrow.join(loop, in_time).select(*out))
+        loops = -(-n // BROADCAST_FILTERS)
+        of = F.pmod(F.xxhash64("conn", "sub_id", "filter_no"), F.lit(loops))
+        for i in range(loops):  # each part of a size that may be sent to all events; nearly all pairs are answers
+            parts.append(narrow.join(F.broadcast(loop.where(of == i) if loops > 1 else loop), in_time).select(*out))
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def stored_answers(events: DataFrame, requests: list[tuple[str, str, list[Filter]]], mode: str = "strict") -> DataFrame:
-    """Stored results of every filter of every subscription: (conn, sub_id, filter_no, id)."""
+    """Stored results of every filter of every subscription: (conn, sub_id, filter_no, id). In strict mode one scan serves them all: the
+    filters join the events, then each filter's limit cuts its rows, of which no task keeps more than the largest limit."""
+    if mode == "strict":
+        spark = events.sparkSession
+        cap = [(conn, sub, i, f.limit) for conn, sub, filters in requests for i, f in enumerate(filters)]
+        limits = F.broadcast(spark.createDataFrame(cap, "conn string, sub_id string, filter_no int, f_limit long"))
+        key = ["conn", "sub_id", "filter_no"]
+        hits = matched(events, subscriptions(spark, requests), True, more=["created_at"]).join(limits, key)
+        answers = hits.where("f_limit is null").select(*key, "id")
+        most = max((c[3] for c in cap if c[3] is not None), default=None)
+        if most is None:
+            return answers
+        place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("created_at"), F.asc("id")))
+        cut = hits.where("f_limit is not null").withColumn("_n", place).where((F.col("_n") <= most) & (F.col("_n") <= F.col("f_limit")))
+        return answers.unionByName(cut.select(*key, "id"))
     parts = [
         query(events, f, mode).select(F.lit(conn).alias("conn"), F.lit(sub).alias("sub_id"), F.lit(i).alias("filter_no"), "id")
         for conn, sub, filters in requests

@@ -1,7 +1,13 @@
 """A store's life on disk: snapshots, the operation log in Parquet, checkpoints, recovery.
 
-A store folder holds snapshots `snapshot-N` (one raw event a line) and log batches `log/batch=N` (seq, op, id, raw). The
-snapshot of the highest number whose write is complete is the one that counts, so writing a new one never harms the old.
+A store folder holds snapshots `snapshot-N` (live events in Parquet, by bucket of their route key, ordered by kind and time) and log
+batches `log/batch-N` (seq, op, id, raw). The snapshot of the highest number whose write is complete is the one that counts, so writing
+a new one never harms the old. What is live is the snapshot without the cells and ids that later batches touch, and what those
+batches leave: filters reach the snapshot's scan.
+
+A batch's number belongs to the writer that could create its marker in `claims`; a stream's retry finds the number of its first try
+in `keys`. A checkpoint covers the batches before the first number that is claimed and not yet written, so that no late
+commit is lost; `release` gives up the number of a writer that died.
 """
 
 from __future__ import annotations
@@ -10,14 +16,19 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..model import EVENT_COLUMNS
+from ..functions import route_key
+from ..model import EVENT_COLUMNS, EVENT_SCHEMA
 from ..operators.state import compacted, outcomes, replay
 from ..sources.parse import parsed
 
 #: Fixed numbers of the policy.
 MIN_CHECKPOINT_BYTES, LIVE_FACTOR = 64 * 1024 * 1024, 2
 OPS_SCHEMA = "seq bigint, op string, id string, raw string"
+#: Parts of a snapshot by route key, of which an insert reads those it touches.
+BUCKETS = 16
+SNAPSHOT_SCHEMA = T.StructType([*EVENT_SCHEMA.fields, T.StructField("_route", T.StringType()), T.StructField("bucket", T.IntegerType())])
 
 
 class Folder:
@@ -39,6 +50,36 @@ class Folder:
         done = [int(m[1]) for n, full in names if (m := re.fullmatch(pattern, n)) and fs.exists(self._jvm(f"{full}/_SUCCESS"))]
         return sorted(done)
 
+    def names(self, below: str) -> list[str]:
+        p, fs = self._fs(f"{self.path}{below}")
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def claims(self) -> list[int]:
+        return sorted(int(n) for n in self.names("/claims") if n.isdigit())
+
+    def claim(self, key: str | None = None) -> int:
+        """A batch's number that no other writer gets, and with a key (writer-batch) the one that the key got before."""
+        known = [int(m[1]) for n in self.names("/keys") if key and (m := re.fullmatch(re.escape(key) + r"=(\d+)", n))]
+        if known:
+            return max(known)
+        number = max([*self.batches(), *self.snapshots(), *self.claims()], default=0) + 1
+        while not self._created(f"/claims/{number}"):
+            number += 1
+        if key:
+            self._created(f"/keys/{key}={number}")
+            writer, _, at = key.rpartition("-")
+            for n in self.names("/keys"):  # only a writer's last batch can be tried again
+                if (m := re.fullmatch(re.escape(writer) + r"-(\d+)=\d+", n)) and int(m[1]) < int(at):
+                    self.delete(f"/keys/{n}")
+        return number
+
+    def _created(self, below: str) -> bool:
+        p, fs = self._fs(f"{self.path}{below}")
+        return fs.createNewFile(p)
+
+    def release(self, number: int) -> None:
+        self.delete(f"/claims/{number}")
+
     def delete(self, below: str) -> None:
         p, fs = self._fs(f"{self.path}{below}")
         fs.delete(p, True)
@@ -50,9 +91,13 @@ class Folder:
         return self.numbers("/log", r"batch-(\d+)")
 
 
-def append_ops(folder: Folder, ops: DataFrame, batch: int) -> None:
-    """One commit of operations (seq, op, id, raw); the same batch written again takes its own place, so retries are safe."""
+def append_ops(folder: Folder, ops: DataFrame, batch: int | None = None, key: str | None = None) -> int:
+    """One commit of operations (seq, op, id, raw) under a number of its own, which it returns; a given number, or the same key again,
+    takes its own place, so retries are safe."""
+    if batch is None:
+        batch = folder.claim(key)
     ops.select("seq", "op", "id", "raw").write.mode("overwrite").parquet(f"{folder.path}/log/batch-{batch}")
+    return batch
 
 
 def ops_of(log: DataFrame) -> DataFrame:
@@ -64,13 +109,9 @@ def ops_of(log: DataFrame) -> DataFrame:
 
 
 def read_ops(folder: Folder) -> DataFrame:
-    """(segment, pos, op, events' columns): the newest snapshot as segment 0, then the batches after it."""
-    spark, last = folder.spark, folder.snapshots()
-    after = last[-1] if last else -1
-    parts = []
-    if last:
-        lines = spark.read.text(f"{folder.path}/snapshot-{after}").where(F.trim("value") != "")
-        parts.append(lines.select(F.lit(0).cast("bigint").alias("segment"), F.monotonically_increasing_id().alias("pos"), F.lit("insert").alias("op"), F.lit(None).cast("string").alias("wanted"), F.col("value").alias("raw")))
+    """(segment, pos, op, events' columns): the batches after the newest snapshot."""
+    spark, parts = folder.spark, []
+    after = max(folder.snapshots(), default=-1)
     for n in folder.batches():
         if n > after:
             ops = spark.read.schema(OPS_SCHEMA).parquet(f"{folder.path}/log/batch-{n}")
@@ -91,28 +132,59 @@ def _operations(records: DataFrame) -> DataFrame:
     return inserts.unionByName(deletes, allowMissingColumns=True)
 
 
-def recover(folder: Folder) -> DataFrame:
-    """Live events; seq is the order of recovery (segment, then place)."""
-    rows = replay(read_ops(folder))
-    return rows.withColumn("seq", F.col("segment") * F.lit(1 << 44) + F.col("pos")).select(*EVENT_COLUMNS)
+def routed(events: DataFrame) -> DataFrame:
+    """events with their route key and its bucket."""
+    rows = events.withColumn("_route", route_key("id", "pubkey", "kind", "tags"))
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("_route"), F.lit(BUCKETS)).cast("int"))
+
+
+def recover(folder: Folder, buckets: list[int] | None = None, upto: int | None = None) -> DataFrame:
+    """Live events; seq is the order of recovery (segment, then place). With buckets only those of these buckets, with their
+    route key; upto leaves out later batches."""
+    spark, last = folder.spark, folder.snapshots()
+    columns = EVENT_COLUMNS + ["_route"] * (buckets is not None)
+    ops = read_ops(folder) if upto is None else read_ops(folder).where(F.col("segment") <= upto + 1)
+    fresh = replay(ops).withColumn("seq", F.col("segment") * F.lit(1 << 44) + F.col("pos"))
+    fresh = routed(fresh.select(*EVENT_COLUMNS))
+    if buckets is not None:
+        fresh = fresh.where(F.col("bucket").isin(buckets))
+    if not last:
+        return fresh.select(*columns)
+    held = spark.read.schema(SNAPSHOT_SCHEMA).parquet(f"{folder.path}/snapshot-{last[-1]}")
+    if buckets is not None:
+        held = held.where(F.col("bucket").isin(buckets))
+    if not any(n > last[-1] and (upto is None or n <= upto) for n in folder.batches()):
+        return held.select(*columns)
+    cells = ops.where("op = 'insert'").select(route_key("id", "pubkey", "kind", "tags").alias("_route")).distinct()
+    held = held.join(cells, "_route", "left_anti").join(ops.where("op = 'delete'").select("id").distinct(), "id", "left_anti")
+    return held.select(*columns).unionByName(fresh.select(*columns))
 
 
 def write_snapshot(folder: Folder, live_events: DataFrame, number: int) -> str:
-    path = f"{folder.path}/snapshot-{number}"
+    """One raw event a line, for other programs; returns the path."""
+    path = f"{folder.path}/lines-{number}"
     live_events.select("raw").write.mode("overwrite").text(path)
     return path
 
 
 def checkpoint(folder: Folder) -> int:
-    """Writes what is live as the snapshot of the newest batch, then deletes what it covers; returns the snapshot's number."""
-    batches = folder.batches()
-    number = batches[-1] if batches else max(folder.snapshots(), default=0)
-    old = [n for n in folder.snapshots() if n < number]
-    write_snapshot(folder, recover(folder), number)
-    for n in batches:
+    """Writes what is live as the snapshot of the newest batch that no open number precedes, then deletes what it covers; returns the
+    snapshot's number."""
+    done, old = folder.batches(), folder.snapshots()
+    last = max(old, default=0)
+    opened = min((n for n in folder.claims() if n > last and n not in done), default=None)
+    covered = [n for n in done if opened is None or n < opened]
+    number = max([last, *covered])
+    if number not in old:
+        rows = routed(recover(folder, upto=number)).repartitionByRange("bucket", "kind", "created_at").sortWithinPartitions("bucket", "kind", "created_at")
+        rows.select(*EVENT_COLUMNS, "_route", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder.path}/snapshot-{number}")
+    for n in covered:
         folder.delete(f"/log/batch-{n}")
+        folder.delete(f"/outcomes/batch-{n}")
+        folder.delete(f"/claims/{n}")
     for n in old:
-        folder.delete(f"/snapshot-{n}")
+        if n < number:
+            folder.delete(f"/snapshot-{n}")
     return number
 
 
@@ -148,8 +220,7 @@ def compact_log(folder: Folder, live_ids: DataFrame) -> int:
     for p in parts[1:]:
         ops = ops.unionByName(p)
     before = ops.count()
-    number = batches[-1] + 1
-    append_ops(folder, compacted(ops, live_ids).withColumnRenamed("pos", "seq"), number)
+    number = append_ops(folder, compacted(ops, live_ids).withColumnRenamed("pos", "seq"))
     for n in batches:
         folder.delete(f"/log/batch-{n}")
     return before - spark.read.parquet(f"{folder.path}/log/batch-{number}").count()

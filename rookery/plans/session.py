@@ -17,6 +17,7 @@ from ..model import EVENT_COLUMNS, SUBSCRIPTION_SCHEMA
 from ..operators import frames, query, subscribe
 from ..sources import parse
 from ..sources.filters import FilterError, parse_filter
+from ..workdir import shared_folder
 from .store import EventStore
 
 _REPLY = "conn string, n bigint, part int, frame string"
@@ -52,7 +53,10 @@ class Session:
     def _subscribe(self, read: DataFrame) -> list[DataFrame]:
         """Applies REQ and CLOSE frames in order; they are few, so they are planned on the driver. Returns the replies."""
         spark, out = self.store.spark, []
-        for row in read.where("m.type in ('REQ', 'CLOSE')").orderBy("n").toLocalIterator():
+        asked = read.where("m.type in ('REQ', 'CLOSE')").orderBy("n").collect()
+        if not asked:
+            return out
+        for row in asked:
             if row.m.type == "CLOSE":
                 self.subscriptions = subscribe.closed(self.subscriptions, row.conn, row.m.id)
                 continue
@@ -67,8 +71,15 @@ class Session:
             stored = query.request(self.store.live, filters, self.mode)
             out.append(stored.select(*place, F.lit(0).alias("part"), frames.event_frame(F.lit(row.m.id), F.col("raw")).alias("frame")))
             out.append(spark.range(1).select(*place, F.lit(1).alias("part"), frames.eose_frame(F.lit(row.m.id)).alias("frame")))
+        self._settle()
         return out
 
+    def _settle(self) -> None:
+        """Writes the table of subscriptions, so that its plan does not grow with the frames that made it."""
+        path = shared_folder(self.store.spark, "subscriptions")
+        self.subscriptions.write.parquet(path)
+        self.subscriptions = self.store.spark.read.schema(self.subscriptions.schema).parquet(path)
+
     def disconnect(self, conn: str) -> None:
         self.subscriptions = subscribe.closed(self.subscriptions, conn)
 

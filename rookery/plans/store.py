@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import EVENT_COLUMNS
 from ..operators import access, evict, query, state, stats
 from ..sources.config import Config
 from ..sources.filters import Filter
@@ -23,30 +26,39 @@ class EventStore:
         return persistence.recover(self.folder)
 
     def insert(self, log: DataFrame) -> DataFrame:
-        """Outcomes of a batch of events (seq orders them), after committing it. Events go after the live ones."""
-        held = self.live.withColumn("_new", F.lit(False))
+        """Outcomes of a batch of events (seq orders them), after committing it. Events go after the live ones. Only the buckets of the
+        store that the batch touches are read, and of these only its cells."""
+        new = persistence.routed(log)
+        buckets = [r.bucket for r in new.select("bucket").distinct().collect()]
+        cells = new.select("_route").distinct()
+        held = persistence.recover(self.folder, buckets).join(cells, "_route", "left_semi").select(*EVENT_COLUMNS).withColumn("_new", F.lit(False))
         shift = F.col("seq") + F.lit(1 << 62)
-        both = held.unionByName(log.withColumn("seq", shift).withColumn("_new", F.lit(True)))
+        both = held.unionByName(log.select(*EVENT_COLUMNS).withColumn("seq", shift).withColumn("_new", F.lit(True)))
         done = state.outcomes(both).where("_new").drop("_new").withColumn("seq", F.col("seq") - F.lit(1 << 62))
-        done = done.persist()
+        number = self.folder.claim()
+        path = f"{self.folder.path}/outcomes/batch-{number}"
+        done.write.parquet(path)
+        done = self.spark.read.schema(done.schema).parquet(path)
         inserts = done.where("outcome = 'stored'").select("seq", F.lit("insert").alias("op"), "id", "raw")
         gone = done.where("replaced_id is not null").select("seq", F.lit("delete").alias("op"), F.col("replaced_id").alias("id"), F.lit(None).cast("string").alias("raw"))
-        number = max([*self.folder.batches(), *self.folder.snapshots()], default=0) + 1
         persistence.append_ops(self.folder, inserts.unionByName(gone), number)
         return done
 
     def delete(self, ids: DataFrame) -> None:
         ops = ids.select(F.lit(0).cast("bigint").alias("seq"), F.lit("delete").alias("op"), "id", F.lit(None).cast("string").alias("raw"))
-        persistence.append_ops(self.folder, ops, max([*self.folder.batches(), *self.folder.snapshots()], default=0) + 1)
-
-    def evict(self) -> int:
-        """One round of the periodic check; returns how many events went."""
-        gone = evict.evicted(self.live, self.config.max_bytes).select("id").persist()
-        n = gone.count()
-        if n:
-            self.delete(gone)
-        gone.unpersist()
-        return n
+        persistence.append_ops(self.folder, ops)
+
+    def evict(self, log_path: str | None = None) -> int:
+        """One round of the periodic check; returns how many events went. With the folder of a streamed log it is told there too, so that
+        the stream forgets them."""
+        gone = evict.evicted(self.live, self.config.max_bytes).select("id").collect()  # a round's batch, 1,000 or 5,000 ids at most
+        if gone:
+            ids = self.spark.createDataFrame(gone, "id string")
+            if log_path:
+                told = self.live.join(F.broadcast(ids), "id", "left_semi").select(*EVENT_COLUMNS, F.lit("delete").alias("op"))
+                told.withColumn("seq", F.lit(0).cast("bigint")).write.mode("append").parquet(log_path)
+            self.delete(ids)
+        return len(gone)
 
     def get(self, id_: str) -> DataFrame:
         return access.by_id(self.live, id_)
@@ -71,3 +83,25 @@ class EventStore:
     def view(self, name: str = "events_live") -> None:
         """Makes the live events a view for Spark SQL."""
         self.live.createOrReplaceTempView(name)
+
+
+class Keeper:
+    """The store's periodic work. A stream calls `tick` after each commit: eviction comes sooner the fuller the store is, a checkpoint
+    is considered every persistence interval."""
+
+    def __init__(self, store: EventStore, log_path: str | None = None, clock=time.monotonic):
+        self.store, self.log_path, self.clock = store, log_path, clock
+        self.check_at = clock() + evict.interval_seconds(0, 0)
+        self.save_at = clock() + store.config.persistence_interval
+
+    def tick(self) -> dict:
+        """What was due: how many events were evicted, and the checkpoint's number or None."""
+        now, done = self.clock(), {}
+        if now >= self.check_at:
+            done["evicted"] = self.store.evict(self.log_path)
+            used = self.store.live.agg(F.sum("raw_bytes")).first()[0] or 0
+            self.check_at = now + evict.interval_seconds(used, self.store.config.max_bytes)
+        if now >= self.save_at:
+            done["checkpoint"] = persistence.maybe_checkpoint(self.store.folder)
+            self.save_at = now + self.store.config.persistence_interval
+        return done

@@ -20,7 +20,7 @@ def user_key(n) -> F.Column:
     return F.sha2(F.concat(F.lit("usr:"), n.cast("string")), 256)
 
 
-def adapted(events: DataFrame, users: int) -> DataFrame:
+def adapted(events: DataFrame, users) -> DataFrame:
     """seq is event_id; created_at whole seconds; tags e (the event before), p (another user), t (the type), d (the property)."""
     kind = F.lit(0)
     for name, number in KINDS.items():
@@ -44,12 +44,12 @@ def adapted(events: DataFrame, users: int) -> DataFrame:
         F.lit('{"id":"'), "id", F.lit('","pubkey":"'), "pubkey", F.lit('","created_at":'), F.col("created_at").cast("string"),
         F.lit(',"kind":'), F.col("kind").cast("string"), F.lit(',"tags":'), F.to_json("wire"), F.lit(',"content":"","sig":"'), "sig", F.lit('"}'),
     )
-    tags = F.transform("wire", lambda t: F.struct(F.get(t, 0).alias("name"), F.slice(t, 2, 9).alias("values")))
+    tags = F.transform("wire", lambda t: F.struct(F.get(t, 0).alias("name"), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))).alias("values")))
     rows = rows.withColumn("raw", raw).withColumn("raw_bytes", F.octet_length("raw").cast("bigint")).withColumn("tags", tags)
     return rows.select(*EVENT_COLUMNS)
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    users = events.agg(F.countDistinct("user_id")).first()[0] or 1
+    users = events.agg(F.greatest(F.countDistinct("user_id"), F.lit(1)).alias("users")).scalar()
     return adapted(events, users)

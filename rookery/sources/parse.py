@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,9 +97,18 @@ def rejects_of(lines: DataFrame, **checks) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, raw) of a snapshot's lines; blank lines are skipped. seq orders lines of one file, files by name."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
-    return lines.where(F.trim("value") != "").select(F.col("n").alias("seq"), F.col("value").alias("raw"))
+    """(seq, raw) of a snapshot's lines; blank lines are skipped. seq orders files by name, and the lines of a file.
+
+    A file's number fills the bits from 44 on. Below are its split's offset and the line's number in its task: a split has fewer lines
+    than bytes, and a task reads several splits only if they are ends of files, which no split of the same file follows.
+    """
+    text = spark.read.text(path)
+    names = [(re.sub("^file:/+", "/", f), i) for i, f in enumerate(sorted(text.inputFiles()))]
+    names = spark.createDataFrame(names, "file string, number long")
+    line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = text.select("value", F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("file"), (F.col("_metadata.file_block_start") + line).alias("n"))
+    lines = lines.where(F.trim("value") != "").join(F.broadcast(names), "file")  # a row for each file, which the driver lists anyway
+    return lines.select((F.col("number") * F.lit(1 << 44) + F.col("n")).alias("seq"), F.col("value").alias("raw"))
 
 
 def read_archive(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

@@ -8,8 +8,11 @@ live keys. A bounded alternative with other semantics is `bounded_dedup`.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import is_ephemeral, is_replaceable, route_key
@@ -17,25 +20,39 @@ from ..model import EVENT_SCHEMA
 from ..operators.frames import eose_frame, event_frame
 from ..operators.query import request
 from ..operators.subscribe import matched
-from ..plans.persistence import append_ops
+from ..plans.persistence import append_ops, recover
 from ..sources.filters import Filter
 from ..sources.parse import events_of
 
+#: Frames dropped in a row from which a connection counts as slow, a fixed value.
+SLOW_AFTER = 100
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _OUT = "seq long, id string, outcome string, replaced_id string, raw string"
 
 
 def read_log_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Log rows from Parquet files as they come; files_per_batch bounds a micro-batch (backpressure)."""
-    reader = spark.readStream.schema(EVENT_SCHEMA)
+    """Log rows from Parquet files as they come; files_per_batch bounds a micro-batch (backpressure). A row whose op is `delete` tells that
+    its event left the store."""
+    reader = spark.readStream.schema(T.StructType([*EVENT_SCHEMA.fields, T.StructField("op", T.StringType())]))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
 
 
 def read_frame_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Text frames, one a line."""
-    return spark.readStream.text(path).withColumnRenamed("value", "frame")
+    """Frames of connections, one JSON object (n, conn, frame) a line; n orders them."""
+    return spark.readStream.schema("n long, conn string, frame string").json(path)
+
+
+def answer_frames(session, path: str, sink, checkpoint: str, trigger: dict | None = None):
+    """Starts a query that gives the session's replies to each micro-batch of frames to sink(replies, batch). A batch that is tried
+    again finds its events stored and acknowledges them as duplicates."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        sink(session.answer(batch), number)
+
+    frames_in = read_frame_stream(session.store.spark, path)
+    return frames_in.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 class _Cell(StatefulProcessor):
@@ -49,27 +66,40 @@ class _Cell(StatefulProcessor):
         before = held = known[0] if known else None
         for r in sorted(rows, key=lambda r: r.seq):
             outcome, gone = "duplicate", None
+            if r.gone:
+                held = None if r.id == held else held
+                continue
             if r.passing:
                 outcome = "ephemeral"
             elif r.id != held:
                 outcome, gone, held = "stored", held if r.replaceable else None, r.id
             yield Row(seq=r.seq, id=r.id, outcome=outcome, replaced_id=gone, raw=r.raw)
-        if held != before:
+        if held is None and before is not None:
+            self.held.clear()
+        elif held != before:
             self.held.update((held,))
 
+    def handleInitialState(self, key, initialState, timerValues):  # noqa: N802, N803
+        self.held.update((initialState.id,))
+
     def close(self) -> None:
         pass
 
 
-def outcome_stream(log: DataFrame) -> DataFrame:
+def outcome_stream(log: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """(seq, id, outcome, replaced_id, raw) of every arrival, as the batch operator `outcomes` gives them.
 
     State: the live id of each route key, in RocksDB, so it may exceed memory. Within a micro-batch a key's rows are applied by
-    seq. An ephemeral event has its own key and leaves no state.
+    seq. An ephemeral event has its own key and leaves no state. held, the events that a store holds when the query first
+    starts, is the state to begin with; rows whose op is `delete` take their event out of it.
     """
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    rows = log.select("seq", "id", "raw", is_ephemeral("kind").alias("passing"), is_replaceable("kind").alias("replaceable"), route_key("id", "pubkey", "kind", "tags").alias("route"))
-    return rows.groupBy("route").transformWithState(_Cell(), _OUT, "Append", "None")
+    gone = F.coalesce(F.col("op") == "delete", F.lit(False)) if "op" in log.columns else F.lit(False)
+    rows = log.select("seq", "id", "raw", gone.alias("gone"), is_ephemeral("kind").alias("passing"), is_replaceable("kind").alias("replaceable"), route_key("id", "pubkey", "kind", "tags").alias("route"))
+    first = None
+    if held is not None:
+        first = held.where(~is_ephemeral("kind")).select("id", route_key("id", "pubkey", "kind", "tags").alias("route")).groupBy("route")
+    return rows.groupBy("route").transformWithState(_Cell(), _OUT, "Append", "None", first)
 
 
 def bounded_dedup(log: DataFrame, time_column: str, delay: str) -> DataFrame:
@@ -95,6 +125,14 @@ def delivered(matches: DataFrame, events: DataFrame, per_connection: int | None
     return rows.select("conn", "sub_id", "id", "frame")
 
 
+def dropped_frames(matches: DataFrame, per_connection: int) -> DataFrame:
+    """(conn, dropped, slow) of one batch's matches: what the cap of `delivered` leaves out for each connection. All of it is dropped in a
+    row, so a connection is slow, and to be closed, from SLOW_AFTER on."""
+    n = matches.groupBy("conn").agg(F.count(F.lit(1)).alias("n"))
+    dropped = n.select("conn", F.greatest(F.col("n") - per_connection, F.lit(0)).alias("dropped"))
+    return dropped.withColumn("slow", F.col("dropped") >= SLOW_AFTER)
+
+
 def stored_then_live(events: DataFrame, sub_id: str, filters: list[Filter], cut_seq: int | None = None, mode: str = "strict") -> DataFrame:
     """(part, n, frame): stored answers in order, then the end mark. With cut_seq only events up to it count as stored, so a live
     tail from the next seq gives every event exactly once; without it an event at the border may come twice."""
@@ -105,19 +143,23 @@ def stored_then_live(events: DataFrame, sub_id: str, filters: list[Filter], cut_
     return answers.unionByName(end)
 
 
-def run(spark: SparkSession, log_path: str, folder, subs: DataFrame, sink, checkpoint: str, trigger: dict | None = None):
-    """Ingest, commit and deliver: for each micro-batch the outcomes are committed to the operation log under the batch's number
-    (a retry writes the same batch again), then stored and ephemeral events go to sink with their subscriptions."""
+def run(spark: SparkSession, log_path: str, folder, subs: DataFrame, sink, checkpoint: str, trigger: dict | None = None, keeper=None):
+    """Ingest, commit and deliver: what the store holds is the state to begin with; for each micro-batch the outcomes are committed to the
+    operation log under a number of their own (a retry finds it again), then stored and ephemeral events go to sink with their
+    subscriptions, then the keeper, if there is one, does what is due."""
     log = read_log_stream(spark, log_path)
-    done = outcome_stream(log)
+    done = outcome_stream(log, recover(folder))
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def each(batch: DataFrame, number: int) -> None:
         held = batch.persist()
         stored = held.where("outcome = 'stored'")
         gone = stored.where("replaced_id is not null").select("seq", F.lit("delete").alias("op"), F.col("replaced_id").alias("id"), F.lit(None).cast("string").alias("raw"))
-        append_ops(folder, stored.select("seq", F.lit("insert").alias("op"), "id", "raw").unionByName(gone), number + 1)
+        append_ops(folder, stored.select("seq", F.lit("insert").alias("op"), "id", "raw").unionByName(gone), key=f"{writer}-{number}")
         accepted = events_of(held.where("outcome <> 'duplicate'").select("seq", "raw"))
         sink(matched(accepted, subs), held, number)
         held.unpersist()
+        if keeper:
+            keeper.tick()
 
     return done.writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -408,6 +409,109 @@ def test_snapshot_and_recovery(spark, tmp_path):
     lines = parse.read_jsonl(spark, str(tmp_path / "lines"))
     assert lines.count() == 4 and parse.rejects_of(lines).count() == 1
     assert ids(parse.read_archive(spark, str(tmp_path / "lines"), limit=5)) == [1, 2]
+    changed = [event(1, content="x" * k)[8] for k in (0, 5000)]
+    for name, line in (("a.jsonl", changed[0]), ("b.jsonl", changed[1] + "\n" + changed[1])):
+        (tmp_path / "order").mkdir(exist_ok=True)
+        (tmp_path / "order" / name).write_text(line + "\n")
+    assert [r.content for r in parse.read_archive(spark, str(tmp_path / "order")).collect()] == [""]
+
+
+def test_commits_are_not_lost(spark, tmp_path):
+    folder = Folder(spark, str(tmp_path / "store"))
+    ops = lambda *n: ops_of(table(spark, [event(i, seq=i) for i in n]))
+    assert [append_ops(folder, ops(i)) for i in (1, 2)] == [1, 2]
+    assert checkpoint(folder) == 2
+    slow, fast = folder.claim(), append_ops(folder, ops(4))  # two writers, the earlier number still open
+    assert (slow, fast) == (3, 4) and checkpoint(folder) == 2
+    append_ops(folder, ops(3), slow)
+    assert sorted(ids(recover(folder))) == [1, 2, 3, 4] and checkpoint(folder) == 4
+    assert append_ops(folder, ops(5), key="w-0") == append_ops(folder, ops(5), key="w-0") == 5 and append_ops(folder, ops(6), key="w-1") == 6
+    died = folder.claim()
+    append_ops(folder, ops(8))
+    assert checkpoint(folder) == 6
+    folder.release(died)
+    assert checkpoint(folder) == 8 and sorted(ids(recover(folder))) == [1, 2, 3, 4, 5, 6, 8]
+
+
+def test_filters_and_buckets_reach_the_snapshot(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path / "s"))
+    store.insert(table(spark, [event(i, kind=10000 + i, at=1000 + i, seq=i) for i in range(40)]))
+    store.save()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(created_at,1030)" in plan(store.query(Filter(kinds=(10035,), since=1030)))
+    store.insert(table(spark, [event(50, kind=10035, at=2000, seq=1)]))
+    shown = plan(store.query(Filter(kinds=(10035,), since=1030)))
+    assert "GreaterThanOrEqual(created_at,1030)" in shown and ids(store.query(Filter(kinds=(10035,)))) == [50]
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan(recover(store.folder, [3]))) and store.live.count() == 40
+    shuffles = state.live(table(spark, [event(1)]))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles == 1
+
+
+def test_stream_starts_from_the_store_and_forgets(spark, tmp_path):
+    from rookery.plans.store import Keeper
+
+    path, sent, now = str(tmp_path / "in"), [], [0.0]
+    store = EventStore(spark, str(tmp_path / "s"), config.Config(max_bytes=1000, persistence_interval=60))
+    store.insert(table(spark, [event(1, seq=1), event(2, kind=10000, seq=2)]))
+    store.save()
+    keeper = Keeper(store, path, lambda: now[0])
+    subs = subscribe.subscriptions(spark, [("c", "all", [Filter()])])
+
+    def go(*rows):
+        table(spark, rows).coalesce(1).write.mode("append").parquet(path)
+        told = []
+        sink = lambda m, held, n: told.extend((r.seq, r.outcome, r.replaced_id) for r in held.collect())
+        streaming.run(spark, path, store.folder, subs, sink, str(tmp_path / "state"), keeper=keeper).awaitTermination()
+        return sorted(told)
+
+    assert go(event(1, seq=3), event(3, kind=10000, seq=4)) == [(3, "duplicate", None), (4, "stored", pad(2))]
+    assert sorted(ids(store.live)) == [1, 3]
+    now[0] = 100.0  # both jobs are due: the store is over its limit, so all that is old goes
+    assert go(event(4, at=5000, seq=5)) == [(5, "stored", None)]
+    left = sorted(ids(store.live))
+    assert 1 not in left and store.folder.snapshots()
+    assert go(event(1, seq=6)) == [(6, "stored", None)]
+
+
+def test_frames_as_a_stream(spark, tmp_path):
+    from rookery.plans.session import Session
+
+    session, path, told = Session(EventStore(spark, str(tmp_path / "s")), verify=False), tmp_path / "frames", []
+    path.mkdir()
+    rows = [(1, "a", '["REQ","s",{"kinds":[1]}]'), (2, "b", f'["EVENT",{event(1)[8]}]'), (3, "a", '["CLOSE","s"]')]
+    for n, conn, frame in rows:
+        (path / f"{n}.json").write_text(json.dumps({"n": n, "conn": conn, "frame": frame}) + "\n")
+    streaming.answer_frames(session, str(path), lambda df, n: told.extend((r.conn, json.loads(r.frame)[0]) for r in df.collect()), str(tmp_path / "c")).awaitTermination()
+    assert sorted(told) == [("a", "EOSE"), ("b", "OK")] and session.subscriptions.count() == 0
+    matches = spark.createDataFrame([("a",)] * 150 + [("b",)] * 3, "conn string")
+    assert sorted(tuple(r) for r in streaming.dropped_frames(matches, 20).collect()) == [("a", 130, True), ("b", 0, False)]
+
+
+def test_counters_and_load_counts(spark):
+    rows = [event(1, seq=1), event(1, seq=2), event(2, kind=20000, seq=3), event(3, kind=10000, seq=4), event(4, kind=10000, seq=5)]
+    subs = subscribe.subscriptions(spark, [("c", "a", [Filter()]), ("c", "b", [Filter()]), ("d", "a", [Filter()])])
+    replies = spark.createDataFrame([("c", '["EVENT",1]'), ("c", '["EOSE","a"]')], "conn string, frame string")
+    got = {r.name: r.value for r in stats.counters(state.outcomes(table(spark, rows)), subs, replies).collect()}
+    assert got == {"events_saved_total": 3, "events_duplicate_total": 1, "events_ephemeral_total": 1, "events_replaced_total": 1, "active_connections": 2,
+                   "active_subscriptions": 3, "events_output_total": 1, "bytes_output_total": 23}
+    lines = [r.line for r in stats.counter_lines(stats.counters(state.outcomes(table(spark, rows)))).collect()]
+    assert lines[:2] == ["# TYPE events_duplicate_total counter", "events_duplicate_total 1"]
+    ops = table(spark, [event(i, at=i, seq=i) for i in range(10)]).selectExpr("1L as segment", "seq as pos", "'insert' as op", "* except(seq)")
+    torn = ops.limit(1).selectExpr("* except(op)").withColumn("op", F.lit(None).cast("string"))
+    size = event(1, at=1)[9]
+    row = state.replay_counts(ops.unionByName(torn), 5 * size).first()
+    assert (row.applied, row.errors) == (10, 1) and 0 < row.evicted < 10
+    assert sum(r.evicted for r in evict.load_eviction(ops.withColumnRenamed("pos", "seq"), 5 * size).collect()) == row.evicted
+    assert {r.evicted for r in evict.load_eviction(ops.withColumnRenamed("pos", "seq"), 0).collect()} == {False}
+
+
+def test_one_scan_serves_all_stored_filters(spark):
+    rng = random.Random(31)
+    events = table(spark, [(i, *e[1:]) for i, e in enumerate(random_events(rng, 40))])
+    asked = [("c", "a", [Filter(kinds=(1,), limit=3), Filter(limit=2)]), ("d", "x", [Filter(limit=0), Filter(since=1)]), ("e", "y", [Filter(kinds=())])]
+    got = sorted(tuple(r) for r in subscribe.stored_answers(events, asked).collect())
+    want = sorted((c, s, i, r.id) for c, s, fs in asked for i, f in enumerate(fs) for r in query.query(events, f).collect())
+    assert got == want
 
 
 def test_store(spark, tmp_path):
