@@ -191,6 +191,20 @@ ORACLE_SQL = {
     "parse_errors": _spoilt(),
     "parse_checked": "SELECT 'mismatch' AS reason, count(*) AS n FROM events",
     "parse_messages": _messages(),
+    "parse_verified": _sql(
+        "SELECT seq, CASE WHEN seq % 2 = 0 THEN NULL ELSE 'mismatch' END AS reason, CASE WHEN seq % 2 = 0 THEN "
+        "sha256('[0,\"' || pubkey || '\",' || created_at || ',' || kind || ',' || wire || ',\"\"]') END AS id FROM ev"
+    ),
+    "verify_sig": "SELECT * FROM (VALUES ('vector', true), ('changed', false), ('malformed', false)) t(name, valid)",
+    "counters": _sql(
+        "SELECT u.name, u.value FROM (SELECT count(*) FILTER (outcome = 'stored') AS s, count(*) FILTER (outcome = 'duplicate') AS d, "
+        "count(*) FILTER (outcome = 'ephemeral') AS e, count(replaced_id) AS r FROM done), "
+        "LATERAL (VALUES ('events_saved_total', s), ('events_duplicate_total', d), ('events_ephemeral_total', e), ('events_replaced_total', r)) u(name, value)",
+        _ONCE,
+        _DONE,
+    ),
+    "store_stream_recovery": _sql("SELECT id, pubkey, created_at, kind FROM live", _ONCE, _DONE, _LIVE),
+    "stream_after_store": _sql(f"SELECT {KEY} FROM done WHERE seq > (SELECT max(seq) // 2 FROM ev)", _ONCE, _DONE),
     "wal_decode": _sql("SELECT 'insert' AS op, id, pubkey, created_at, kind FROM ev"),
     "snapshot_roundtrip": _sql("SELECT id, pubkey, created_at, kind, raw FROM ev"),
     "checkpoint_recovery": _sql("SELECT id, pubkey, created_at, kind FROM live", _ONCE, _DONE, _LIVE),
@@ -214,3 +228,4 @@ ORACLE_SQL = {
     "stream_outcomes": _sql(f"SELECT {KEY} FROM done", _ONCE, _DONE),
     "stream_live_match": _subscribed(),
 }
+ORACLE_SQL["stream_frames"] = ORACLE_SQL["ok_messages"]

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import functions as fn
 from .operators import access, evict, frames, match, query, state, stats, subscribe
 from .plans import persistence
+from .plans.session import Session
+from .plans.store import EventStore
 from .sources import adapter, parse, wal
 from .sources.filters import Filter
 from .streaming import live as streaming
@@ -202,6 +204,16 @@ def parse_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.parsed(log(spark, sf_dir).select("seq", "raw"), check_id=True).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@registered
+def parse_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the log, events of even seq get the id that their fields have; the others keep the adapter's, which is none."""
+    events = log(spark, sf_dir)
+    wire = F.transform("tags", lambda t: F.concat(F.array(t["name"]), t["values"]))
+    named = F.concat(F.lit('{"id":"'), fn.event_id("pubkey", "created_at", "kind", wire, "content"), F.substring("raw", 72, 1 << 30))
+    lines = events.select("seq", F.when(F.col("seq") % 2 == 0, named).otherwise(F.col("raw")).alias("raw"))
+    return parse.parsed(lines, check_id=True).select("seq", "reason", "id")
+
+
 MESSAGES = [
     ('["EVENT",{"id":"x"}]', "EVENT", None), ('["REQ","s",{"kinds":[1]},{}]', "REQ", None), ('["CLOSE","s"]', "CLOSE", None), ('["EOSE","s"]', "EOSE", None),
     ('["NOTICE","hi"]', "NOTICE", None), ('["OK","id",true,"fine"]', "OK", None), ("nonsense", None, "JSON parse error"), ("{}", None, "Expected JSON array"), ("[]", None, "Empty array"),
@@ -255,10 +267,31 @@ def checkpoint_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return persistence.recover(folder).select(*PLAIN[1:])
 
 
+def _half_stored(spark: SparkSession, sf_dir: str) -> tuple[EventStore, int]:
+    """A store that holds the first half of the log, as a snapshot, and the last seq of that half."""
+    events, store = log(spark, sf_dir), EventStore(spark, shared_folder(spark, "store"))
+    middle = events.agg(F.max("seq")).first()[0] // 2
+    store.insert(events.where(F.col("seq") <= middle))
+    store.save()
+    return store, middle
+
+
+@registered
+def store_stream_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the log is in the store; a stream commits the other half; what is live is recovered."""
+    store, middle = _half_stored(spark, sf_dir)
+    path = shared_folder(spark, "log")
+    log(spark, sf_dir).where(F.col("seq") > middle).repartitionByRange(2, "seq").write.parquet(path)
+    subs = subscribe.subscriptions(spark, SUBSCRIPTIONS)
+    streaming.run(spark, path, store.folder, subs, lambda hits, held, n: None, shared_folder(spark, "state")).awaitTermination()
+    return store.live.select(*PLAIN[1:])
+
+
 # Figures.
 listed("kind_topk", lambda e: stats.kind_counts(e, 5))
 listed("author_rank_sample", stats.author_rank_sample)
 listed("median_created_at", stats.median_created_at)
+listed("counters", lambda e: stats.counters(state.outcomes(e)))
 listed("stats_row", lambda e: stats.store_stats(e, MAX_BYTES))
 
 
@@ -292,6 +325,29 @@ def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("seq long, id string, outcome string, replaced_id string").parquet(out).select(*KEY)
 
 
+@registered
+def stream_after_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the log's second half as a stream whose state begins with what the first half left in a store."""
+    store, middle = _half_stored(spark, sf_dir)
+    path, out = shared_folder(spark, "log"), shared_folder(spark, "outcomes")
+    log(spark, sf_dir).where(F.col("seq") > middle).repartitionByRange(2, "seq").write.parquet(path)
+    done = streaming.outcome_stream(streaming.read_log_stream(spark, path), store.live).writeStream.format("parquet").option("path", out)
+    done.option("checkpointLocation", shared_folder(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("seq long, id string, outcome string, replaced_id string").parquet(out).select(*KEY)
+
+
+@registered
+def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event arrives as a frame; the acknowledgements."""
+    path, out = shared_folder(spark, "frames"), shared_folder(spark, "replies")
+    event = F.concat(F.lit('["EVENT",'), "raw", F.lit("]")).alias("frame")
+    log(spark, sf_dir).select(F.col("seq").alias("n"), F.lit("c").alias("conn"), event).write.json(path)
+    session = Session(EventStore(spark, shared_folder(spark, "store")), verify=False)
+    sink = lambda replies, number: replies.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    streaming.answer_frames(session, path, sink, shared_folder(spark, "state")).awaitTermination()
+    return spark.read.parquet(out).where("part = 0").select(F.col("n").alias("seq"), "frame")
+
+
 @registered
 def stream_live_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, arriving = _streamed(spark, sf_dir)
