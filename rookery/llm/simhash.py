@@ -8,9 +8,8 @@ carry them. Links are deduplicated and verified by their differing bits.
 
 `near_copies` is for a stage that must find near copies by the similarity of their shingles: two bits of radius lose most pairs of
 Jaccard similarity 0.8, so blocks of minimal hashes give candidates beside the balls, and each candidate is checked by the exact
-Jaccard similarity of the two sets of shingles. Under a block each set first meets the least one. Then the sets of a block that are not
-yet connected meet again in small groups of about NEIGHBOURS, dealt by another hash for each block, all with all. A block's pairs are
-never all made, so a link between two groups of a block is found if they meet in one of the blocks they share.
+Jaccard similarity of the two sets of shingles. Under a block each set first meets the least one. Then all sets of a block that are not
+yet connected meet, tile by tile, so that two sets of the similarity are connected whenever they share a block.
 
 Defined results: null and empty texts and texts without words have fingerprint zero, linked like any
 other; fewer words than a shingle form one shingle; repeated rows each get a row; a null doc_id takes
@@ -139,8 +138,8 @@ def _first_of_groups(docs: DataFrame, fps: DataFrame, labels: DataFrame, key: st
 
 
 BANDS, BAND_ROWS = 20, 5
-#: Sets of a block that meet all with all, on average.
-NEIGHBOURS = 8
+#: Sets of a block's tile, and their shingles, on average: what one task holds of a block, twice.
+TILE_SETS, TILE_SHINGLES = 2000, 1 << 19
 _RNG = np.random.default_rng(20240807)
 _FACTORS = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RNG.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64)
@@ -229,20 +228,58 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     shingles = _shingle_sets(docs, wanted, fps, shingle_words, text)
     sure = stored(_similar(links, shingles, similarity), "links")
     roots = connected_components(sure)
-    sure = sure.unionByName(_similar(_meeting_again(met, roots), shingles, similarity))
-    roots = connected_components(stored(sure, "links"))
+    again = _meeting_again(met.select("band", "fp"), roots, sets, shingles, similarity)
+    roots = connected_components(stored(sure.unionByName(again), "links"))
     labels = sets.select("fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     return _first_of_groups(docs, fps.select("key", "t1", "t2", "fp"), stored(labels, "labels"), key, text)
 
 
-def _meeting_again(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that share a block and are not connected yet: of each block's connected groups one set each, dealt into small
-    groups, all with all. The chosen set differs from block to block."""
+def _meeting_again(met: DataFrame, roots: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of the Jaccard similarity between sets that share a block and are not connected yet, enough to connect all such sets.
+
+    A block with several connected groups is dealt into tiles of bounded size, and every two tiles meet in one task, which holds no
+    more than these two, so all pairs of a block are looked at however large it is. A pair that shares several blocks is compared in the
+    first of them alone, and a pair that the task's links have connected is not compared."""
     rooted = met.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", F.coalesce("root", "fp").alias("root"))
-    own = rooted.groupBy("band", "root").agg(F.min(F.struct(F.xxhash64("fp", "band").alias("r"), "fp")).alias("x"))
-    own = stored(own.select("band", "root", "x.r", "x.fp"), "groups")
-    many = own.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = own.join(many, "band").withColumn("deal", F.pmod("r", F.ceil(F.col("n") / NEIGHBOURS)))
-    near = dealt.groupBy("band", "deal").agg(F.collect_set("fp").alias("fps"))
-    pair = near.select(F.explode("fps").alias("fp"), "fps").select("fp", F.explode("fps").alias("other"))
-    return stored(_pairs(pair, "other"), "again")
+    split = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    rooted = stored(rooted.join(split, "band"), "unconnected")
+    own = stored(rooted.join(sets, "fp").join(sketches.select("fp", "bands"), "fp"), "meeting")
+    size = own.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("own")).alias("shingles"))
+    tiles = F.greatest(F.ceil(F.col("n") / TILE_SETS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
+    dealt = own.join(size.select("band", tiles.alias("tiles")), "band").withColumn("tile", F.pmod(F.xxhash64("fp", "band"), "tiles").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("band", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "fp", "root", "bands", "own")
+
+    def work(key, rows):
+        return _linked(*(k.as_py() for k in key), rows, similarity)
+
+    found = dealt.groupBy("band", "low", "high").applyInArrow(work, "a bigint, b bigint")
+    return stored(found.distinct(), "again")
+
+
+def _linked(band: int, low: int, high: int, rows: pa.Table, similarity: float) -> pa.Table:
+    """The links of two tiles of a block (of one, if they are the same)."""
+    fps, roots, tile = (rows.column(c).to_numpy() for c in ("fp", "root", "tile"))
+    own = [x.values.to_numpy().view(np.uint64) for x in rows.column("own")]
+    sizes = np.array([len(x) for x in own])
+    bands_of = np.array(rows.column("bands").to_pylist(), np.int64)
+    group = np.unique(roots, return_inverse=True)[1]
+    first = np.argmax(bands_of == band, axis=1)
+    found = []
+    for i in np.flatnonzero(tile == low):
+        others = (tile == high) & (group != group[i]) if low < high else (np.arange(len(fps)) < i) & (group != group[i])
+        others &= np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9
+        js = np.flatnonzero(others)
+        js = js[~(bands_of[js, : first[i]] == bands_of[i, : first[i]]).any(axis=1)]
+        if not len(js) or not sizes[i]:
+            continue
+        values = np.concatenate([own[j] for j in js])
+        hits = own[i][np.minimum(np.searchsorted(own[i], values), sizes[i] - 1)] == values
+        ends = np.cumsum(sizes[js])
+        sums = np.concatenate([[0], np.cumsum(hits)])
+        n = sums[ends] - sums[ends - sizes[js]]
+        for j in js[n >= similarity * (sizes[i] + sizes[js] - n) - 1e-9]:
+            if group[j] != group[i]:
+                found.append((max(fps[i], fps[j]), min(fps[i], fps[j])))
+                group[group == group[j]] = group[i]
+    return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -187,6 +188,26 @@ def test_near_dedup_links_five_word_shingles_by_their_similarity(spark, folder):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, folder[0]).collect()) == [i for i in range(120) if i % 3 != 1]
 
 
+def test_near_dedup_finds_every_link_of_a_large_block(spark, monkeypatch):
+    """Many texts under the same blocks, nearly all of similarity below 0.8; the few pairs above it are all found, in one tile or in several."""
+    from rookery.llm import simhash
+
+    rng = random.Random(23)
+    monkeypatch.setattr(simhash, "bands", lambda own: np.arange(simhash.BANDS, dtype=np.int64))
+    word = lambda: f"w{rng.randrange(10**9)}"
+    texts = [[word() for _ in range(40)] for _ in range(100)]
+    for k in range(0, 100, 5):
+        texts[k + 1] = [*texts[k][:-1], word()]
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted({*similar_brute(list(range(100)), texts)})
+    assert len(want) == 80
+    for size in (2000, 17):
+        monkeypatch.setattr(simhash, "TILE_SETS", size)
+        assert sorted(r.doc_id for r in simhash.near_copies(docs).collect()) == want
+
+
 def test_suffix_stage_keeps_the_first_copy(spark, folder):
     rng = random.Random(22)
     passage = sentence(rng, "en", 60)
