@@ -1,6 +1,6 @@
 """Continuous operation on Structured Streaming.
 
-Arrivals are a stream of log rows. `outcome_stream` keeps one small state for each route key and says what each arrival does;
+Arrivals are a stream of log rows. `outcome_stream` keeps the live id of each route key and says what each arrival does;
 `match_stream` sends what was accepted to matching subscriptions; `run` does both for every micro-batch and commits the
 operation log. There is no watermark: late events are as good as any, arrival alone decides, so the state is as large as the set of
 live keys. A bounded alternative with other semantics is `bounded_dedup`.
@@ -27,6 +27,8 @@ from ..sources.parse import events_of
 #: Frames dropped in a row from which a connection counts as slow, a fixed value.
 SLOW_AFTER = 100
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Parts of the route keys, whose state is read together: at 30 million live keys about 1,000 keys each.
+STATE_PARTS = 1 << 15
 _OUT = "seq long, id string, outcome string, replaced_id string, raw string"
 
 
@@ -55,32 +57,49 @@ def answer_frames(session, path: str, sink, checkpoint: str, trigger: dict | Non
     return frames_in.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-class _Cell(StatefulProcessor):
-    """The live id of one route key."""
+class _Cells(StatefulProcessor):
+    """The live ids of the route keys of one part of all keys. State is a list of (route, id), of which a route's last entry counts and a
+    null id tells that there is none; a batch appends what it changed, and a list is written anew when most of it is outdated.
+    So calls to the state store are a few for each part, not for each key."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "id string")
+        self.held = handle.getListState("held", "route string, id string")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        known = self.held.get()
-        before = held = known[0] if known else None
+        known, entries = {}, 0
+        for route, id_ in self.held.get():
+            known[route] = id_
+            entries += 1
+        before: dict[str, str | None] = {}
         for r in sorted(rows, key=lambda r: r.seq):
-            outcome, gone = "duplicate", None
+            if r.passing and not r.gone:
+                yield Row(seq=r.seq, id=r.id, outcome="ephemeral", replaced_id=None, raw=r.raw)
+                continue
+            held = known.get(r.route)
             if r.gone:
-                held = None if r.id == held else held
+                if r.id == held:
+                    before.setdefault(r.route, held)
+                    known[r.route] = None
                 continue
-            if r.passing:
-                outcome = "ephemeral"
-            elif r.id != held:
-                outcome, gone, held = "stored", held if r.replaceable else None, r.id
+            outcome, gone = "duplicate", None
+            if r.id != held:
+                outcome, gone = "stored", held if r.replaceable else None
+                before.setdefault(r.route, held)
+                known[r.route] = r.id
             yield Row(seq=r.seq, id=r.id, outcome=outcome, replaced_id=gone, raw=r.raw)
-        if held is None and before is not None:
+        changed = [(route, known[route]) for route, old in before.items() if known[route] != old]
+        left = [(route, id_) for route, id_ in known.items() if id_ is not None]
+        if not changed:
+            return
+        if not left:
             self.held.clear()
-        elif held != before:
-            self.held.update((held,))
+        elif entries + len(changed) > 2 * len(left) + 16:
+            self.held.put(left)
+        else:
+            self.held.appendList(changed)
 
     def handleInitialState(self, key, initialState, timerValues):  # noqa: N802, N803
-        self.held.update((initialState.id,))
+        self.held.put([(c["route"], c["id"]) for c in initialState.cells])
 
     def close(self) -> None:
         pass
@@ -89,17 +108,21 @@ class _Cell(StatefulProcessor):
 def outcome_stream(log: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """(seq, id, outcome, replaced_id, raw) of every arrival, as the batch operator `outcomes` gives them.
 
-    State: the live id of each route key, in RocksDB, so it may exceed memory. Within a micro-batch a key's rows are applied by
-    seq. An ephemeral event has its own key and leaves no state. held, the events that a store holds when the query first
-    starts, is the state to begin with; rows whose op is `delete` take their event out of it.
+    State: the live id of each route key, in RocksDB, so it may exceed memory; keys are dealt into STATE_PARTS parts, and a batch reads the
+    parts that it touches. Within a micro-batch rows are applied by seq. An ephemeral event leaves no state. held, the
+    events that a store holds when the query first starts, is the state to begin with; rows whose op is `delete` take their event out of it.
     """
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     gone = F.coalesce(F.col("op") == "delete", F.lit(False)) if "op" in log.columns else F.lit(False)
-    rows = log.select("seq", "id", "raw", gone.alias("gone"), is_ephemeral("kind").alias("passing"), is_replaceable("kind").alias("replaceable"), route_key("id", "pubkey", "kind", "tags").alias("route"))
+    route = route_key("id", "pubkey", "kind", "tags").alias("route")
+    part = F.pmod(F.xxhash64("route"), F.lit(STATE_PARTS)).alias("part")
+    rows = log.select("seq", "id", "raw", gone.alias("gone"), is_ephemeral("kind").alias("passing"), is_replaceable("kind").alias("replaceable"), route).withColumn("part", part)
     first = None
     if held is not None:
-        first = held.where(~is_ephemeral("kind")).select("id", route_key("id", "pubkey", "kind", "tags").alias("route")).groupBy("route")
-    return rows.groupBy("route").transformWithState(_Cell(), _OUT, "Append", "None", first)
+        cells = held.where(~is_ephemeral("kind")).select(F.struct(route, "id").alias("cell")).select(F.xxhash64("cell.route").alias("h"), "cell")
+        cells = cells.groupBy(F.pmod("h", F.lit(STATE_PARTS)).alias("part")).agg(F.collect_list("cell").alias("cells"))
+        first = cells.groupBy("part")
+    return rows.groupBy("part").transformWithState(_Cells(), _OUT, "Append", "None", first)
 
 
 def bounded_dedup(log: DataFrame, time_column: str, delay: str) -> DataFrame:

@@ -551,6 +551,28 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
     assert got == fold(rows)[0]
 
 
+def test_stream_state_by_parts(spark, tmp_path, monkeypatch):
+    """Many keys in one part of the state, over restarts, from a store's events and with deletes."""
+    monkeypatch.setattr(streaming, "STATE_PARTS", 2)
+    rng = random.Random(16)
+    pool = random_events(rng, 25)
+    rows = [(i, *rng.choice(pool)[1:]) for i in range(150)]
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    held = state.live(table(spark, rows[:50]))
+    for at in range(50, 150, 20):
+        table(spark, rows[at : at + 20]).coalesce(1).write.mode("append").parquet(path)
+        arriving = streaming.outcome_stream(streaming.read_log_stream(spark, path, 1), held)
+        arriving.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    told = lambda df: sorted(tuple(r) for r in df.select("seq", "outcome", "replaced_id").collect())
+    assert told(spark.read.parquet(out)) == [r for r in fold(rows)[0] if r[0] >= 50]
+    live = state.live(table(spark, rows)).where("kind < 20000 or kind >= 30000").orderBy("seq").limit(1)
+    gone = live.withColumn("op", F.lit("delete")).withColumn("seq", F.lit(200).cast("long"))
+    gone.unionByName(live.withColumn("op", F.lit(None).cast("string")).withColumn("seq", F.lit(201).cast("long"))).coalesce(1).write.mode("append").parquet(path)
+    arriving = streaming.outcome_stream(streaming.read_log_stream(spark, path, 1), held)
+    arriving.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert told(spark.read.parquet(out).where("seq > 150")) == [(201, "stored", None)]
+
+
 def test_stream_commits_and_delivers(spark, tmp_path):
     path = str(tmp_path / "in")
     table(spark, [event(1, seq=1), event(2, kind=20001, seq=2), event(1, seq=3), event(3, kind=10000, seq=4)]).coalesce(1).write.parquet(path)
