@@ -280,8 +280,7 @@ def _half_stored(spark: SparkSession, sf_dir: str) -> tuple[EventStore, int]:
 def store_stream_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the log is in the store; a stream commits the other half; what is live is recovered."""
     store, middle = _half_stored(spark, sf_dir)
-    path = shared_folder(spark, "log")
-    log(spark, sf_dir).where(F.col("seq") > middle).repartitionByRange(2, "seq").write.parquet(path)
+    path = _arrived(spark, log(spark, sf_dir).where(F.col("seq") > middle))
     subs = subscribe.subscriptions(spark, SUBSCRIPTIONS)
     streaming.run(spark, path, store.folder, subs, lambda hits, held, n: None, shared_folder(spark, "state")).awaitTermination()
     return store.live.select(*PLAIN[1:])
@@ -310,9 +309,15 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Streams, each run until its input is used up.
-def _streamed(spark: SparkSession, sf_dir: str):
+def _arrived(spark: SparkSession, events: DataFrame) -> str:
+    """A folder with these events, as files of the order of arrival; their number follows the log's size."""
     path = shared_folder(spark, "log")
-    log(spark, sf_dir).repartitionByRange(3, "seq").write.parquet(path)
+    events.repartitionByRange("seq").write.parquet(path)
+    return path
+
+
+def _streamed(spark: SparkSession, sf_dir: str):
+    path = _arrived(spark, log(spark, sf_dir))
     return path, streaming.read_log_stream(spark, path)
 
 
@@ -329,8 +334,7 @@ def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_after_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of the log's second half as a stream whose state begins with what the first half left in a store."""
     store, middle = _half_stored(spark, sf_dir)
-    path, out = shared_folder(spark, "log"), shared_folder(spark, "outcomes")
-    log(spark, sf_dir).where(F.col("seq") > middle).repartitionByRange(2, "seq").write.parquet(path)
+    path, out = _arrived(spark, log(spark, sf_dir).where(F.col("seq") > middle)), shared_folder(spark, "outcomes")
     done = streaming.outcome_stream(streaming.read_log_stream(spark, path), store.live).writeStream.format("parquet").option("path", out)
     done.option("checkpointLocation", shared_folder(spark, "state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("seq long, id string, outcome string, replaced_id string").parquet(out).select(*KEY)

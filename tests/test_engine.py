@@ -573,6 +573,19 @@ def test_stream_state_by_parts(spark, tmp_path, monkeypatch):
     assert told(spark.read.parquet(out).where("seq > 150")) == [(201, "stored", None)]
 
 
+def test_files_of_a_streamed_log_follow_its_size(spark):
+    from rookery import queries
+
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        path = queries._arrived(spark, table(spark, [event(i, seq=i) for i in range(400)]))
+    finally:
+        spark.conf.set(key, before)
+    assert len(spark.read.parquet(path).inputFiles()) > 3 and spark.read.parquet(path).count() == 400
+
+
 def test_stream_commits_and_delivers(spark, tmp_path):
     path = str(tmp_path / "in")
     table(spark, [event(1, seq=1), event(2, kind=20001, seq=2), event(1, seq=3), event(3, kind=10000, seq=4)]).coalesce(1).write.parquet(path)
