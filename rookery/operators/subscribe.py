@@ -18,7 +18,7 @@ from ..sources.filters import Filter
 from .match import row_matches
 from .query import query
 
-#: Loop filters up to this many are sent to all events.
+#: Loop filters, and values of the other filters, up to this many are sent to all events.
 BROADCAST_FILTERS = 10_000
 
 
@@ -68,6 +68,8 @@ def matched(events: DataFrame, subs: DataFrame, each_filter: bool = False, loop_
         .otherwise(F.transform("f_kinds", lambda k: k.cast("string")))
     )
     keyed = filters.where("path <> 'loop'").withColumn("key", F.explode(key))
+    if keyed.limit(BROADCAST_FILTERS + 1).count() <= BROADCAST_FILTERS:  # then the events, several rows each here, need no shuffle
+        keyed = F.broadcast(keyed)
     tags = F.transform(
         F.filter("tags", lambda t: tag_value(t).isNotNull()), lambda t: F.struct(F.lit("tag").alias("path"), F.concat(t["name"], F.lit("\u0000"), tag_value(t)).alias("key"))
     )

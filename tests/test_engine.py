@@ -586,6 +586,13 @@ def test_files_of_a_streamed_log_follow_its_size(spark):
     assert len(spark.read.parquet(path).inputFiles()) > 3 and spark.read.parquet(path).count() == 400
 
 
+def test_few_filters_move_no_events(spark):
+    """Events that come several times each are not shuffled for a small table of filters."""
+    subs = subscribe.subscriptions(spark, [("c", "x", [Filter(kinds=(1,)), Filter(tags={"t": ("a",)})])])
+    plan = subscribe.matched(table(spark, [event(1)]), subs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_stream_commits_and_delivers(spark, tmp_path):
     path = str(tmp_path / "in")
     table(spark, [event(1, seq=1), event(2, kind=20001, seq=2), event(1, seq=3), event(3, kind=10000, seq=4)]).coalesce(1).write.parquet(path)
