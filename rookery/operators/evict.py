@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import heapq
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import percent_of, route_key
+from ..workdir import shared_folder
 from .access import oldest
 
 #: Fixed values of the policy.
@@ -64,56 +67,85 @@ def after_eviction(events: DataFrame, max_bytes: int, process_bytes: int = 0) ->
 def load_eviction(log: DataFrame, max_bytes: int) -> DataFrame:
     """(id, evicted) of every distinct insert that ends live or evicted when events are loaded one after the other.
 
-    Whenever the store passes 90 % of the limit, the oldest go until 70 %. That is a fold over the order of arrival, so one task
-    does it, over five narrow columns; what it holds is bounded by max_bytes, not by the log: entries of events that are gone leave the
-    heap when they are more than the live ones. Without a limit nothing goes, and each cell's last insert stays.
+    Whenever the store passes 90 % of the limit, the oldest go until 70 %. That is a fold over the order of arrival, so one task does it.
+    Before it every event gets a number by age, which also stands for its id and its cell, and the numbers are packed, so the task reads
+    a few bytes for each event; what it holds is bounded by max_bytes, not by the log: entries of events that are gone leave the heap
+    when they are more than the live ones. Without a limit nothing goes, and each cell's last insert stays.
     """
     if max_bytes == 0:
         last = F.row_number().over(Window.partitionBy("route").orderBy(F.desc("seq")))
         rows = log.select("seq", "id", route_key("id", "pubkey", "kind", "tags").alias("route")).withColumn("_n", last)
         return rows.where("_n = 1").select("id", F.lit(False).alias("evicted"))
-    rows = log.select("seq", "id", route_key("id", "pubkey", "kind", "tags").alias("route"), "created_at", "raw_bytes")
+    rows = _numbered(log.select("seq", "id", route_key("id", "pubkey", "kind", "tags").alias("route"), "created_at", "raw_bytes"))
     start, stop = percent_of(max_bytes, LOAD_FROM), percent_of(max_bytes, LOAD_TO)
 
     def fold(batches):
-        held: dict[str, tuple[str, int]] = {}  # route -> (id, bytes)
-        routes: dict[str, str] = {}
-        ages: list[tuple[int, str, str]] = []
+        held: dict[int, tuple[int, int]] = {}  # cell -> (id, bytes)
+        routes: dict[int, int] = {}
+        ages: list[tuple[int, int]] = []
         used = 0
         for batch in batches:
-            gone = []
-            for id_, route, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if id_ in routes:
-                    continue
-                if route in held:
-                    old, bytes_ = held.pop(route)
-                    del routes[old]
-                    used -= bytes_
-                held[route], routes[id_] = (id_, size), route
-                used += size
-                heapq.heappush(ages, (at, _descending(id_), id_))
-                if len(ages) > 2 * len(routes) + 1000:
-                    ages = list({x[2]: x for x in ages if x[2] in routes}.values())
-                    heapq.heapify(ages)
-                if max_bytes and used > start:
-                    while used > stop and ages:
-                        _, _, oldest_id = heapq.heappop(ages)
-                        if oldest_id in routes:
-                            used -= held.pop(routes.pop(oldest_id))[1]
-                            gone.append(oldest_id)
-            yield _told(gone, True)
+            for packed in batch.column(1):
+                gone = []
+                for age, id_, route, size in zip(*_unpacked(packed.as_py()), strict=True):
+                    if id_ in routes:
+                        continue
+                    if route in held:
+                        old, bytes_ = held.pop(route)
+                        del routes[old]
+                        used -= bytes_
+                    held[route], routes[id_] = (id_, size), route
+                    used += size
+                    heapq.heappush(ages, (age, id_))
+                    if len(ages) > 2 * len(routes) + 1000:
+                        ages = list({x[1]: x for x in ages if x[1] in routes}.values())
+                        heapq.heapify(ages)
+                    if used > start:
+                        while used > stop and ages:
+                            _, oldest_id = heapq.heappop(ages)
+                            if oldest_id in routes:
+                                used -= held.pop(routes.pop(oldest_id))[1]
+                                gone.append(oldest_id)
+                yield _told(gone, True)
         yield _told(list(routes), False)
 
-    ordered = rows.repartition(1).sortWithinPartitions("seq").drop("seq")
-    return ordered.mapInArrow(fold, "id string, evicted boolean")
+    ordered = _packed(rows).repartition(1).sortWithinPartitions("seq")
+    ends = ordered.mapInArrow(fold, "number bigint, evicted boolean")
+    return ends.join(rows.where("age = number").select("number", "id"), "number").select("id", "evicted")
 
 
-def _told(ids: list[str], gone: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([gone] * len(ids), pa.bool_())], ["id", "evicted"])
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(seq, id, age, number, cell, raw_bytes): age orders the rows as the oldest first, number is the least age of the row's id and cell
+    that of its route."""
+    spark, path = rows.sparkSession, shared_folder(rows.sparkSession, "ages")
+    order = [F.asc("created_at"), F.desc("id")]
+    aged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("age", F.monotonically_increasing_id())
+    aged.drop("created_at").write.parquet(path)  # once: the numbers of a second run might differ
+    aged = spark.read.schema(aged.drop("created_at").schema).parquet(path)
+    least = lambda c: F.min("age").over(Window.partitionBy(c))
+    return aged.withColumn("number", least("id")).withColumn("cell", least("route")).drop("route")
 
 
-_REVERSED = str.maketrans("0123456789abcdef", "fedcba9876543210")
+def _packed(rows: DataFrame) -> DataFrame:
+    """(seq, packed): runs of rows in the order of seq, each with its first seq."""
+    kind = dict(rows.dtypes)["seq"]
 
+    def work(batches):
+        for b in batches:
+            if b.num_rows:
+                age, number, cell, size = (c.to_numpy(zero_copy_only=False) for c in b.columns[1:])
+                data = np.stack([np.diff(age, prepend=0), age - number, age - cell, size]).astype("<i8")
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), pa.array([zlib.compress(data.tobytes(), 1)], pa.binary())], ["seq", "packed"])
 
-def _descending(hexes: str) -> str:
-    return hexes.translate(_REVERSED)
+    in_order = rows.select("seq", "age", "number", "cell", "raw_bytes").repartitionByRange("seq").sortWithinPartitions("seq")
+    return in_order.mapInArrow(work, f"seq {kind}, packed binary")
+
+
+def _unpacked(packed: bytes) -> list[list[int]]:
+    step, number, cell, size = np.frombuffer(zlib.decompress(packed), "<i8").reshape(4, -1)
+    age = np.cumsum(step)
+    return [age.tolist(), (age - number).tolist(), (age - cell).tolist(), size.tolist()]
+
+
+def _told(numbers: list[int], gone: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([gone] * len(numbers), pa.bool_())], ["number", "evicted"])

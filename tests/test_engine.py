@@ -593,6 +593,15 @@ def test_few_filters_move_no_events(spark):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_load_eviction_reads_packed_numbers(spark):
+    """The one task reads far less than the ids take."""
+    rows = [event(i, seq=i) for i in range(500)]
+    packed = evict._packed(evict._numbered(table(spark, rows).selectExpr("seq", "id", "'i:' || id as route", "created_at", "raw_bytes"))).collect()
+    assert sum(len(r.packed) for r in packed) < 500 * 32
+    numbers = [evict._unpacked(r.packed) for r in sorted(packed, key=lambda r: r.seq)]
+    assert [x for n in numbers for x in n[3]] == [len(r[8].encode()) for r in rows]
+
+
 def test_stream_commits_and_delivers(spark, tmp_path):
     path = str(tmp_path / "in")
     table(spark, [event(1, seq=1), event(2, kind=20001, seq=2), event(1, seq=3), event(3, kind=10000, seq=4)]).coalesce(1).write.parquet(path)
