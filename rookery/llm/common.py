@@ -11,13 +11,10 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.workdir import shared_base, shipped
+from rookery.workdir import bounded_batches, shared_base
 
 #: Bytes of text that are split into words at a time, so that one very long text needs little memory.
 BLOCK_BYTES = 1 << 20
-#: Bytes of an Arrow batch, where the session has no bound of its own.
-BATCH_BYTES = 8 << 20
-_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Shuffle files go when the query that made them has ended.
 _CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -66,13 +63,6 @@ def scratch() -> Iterator[None]:
         _scope.reset(token)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Before texts go to Python: bounds the bytes of Arrow batches, unless the session has a bound, and sends the package to the workers."""
-    if spark.conf.get(_BATCH_KEY, None) is None:
-        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
-    shipped(spark)
-
-
 def quoted(name: str) -> Column:
     """The column of exactly this name."""
     return F.col("`" + name.replace("`", "``") + "`")

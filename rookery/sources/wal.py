@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workdir import bounded_batches
 from .parse import parsed
 
 #: Fixed numbers of the format.
 INSERT, DELETE, MAX_RECORD = 0, 1, 16 * 1024 * 1024
 _SCHEMA = "segment string, pos long, op string, raw string, id string, error string"
+_NAMES, _TYPES = ["segment", "pos", "op", "raw", "id", "error"], [pa.string(), pa.int64(), *[pa.string()] * 4]
+#: Records that are handed on together.
+RUN = 1000
 
 
 def encode_insert(raw: str) -> bytes:
@@ -54,15 +60,19 @@ def decode(data: bytes) -> Iterator[tuple[int, str | None, str | None, str | Non
 
 
 def decoded(segments: DataFrame) -> DataFrame:
-    """(segment, pos, op, raw, id, error) of segments (path, content). A segment is decoded by one task: records have no marks to split at."""
+    """(segment, pos, op, raw, id, error) of segments (path, content). A segment is decoded by one task: records have no marks to split at.
+    The task holds one batch of segments, of bounded bytes (one segment at least), and one run of records."""
+    bounded_batches(segments.sparkSession)
 
     def work(batches):
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(name, *r) for r in decode(bytes(content))]
-                yield pd.DataFrame(rows, columns=["segment", "pos", "op", "raw", "id", "error"], dtype=object)
+            for name, content in zip(*batch.columns, strict=True):
+                records = decode(content.as_py())
+                while run := list(itertools.islice(records, RUN)):
+                    columns = zip(*((name.as_py(), *r) for r in run), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
-    return segments.select("path", "content").mapInPandas(work, _SCHEMA)
+    return segments.select("path", "content").mapInArrow(work, _SCHEMA)
 
 
 def read_wal(spark: SparkSession, path: str) -> DataFrame:
@@ -79,6 +89,7 @@ def encoded(ops: DataFrame) -> DataFrame:
             if parts:
                 yield pd.DataFrame({"path": [f"segment-{batch['seq'].iloc[0]:020d}-{i}"], "content": [b"".join(parts)]})
 
+    bounded_batches(ops.sparkSession)
     return ops.select("seq", "op", "id", "raw").sortWithinPartitions("seq").mapInPandas(work, "path string, content binary")
 
 

@@ -12,6 +12,9 @@ from pyspark.sql import SparkSession
 #: The folder that holds the package.
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _KEY = "spark.checkpoint.dir"
+#: Bytes of an Arrow batch, where the session has no bound of its own.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
@@ -45,3 +48,10 @@ def shipped(spark: SparkSession) -> None:
                 z.write(full, os.path.relpath(full, ROOT))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Before large values go to Python: bounds the bytes of Arrow batches, unless the session has a bound, and sends the package to the workers."""
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    shipped(spark)

@@ -593,6 +593,17 @@ def test_few_filters_move_no_events(spark):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_wal_decodes_in_runs(spark, monkeypatch):
+    """Large segments go through Python one by one, and their records in runs."""
+    monkeypatch.setattr(wal, "RUN", 7)
+    data = b"".join(wal.encode_insert(f"x{i}") for i in range(20)) + wal.encode_delete("ab" * 32) + b"\x00"
+    got = wal.decoded(spark.createDataFrame([("a", data), ("b", b""), ("c", data)], "path string, content binary"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None
+    rows = sorted(tuple(r) for r in got.collect() if r.segment == "a")
+    assert [r[3] for r in rows[:20]] == [f"x{i}" for i in range(20)] and rows[20][4] == "ab" * 32 and rows[21][5] == "truncated record"
+    assert got.count() == 44
+
+
 def test_load_eviction_reads_packed_numbers(spark):
     """The one task reads far less than the ids take."""
     rows = [event(i, seq=i) for i in range(500)]
