@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import quoted, texts
+from .common import quoted, texts, tidy
 
 #: How byte-level BPE cuts a text into pieces, a fixed value of the format.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -34,7 +35,8 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 _SAFE_CUT = regex.compile(r"(?<=[^\s]) (?=[^\s])")
 BLOCK_CHARS = 1 << 19
 KEPT_PIECES = 100_000
-KEPT_PAIRS = 250_000
+#: Slots of the table of pairs of tokens, a power of two.
+KEPT_PAIRS = 1 << 18
 _NEVER = 1 << 60
 
 
@@ -72,7 +74,7 @@ class Bpe:
             self.joined.setdefault((born[left], born[right]), born[whole])
         self.n_bytes_tokens = sum(p is None for p in self.parts)
         self.length = [len(b) for b in self.bytes_of]
-        self._compatible: dict[int, bool] = {}
+        self._compatible = array("q", [-1]) * KEPT_PAIRS
         self._automaton()
         self._offsets(model["vocab"], raw)
         self.cache = _Pieces(self)
@@ -101,13 +103,12 @@ class Bpe:
         self.blob = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(size)), np.uint8)
 
     def compatible(self, a: int, b: int) -> bool:
-        pair = a << 32 | b
-        found = self._compatible.get(pair)
-        if found is None:
-            if len(self._compatible) >= KEPT_PAIRS:
-                self._compatible.clear()
-            found = self._compatible[pair] = self._stay_apart(a, b)
-        return found
+        pair = a << 31 | b
+        slot = (a * 0x9E3779B1 + b * 0x85EBCA6B >> 7) & (KEPT_PAIRS - 1)
+        found = self._compatible[slot]
+        if found >> 1 != pair:
+            found = self._compatible[slot] = pair << 1 | self._stay_apart(a, b)
+        return bool(found & 1)
 
     def _stay_apart(self, a: int, b: int) -> bool:
         """Runs the merges backwards along the border: x and y stand on its two sides until the births gone[0] and gone[1] swallow them."""
@@ -262,7 +263,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, key: str = "doc_i
             columns = [pa.array([x[i] for x in all_of], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(tidy(work), schema)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
@@ -275,4 +276,4 @@ def decode_documents(encoded: DataFrame, path: str | None = None, key: str = "do
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(x.as_py() or []) for x in b.column(1)], pa.string())], [key, "text"])
 
-    return rows.mapInArrow(work, f"`{key}` {dict(rows.dtypes)[key]}, text string")
+    return rows.mapInArrow(tidy(work), f"`{key}` {dict(rows.dtypes)[key]}, text string")

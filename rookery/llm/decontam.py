@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import bounded_batches, free_names, quoted, stored, word_blocks
+from .common import bounded_batches, free_names, quoted, stored, tidy, word_blocks
 
 #: A-Z to a-z; ASCII characters that are neither letter nor digit to a space; all other bytes stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -117,7 +117,7 @@ def word_rarity(docs: DataFrame, words: set[bytes], text: str) -> Counter:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     bounded_batches(spark)
-    counted = docs.select(text).mapInArrow(work, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(tidy(work), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return Counter({bytes(r["word"]): r["n"] for r in counted.collect()})
 
 
@@ -155,7 +155,7 @@ def marked(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "tex
                     schema.names,
                 )
 
-        out = out.mapInArrow(work, schema)
+        out = out.mapInArrow(tidy(work), schema)
         if k + 1 < len(blocks):
             out = stored(out, "decontam")
     return out

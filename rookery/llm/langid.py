@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, share_of, texts
+from .common import bounded_batches, crc_mod, share_of, texts, tidy
 
 DIMS = 8192
 _SHIFT = np.uint32(32 - DIMS.bit_length() + 1)
@@ -141,7 +141,7 @@ def learn(docs: DataFrame, max_rows: int = 3000, key: str = "doc_id", text: str
             n = [np.minimum(counts(t), 65535).astype("<u2").tobytes() for t in known]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.binary()), b.column(1), pa.array([has_letter(t) for t in known])], ["n", "lang", "letter"])
 
-    got = wanted.select(text, F.col(lang).alias("lang")).mapInArrow(work, "n binary, lang string, letter boolean").where("letter").drop("letter").toArrow()
+    got = wanted.select(text, F.col(lang).alias("lang")).mapInArrow(tidy(work), "n binary, lang string, letter boolean").where("letter").drop("letter").toArrow()
     pairs = sorted(zip(got.column(1).to_pylist(), got.column(0).to_pylist(), strict=True))
     return fit([(y, np.frombuffer(n, "<u2")) for y, n in pairs])
 
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: Centroids, key: str = "doc_id", text: str =
             columns = [pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], [key, "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(work, f"`{key}` {dict(rows.dtypes)[key]}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(tidy(work), f"`{key}` {dict(rows.dtypes)[key]}, lang_pred string, score double, rejected boolean")
 
 
 def languages(docs: DataFrame, key: str = "doc_id", folds: int = 3, skip: int = 1, **more) -> DataFrame:
@@ -175,4 +175,4 @@ def only_known(docs: DataFrame, model: Centroids, text: str = "text") -> DataFra
         for b in batches:
             yield b.filter(pa.array([not sent.value.predict(t.as_py())[2] for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)

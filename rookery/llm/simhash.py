@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, dropped, free_names, quoted, stored, text_hash, word_blocks
+from .common import bounded_batches, dropped, free_names, quoted, stored, text_hash, tidy, word_blocks
 from .components import connected_components
 
 
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle_words: int, key: str = "doc_id", text:
             fp = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(fp.view(np.int64))], ["key", "t1", "t2", "fp"])
 
-    return rows.mapInArrow(work, f"key {kind}, t1 bigint, t2 bigint, fp bigint")
+    return rows.mapInArrow(tidy(work), f"key {kind}, t1 bigint, t2 bigint, fp bigint")
 
 
 def near_links(distinct: DataFrame, radius: int) -> DataFrame:
@@ -176,7 +176,7 @@ def _sketches(docs: DataFrame, shingle_words: int, key: str, text: str) -> DataF
             fp, sim = (pa.array(np.array([f[i] for f in found], np.uint64).view(np.int64)) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), fp, sim, pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["key", "t1", "t2", "fp", "simhash", "bands"])
 
-    return rows.mapInArrow(work, f"key {dict(rows.dtypes)['key']}, t1 bigint, t2 bigint, fp bigint, simhash bigint, bands array<bigint>")
+    return rows.mapInArrow(tidy(work), f"key {dict(rows.dtypes)['key']}, t1 bigint, t2 bigint, fp bigint, simhash bigint, bands array<bigint>")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, fps: DataFrame, shingle_words: int, text: str) -> DataFrame:
@@ -195,7 +195,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, fps: DataFrame, shingle_wo
                 known.add(fp)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.list_(pa.int64()))], ["fp", "own"])
 
-    sets = stored(rows.mapInArrow(work, "fp bigint, own array<bigint>").dropDuplicates(["fp"]), "sets")
+    sets = stored(rows.mapInArrow(tidy(work), "fp bigint, own array<bigint>").dropDuplicates(["fp"]), "sets")
     dropped(one)
     return sets
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import bounded_batches, dropped, free_names, quoted, stored, text_hash
+from .common import bounded_batches, dropped, free_names, quoted, stored, text_hash, tidy
 
 GRAM = 40
 #: Bytes worked on at a time; longer texts are cut into parts whose runs may end at the border, which changes no result.
@@ -162,7 +162,7 @@ def _runs(corpus: DataFrame, length: int, gram: int, whole: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c, again)) for c in columns], ["h", "seg", "k1", "k2", "place"][: len(columns)])
 
     rows = corpus.where(F.octet_length("data") >= length).select("data", "k1", "k2", "rows")
-    return rows.mapInArrow(work, "h bigint" + ", seg bigint, k1 bigint, k2 bigint, place bigint" * whole)
+    return rows.mapInArrow(tidy(work), "h bigint" + ", seg bigint, k1 bigint, k2 bigint, place bigint" * whole)
 
 
 def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +298,7 @@ def _by_arrays(pieces: DataFrame, length: int, first: bool) -> DataFrame:
             yield _span_batch(_spans_by_array(held, length, first))
 
     met = pieces.repartition("h").sortWithinPartitions("h", "ord").select("h", "seg", "rows", "piece")
-    return met.mapInArrow(work, "h bigint, seg bigint, spans array<bigint>")
+    return met.mapInArrow(tidy(work), "h bigint, seg bigint, spans array<bigint>")
 
 
 def _span_batch(rows):
@@ -331,7 +331,7 @@ def _pieces(corpus: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
 
     schema = StructType([chosen.schema[n] for n in ("h", "seg", "rows", "ord")] + [StructField("piece", BinaryType())])
     # texts with equal hashes are equal, so repeated answers are
-    return asked.mapInArrow(work, schema).dropDuplicates(["h", "seg"])
+    return asked.mapInArrow(tidy(work), schema).dropDuplicates(["h", "seg"])
 
 
 def _repeats(corpus: DataFrame, leads: DataFrame | None, length: int, sizes: list[int], array_runs: int) -> DataFrame:
@@ -435,7 +435,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, key: str = "doc_id", text
             columns = [pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"][: 5 + with_spans])
 
-    return rows.select(quoted(key), quoted(text), spans).mapInArrow(work, schema)
+    return rows.select(quoted(key), quoted(text), spans).mapInArrow(tidy(work), schema)
 
 
 def without_repeats(docs: DataFrame, length: int = 200, text: str = "text", chars: str | None = "n_chars", array_runs: int = 3000, keep_first_by: str | None = None) -> DataFrame:
@@ -463,4 +463,4 @@ def without_repeats(docs: DataFrame, length: int = 200, text: str = "text", char
                 columns[count] = pa.array([len(t) if f else o for t, f, o in zip(new, flat, old, strict=True)], columns[count].type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(work, docs.schema)
+    return rows.mapInArrow(tidy(work), docs.schema)

@@ -516,3 +516,27 @@ def test_monotone():
             grid[:, j] = np.tile(np.linspace(0, 1, 30), 40)
             steps = np.diff(model.raw(grid).reshape(40, 30), axis=1) * c
             assert (steps >= -1e-9).all()
+
+
+def test_workers_give_back_memory():
+    import re
+
+    import numpy as np
+
+    from rookery.llm.common import give_back, tidy
+
+    held = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10  # noqa: E731, SIM115
+    left = []
+
+    def work(batches):
+        for _ in batches:
+            pieces = [np.ones(100_000, np.uint8) for _ in range(2000)]
+            left.append(pieces[-1])  # holds the top of the heap, so that what lies below stays without a trim
+            del pieces
+            yield held()
+
+    give_back()
+    before = held()
+    during = list(tidy(work, every=1000)([1]))[0]
+    assert during > before + 100 and held() < before + 50 and left[0][0] == 1
+    assert list(tidy(lambda xs: (x * 2 for x in xs), every=0)([1, 2])) == [2, 4]
