@@ -41,12 +41,12 @@ def request_frame(sub_id: Column, filters: Column) -> Column:
     return _frame(F.lit('"REQ"'), json_string(sub_id), F.array_join(filters, ","))
 
 
-def ok_frames(outcomes: DataFrame) -> DataFrame:
-    """(seq, frame) for outcomes (seq, id, outcome): all are accepted."""
+def ok_frames(outcomes: DataFrame, *more: str) -> DataFrame:
+    """(seq, frame) and the columns more for outcomes (seq, id, outcome): all are accepted."""
     text = F.lit("")
     for outcome, said in OK_TEXTS.items():
         text = F.when(F.col("outcome") == outcome, F.lit(said)).otherwise(text)
-    return outcomes.select("seq", ok_frame(F.col("id"), F.lit(True), text).alias("frame"))
+    return outcomes.select("seq", ok_frame(F.col("id"), F.lit(True), text).alias("frame"), *more)
 
 
 def parse_message(frame) -> Column:

@@ -42,6 +42,23 @@ def _told(log: DataFrame) -> DataFrame:
     )
 
 
+def slim(log: DataFrame, *more: str) -> DataFrame:
+    """What outcomes need of a log: seq, id, the text, the route key, two marks of the kind, and the columns more."""
+    marks = (is_ephemeral("kind").alias("_passing"), is_replaceable("kind").alias("_replaceable"))
+    return log.select("seq", "id", "raw", route_key("id", "pubkey", "kind", "tags").alias(_ROUTE), *marks, *more)
+
+
+def slim_outcomes(rows: DataFrame) -> DataFrame:
+    """`outcomes` of a slim log, with its seq, id, text and further columns; one shuffle, of these alone."""
+    before = F.lag("id").over(Window.partitionBy(_ROUTE).orderBy("seq"))
+    kept = [c for c in rows.columns if c not in (_ROUTE, "_passing", "_replaceable")]
+    same = F.coalesce(F.col("_before") == F.col("id"), F.lit(False))
+    outcome, gone = F.when(same, "duplicate").otherwise("stored"), F.when(~same & F.col("_replaceable"), F.col("_before"))
+    stored = rows.where("not _passing").withColumn("_before", before).select(*kept, outcome.alias("outcome"), gone.alias("replaced_id"))
+    passing = rows.where("_passing").select(*kept, F.lit("ephemeral").alias("outcome"), F.lit(None).cast("string").alias("replaced_id"))
+    return stored.unionByName(passing)
+
+
 def live(log: DataFrame) -> DataFrame:
     """The events that are stored after the whole log. A replaceable cell keeps its last arrival (an arrival with the live id
     changes nothing, so the first of the last stretch of equal ids is the stored row); others their first. One shuffle: both windows

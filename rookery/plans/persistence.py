@@ -1,7 +1,8 @@
 """A store's life on disk: snapshots, the operation log in Parquet, checkpoints, recovery.
 
-A store folder holds snapshots `snapshot-N` (live events in Parquet, by bucket of their route key, ordered by kind and time) and log
-batches `log/batch-N` (seq, op, id, raw). The snapshot of the highest number whose write is complete is the one that counts, so writing
+A store folder holds snapshots `snapshot-N` (live events in Parquet, by bucket of their route key, ordered by kind and time) and
+batches: `log/batch-N`, operations (seq, op, id, raw), or `outcomes/batch-N`, what an insert did (seq, id, raw, outcome, replaced_id),
+whose stored events are inserts and whose replaced ids are deletes. The snapshot of the highest number whose write is complete is the one that counts, so writing
 a new one never harms the old. What is live is the snapshot without the cells and ids that later batches touch, and what those
 batches leave: filters reach the snapshot's scan.
 
@@ -13,6 +14,7 @@ commit is lost; `release` gives up the number of a writer that died.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,10 @@ from ..sources.parse import parsed
 #: Fixed numbers of the policy.
 MIN_CHECKPOINT_BYTES, LIVE_FACTOR = 64 * 1024 * 1024, 2
 OPS_SCHEMA = "seq bigint, op string, id string, raw string"
+OUTCOME_SCHEMA = T.StructType([T.StructField("seq", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("id", "raw", "outcome", "replaced_id"))])
+OUTCOME_COLUMNS = OUTCOME_SCHEMA.fieldNames()
+#: Hexadecimal digits halve with this codec.
+CODEC = "zstd"
 #: Parts of a snapshot by route key, of which an insert reads those it touches.
 BUCKETS = 16
 SNAPSHOT_SCHEMA = T.StructType([*EVENT_SCHEMA.fields, T.StructField("_route", T.StringType()), T.StructField("bucket", T.IntegerType())])
@@ -87,19 +93,32 @@ class Folder:
     def snapshots(self) -> list[int]:
         return self.numbers("", r"snapshot-(\d+)")
 
-    def batches(self) -> list[int]:
+    def logged(self) -> list[int]:
         return self.numbers("/log", r"batch-(\d+)")
 
+    def batches(self) -> list[int]:
+        return sorted({*self.logged(), *self.numbers("/outcomes", r"batch-(\d+)")})
+
+    def empty(self) -> bool:
+        return not self.batches() and not self.snapshots()
+
 
 def append_ops(folder: Folder, ops: DataFrame, batch: int | None = None, key: str | None = None) -> int:
     """One commit of operations (seq, op, id, raw) under a number of its own, which it returns; a given number, or the same key again,
     takes its own place, so retries are safe."""
     if batch is None:
         batch = folder.claim(key)
-    ops.select("seq", "op", "id", "raw").write.mode("overwrite").parquet(f"{folder.path}/log/batch-{batch}")
+    ops.select("seq", "op", "id", "raw").write.mode("overwrite").option("compression", CODEC).parquet(f"{folder.path}/log/batch-{batch}")
     return batch
 
 
+def append_outcomes(folder: Folder, done: DataFrame) -> str:
+    """One commit of an insert's outcomes under a number of its own; returns the path."""
+    path = f"{folder.path}/outcomes/batch-{folder.claim()}"
+    done.write.option("compression", CODEC).parquet(path)
+    return path
+
+
 def ops_of(log: DataFrame) -> DataFrame:
     """What the inserts of an arriving log write: an insert for each stored event and a delete of each event that it replaced."""
     done = outcomes(log).where("outcome = 'stored'")
@@ -108,13 +127,22 @@ def ops_of(log: DataFrame) -> DataFrame:
     return inserts.unionByName(deletes)
 
 
+def batch_ops(folder: Folder, number: int, logged: list[int]) -> DataFrame:
+    """The operations of one batch; logged tells which numbers are in the log."""
+    if number in logged:
+        return folder.spark.read.schema(OPS_SCHEMA).parquet(f"{folder.path}/log/batch-{number}")
+    done = folder.spark.read.schema(OUTCOME_SCHEMA).parquet(f"{folder.path}/outcomes/batch-{number}").where("outcome = 'stored'")
+    inserts = done.select("seq", F.lit("insert").alias("op"), "id", "raw")
+    return inserts.unionByName(done.where("replaced_id is not null").select("seq", F.lit("delete").alias("op"), F.col("replaced_id").alias("id"), F.lit(None).cast("string").alias("raw")))
+
+
 def read_ops(folder: Folder) -> DataFrame:
     """(segment, pos, op, events' columns): the batches after the newest snapshot."""
     spark, parts = folder.spark, []
-    after = max(folder.snapshots(), default=-1)
+    after, logged = max(folder.snapshots(), default=-1), folder.logged()
     for n in folder.batches():
         if n > after:
-            ops = spark.read.schema(OPS_SCHEMA).parquet(f"{folder.path}/log/batch-{n}")
+            ops = batch_ops(folder, n, logged)
             # an insert and the delete of what it replaced share a seq; the delete comes second
             pos = F.col("seq") * 2 + (F.col("op") == "delete").cast("bigint")
             parts.append(ops.select(F.lit(n + 1).cast("bigint").alias("segment"), pos.alias("pos"), "op", F.col("id").alias("wanted"), "raw"))
@@ -177,7 +205,7 @@ def checkpoint(folder: Folder) -> int:
     number = max([last, *covered])
     if number not in old:
         rows = routed(recover(folder, upto=number)).repartitionByRange("bucket", "kind", "created_at").sortWithinPartitions("bucket", "kind", "created_at")
-        rows.select(*EVENT_COLUMNS, "_route", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder.path}/snapshot-{number}")
+        rows.select(*EVENT_COLUMNS, "_route", "bucket").write.mode("overwrite").option("compression", CODEC).partitionBy("bucket").parquet(f"{folder.path}/snapshot-{number}")
     for n in covered:
         folder.delete(f"/log/batch-{n}")
         folder.delete(f"/outcomes/batch-{n}")
@@ -190,11 +218,12 @@ def checkpoint(folder: Folder) -> int:
 
 def log_bytes(folder: Folder) -> int:
     last = max(folder.snapshots(), default=-1)
-    paths = [f"{folder.path}/log/batch-{n}" for n in folder.batches() if n > last]
-    if not paths:
+    logged = folder.logged()
+    parts = [batch_ops(folder, n, logged) for n in folder.batches() if n > last]
+    if not parts:
         return 0
     size = F.coalesce(F.octet_length("raw") + 5, F.lit(33))
-    return folder.spark.read.schema(OPS_SCHEMA).parquet(*paths).agg(F.sum(size)).first()[0] or 0
+    return reduce(DataFrame.unionByName, parts).agg(F.sum(size)).first()[0] or 0
 
 
 def needs_checkpoint(pending: int, live_bytes: int) -> bool:
@@ -208,6 +237,7 @@ def maybe_checkpoint(folder: Folder) -> int | None:
 
 def truncate_log(folder: Folder) -> None:
     folder.delete("/log")
+    folder.delete("/outcomes")
 
 
 def compact_log(folder: Folder, live_ids: DataFrame) -> int:
@@ -215,7 +245,8 @@ def compact_log(folder: Folder, live_ids: DataFrame) -> int:
     spark, batches = folder.spark, folder.batches()
     if not batches:
         return 0
-    parts = [spark.read.schema(OPS_SCHEMA).parquet(f"{folder.path}/log/batch-{n}").select(F.lit(n).alias("segment"), F.col("seq").alias("pos"), "op", "id", "raw") for n in batches]
+    logged = folder.logged()
+    parts = [batch_ops(folder, n, logged).select(F.lit(n).alias("segment"), F.col("seq").alias("pos"), "op", "id", "raw") for n in batches]
     ops = parts[0]
     for p in parts[1:]:
         ops = ops.unionByName(p)
@@ -223,4 +254,6 @@ def compact_log(folder: Folder, live_ids: DataFrame) -> int:
     number = append_ops(folder, compacted(ops, live_ids).withColumnRenamed("pos", "seq"))
     for n in batches:
         folder.delete(f"/log/batch-{n}")
+        folder.delete(f"/outcomes/batch-{n}")
+        folder.delete(f"/claims/{n}")
     return before - spark.read.parquet(f"{folder.path}/log/batch-{number}").count()

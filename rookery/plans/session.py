@@ -28,28 +28,36 @@ class Session:
 
     def __init__(self, store: EventStore, verify: bool = True, mode: str = "strict"):
         self.store, self.verify, self.mode = store, verify, mode
+        self._held: list[DataFrame] = []
         self.subscriptions = store.spark.createDataFrame([], SUBSCRIPTION_SCHEMA)
 
     def answer(self, incoming: DataFrame) -> DataFrame:
         """(conn, n, part, frame): replies to each frame; part 0 acknowledges or answers, 1 ends stored answers, 2 is live."""
         spark = self.store.spark
-        read = incoming.select("n", "conn", "frame", frames.parse_message("frame").alias("m")).persist()
+        read = incoming.select("n", "conn", frames.parse_message("frame").alias("m")).persist()
         replies = [read.where("m.error is not null").select("conn", "n", F.lit(0).alias("part"), frames.notice_frame(F.col("m.error")).alias("frame"))]
         replies += self._subscribe(read)
         events = read.where("m.type = 'EVENT'").select(F.col("n").alias("seq"), "conn", F.col("m.event").alias("raw"))
         checked = parse.parsed(events, check_id=self.verify, check_signature=self.verify).persist()
+        self._held += [read, checked]
         said = F.coalesce(*(F.when(F.col("reason") == k, F.lit(v)) for k, v in parse.REASONS.items()))
         replies.append(checked.where("reason is not null").select("conn", F.col("seq").alias("n"), F.lit(0).alias("part"), frames.notice_frame(said).alias("frame")))
         good = checked.where("reason is null")
         if good.head(1):
-            done = self.store.insert(good.select(*EVENT_COLUMNS))
-            acks = frames.ok_frames(done).join(good.select("seq", "conn"), "seq")
-            replies.append(acks.select("conn", F.col("seq").alias("n"), F.lit(0).alias("part"), "frame"))
-            accepted = done.where("outcome <> 'duplicate'")
-            hits = subscribe.matched(accepted, self.subscriptions).join(accepted.select("id", "seq", "raw"), "id")
-            replies.append(hits.select("conn", F.col("seq").alias("n"), F.lit(2).alias("part"), frames.event_frame(F.col("sub_id"), F.col("raw")).alias("frame")))
+            done = self.store.insert(good.select(*EVENT_COLUMNS, "conn"))
+            replies.append(frames.ok_frames(done, "conn").select("conn", F.col("seq").alias("n"), F.lit(0).alias("part"), "frame"))
+            if self.subscriptions.head(1):  # else there is nobody to send them to
+                accepted = done.drop("conn").where("outcome <> 'duplicate'")
+                hits = subscribe.matched(accepted, self.subscriptions).join(accepted.select("id", "seq", "raw"), "id")
+                replies.append(hits.select("conn", F.col("seq").alias("n"), F.lit(2).alias("part"), frames.event_frame(F.col("sub_id"), F.col("raw")).alias("frame")))
         return reduce(DataFrame.unionByName, replies, spark.createDataFrame([], _REPLY))
 
+    def release(self) -> None:
+        """Forgets what the answers so far were made from; call it when they have been sent."""
+        for df in self._held:
+            df.unpersist()
+        self._held = []
+
     def _subscribe(self, read: DataFrame) -> list[DataFrame]:
         """Applies REQ and CLOSE frames in order; they are few, so they are planned on the driver. Returns the replies."""
         spark, out = self.store.spark, []

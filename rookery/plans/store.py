@@ -6,11 +6,13 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import EVENT_COLUMNS
 from ..operators import access, evict, query, state, stats
 from ..sources.config import Config
 from ..sources.filters import Filter
+from ..sources.parse import parsed
 from . import persistence
 
 
@@ -26,23 +28,24 @@ class EventStore:
         return persistence.recover(self.folder)
 
     def insert(self, log: DataFrame) -> DataFrame:
-        """Outcomes of a batch of events (seq orders them), after committing it. Events go after the live ones. Only the buckets of the
-        store that the batch touches are read, and of these only its cells."""
-        new = persistence.routed(log)
-        buckets = [r.bucket for r in new.select("bucket").distinct().collect()]
-        cells = new.select("_route").distinct()
-        held = persistence.recover(self.folder, buckets).join(cells, "_route", "left_semi").select(*EVENT_COLUMNS).withColumn("_new", F.lit(False))
-        shift = F.col("seq") + F.lit(1 << 62)
-        both = held.unionByName(log.select(*EVENT_COLUMNS).withColumn("seq", shift).withColumn("_new", F.lit(True)))
-        done = state.outcomes(both).where("_new").drop("_new").withColumn("seq", F.col("seq") - F.lit(1 << 62))
-        number = self.folder.claim()
-        path = f"{self.folder.path}/outcomes/batch-{number}"
-        done.write.parquet(path)
-        done = self.spark.read.schema(done.schema).parquet(path)
-        inserts = done.where("outcome = 'stored'").select("seq", F.lit("insert").alias("op"), "id", "raw")
-        gone = done.where("replaced_id is not null").select("seq", F.lit("delete").alias("op"), F.col("replaced_id").alias("id"), F.lit(None).cast("string").alias("raw"))
-        persistence.append_ops(self.folder, inserts.unionByName(gone), number)
-        return done
+        """Outcomes of a batch of events (seq orders them), after committing it; other columns of log are kept. Events go after the live
+        ones. Only the buckets of the store that the batch touches are read, and of these only its cells.
+
+        What is shuffled and written is slim: an event's text alone, which the other columns are read from again where they are asked for.
+        The outcomes are the commit, so the text is written once."""
+        more = [c for c in log.columns if c not in EVENT_COLUMNS]
+        shift = F.lit(1 << 62)
+        both = state.slim(log, *more).withColumn("seq", F.col("seq") + shift).withColumn("_new", F.lit(True))
+        if not self.folder.empty():
+            new = persistence.routed(log)
+            buckets = [r.bucket for r in new.select("bucket").distinct().collect()]
+            held = persistence.recover(self.folder, buckets).join(new.select("_route").distinct(), "_route", "left_semi")
+            both = state.slim(held).withColumn("_new", F.lit(False)).unionByName(both, allowMissingColumns=True)
+        done = state.slim_outcomes(both).where("_new").withColumn("seq", F.col("seq") - shift)
+        path = persistence.append_outcomes(self.folder, done.select(*persistence.OUTCOME_COLUMNS, *more))
+        done = self.spark.read.schema(T.StructType([*persistence.OUTCOME_SCHEMA.fields, *(log.schema[c] for c in more)])).parquet(path)
+        rows = parsed(done.withColumnRenamed("id", "_known")).drop("id").withColumnRenamed("_known", "id")
+        return rows.select(*EVENT_COLUMNS, *more, "outcome", "replaced_id")
 
     def delete(self, ids: DataFrame) -> None:
         ops = ids.select(F.lit(0).cast("bigint").alias("seq"), F.lit("delete").alias("op"), "id", F.lit(None).cast("string").alias("raw"))

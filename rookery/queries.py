@@ -345,9 +345,9 @@ def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event arrives as a frame; the acknowledgements."""
     path, out = shared_folder(spark, "frames"), shared_folder(spark, "replies")
     event = F.concat(F.lit('["EVENT",'), "raw", F.lit("]")).alias("frame")
-    log(spark, sf_dir).select(F.col("seq").alias("n"), F.lit("c").alias("conn"), event).write.json(path)
+    log(spark, sf_dir).select(F.col("seq").alias("n"), F.lit("c").alias("conn"), event).write.option("compression", "gzip").option("maxRecordsPerFile", 50_000).json(path)  # files do not split
     session = Session(EventStore(spark, shared_folder(spark, "store")), verify=False)
-    sink = lambda replies, number: replies.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    sink = lambda replies, number: replies.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch={number}")
     streaming.answer_frames(session, path, sink, shared_folder(spark, "state")).awaitTermination()
     return spark.read.parquet(out).where("part = 0").select(F.col("n").alias("seq"), "frame")
 

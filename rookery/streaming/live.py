@@ -52,6 +52,7 @@ def answer_frames(session, path: str, sink, checkpoint: str, trigger: dict | Non
 
     def each(batch: DataFrame, number: int) -> None:
         sink(session.answer(batch), number)
+        session.release()
 
     frames_in = read_frame_stream(session.store.spark, path)
     return frames_in.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

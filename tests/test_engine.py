@@ -642,3 +642,19 @@ def test_session(spark, tmp_path):
     assert "duplicate" in got[0][3][3]
     session.disconnect("b")
     assert session.subscriptions.count() == 0 and "Events" in session.status_page()
+
+
+def test_an_insert_is_written_once(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path / "s"))
+    rows = [event(i, kind=(1, 10000, 20001)[i % 3], at=1000 + i, tags=[["t", "x"]], seq=i) for i in range(9)]
+    done = store.insert(table(spark, rows).withColumn("conn", F.lit("c")))
+    assert sorted((r.seq, r.outcome, r.replaced_id) for r in done.collect()) == fold(rows)[0]
+    assert {r.conn for r in done.collect()} == {"c"} and done.drop("conn", "outcome", "replaced_id").exceptAll(table(spark, rows)).count() == 0
+    assert store.folder.logged() == [] and store.folder.batches() == [1]  # the text is in the outcomes alone
+    held = spark.read.parquet(str(tmp_path / "s" / "outcomes" / "batch-1"))
+    assert "tags" not in held.columns and held.count() == 9
+    again = [event(7, kind=10000, at=1007, seq=1), event(12, kind=10000, at=1, seq=2)]
+    assert sorted((r.seq, r.outcome, r.replaced_id) for r in store.insert(table(spark, again)).collect()) == [(1, "duplicate", None), (2, "stored", pad(7))]
+    assert sorted(ids(store.live)) == [0, 3, 6, 12] and log_bytes(store.folder) == sum(r[9] + 5 for r in rows if r[4] in (1, 10000)) + 33 * 3 + again[1][9] + 5
+    assert compact_log(store.folder, store.live.select("id")) == 6 and sorted(ids(store.live)) == [0, 3, 6, 12]
+    assert store.save() and sorted(ids(store.live)) == [0, 3, 6, 12]
