@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions import route_key
 from ..model import EVENT_COLUMNS, EVENT_SCHEMA
-from ..operators.state import compacted, outcomes, replay
+from ..operators.state import compacted, replay, slim, slim_outcomes
 from ..sources.parse import parsed
 
 #: Fixed numbers of the policy.
@@ -120,11 +120,13 @@ def append_outcomes(folder: Folder, done: DataFrame) -> str:
 
 
 def ops_of(log: DataFrame) -> DataFrame:
-    """What the inserts of an arriving log write: an insert for each stored event and a delete of each event that it replaced."""
-    done = outcomes(log).where("outcome = 'stored'")
-    inserts = done.select("seq", F.lit("insert").alias("op"), "id", "raw")
-    deletes = done.where("replaced_id is not null").select("seq", F.lit("delete").alias("op"), F.col("replaced_id").alias("id"), F.lit(None).cast("string").alias("raw"))
-    return inserts.unionByName(deletes)
+    """What the inserts of an arriving log write: an insert for each stored event and a delete of each event that it replaced. Both come
+    from one pass over the outcomes."""
+    none = F.lit(None).cast("string")
+    op = lambda name, id_, raw: F.struct("seq", F.lit(name).alias("op"), id_.alias("id"), raw.alias("raw"))
+    insert, gone = op("insert", F.col("id"), F.col("raw")), op("delete", F.col("replaced_id"), none)
+    both = F.when(F.col("replaced_id").isNull(), F.array(insert)).otherwise(F.array(insert, gone))
+    return slim_outcomes(slim(log)).where("outcome = 'stored'").select(F.inline(both))
 
 
 def batch_ops(folder: Folder, number: int, logged: list[int]) -> DataFrame:

@@ -260,10 +260,9 @@ def checkpoint_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = persistence.Folder(spark, shared_folder(spark, "store"))
     events = log(spark, sf_dir)
     middle = events.agg(F.max("seq")).first()[0] // 2
-    ops = persistence.ops_of(events)
-    persistence.append_ops(folder, ops.where(F.col("seq") <= middle), 1)
+    persistence.append_ops(folder, persistence.ops_of(events.where(F.col("seq") <= middle)), 1)  # what comes later changes no earlier outcome
     persistence.checkpoint(folder)
-    persistence.append_ops(folder, ops.where(F.col("seq") > middle), 2)
+    persistence.append_ops(folder, persistence.ops_of(events).where(F.col("seq") > middle), 2)
     return persistence.recover(folder).select(*PLAIN[1:])
 
 

@@ -658,3 +658,9 @@ def test_an_insert_is_written_once(spark, tmp_path):
     assert sorted(ids(store.live)) == [0, 3, 6, 12] and log_bytes(store.folder) == sum(r[9] + 5 for r in rows if r[4] in (1, 10000)) + 33 * 3 + again[1][9] + 5
     assert compact_log(store.folder, store.live.select("id")) == 6 and sorted(ids(store.live)) == [0, 3, 6, 12]
     assert store.save() and sorted(ids(store.live)) == [0, 3, 6, 12]
+
+
+def test_operations_of_a_log_take_one_pass(spark):
+    ops = ops_of(table(spark, [event(1, kind=10000, seq=1), event(2, kind=10000, seq=2), event(3, kind=20000, seq=3)]))
+    assert ops._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    assert sorted((r.seq, r.op, int(r.id, 16), r.raw is None) for r in ops.collect()) == [(1, "insert", 1, False), (2, "delete", 1, True), (2, "insert", 2, False)]
