@@ -664,3 +664,14 @@ def test_operations_of_a_log_take_one_pass(spark):
     ops = ops_of(table(spark, [event(1, kind=10000, seq=1), event(2, kind=10000, seq=2), event(3, kind=20000, seq=3)]))
     assert ops._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
     assert sorted((r.seq, r.op, int(r.id, 16), r.raw is None) for r in ops.collect()) == [(1, "insert", 1, False), (2, "delete", 1, True), (2, "insert", 2, False)]
+
+
+def test_event_ids_take_no_python(spark):
+    odd = ["".join(map(chr, range(0x300))), "\u2028\u2029\U0001f600\ufffd", "\\u000B\x0b\\\x0b\\\\u001F\x1f\x0b\x1f", '"\\/', "", "\x7f\x80"]
+    rows = [(a, 2**53 + 1, 7, [[a, b], [], ["t"]], b) for a in odd for b in odd] + [("p", 0, 0, [], "x"), ("p", 1, 1, None, "x")]
+    df = spark.createDataFrame(rows, "p string, at long, kind long, wire array<array<string>>, content string")
+    got = df.select("*", fn.canonical_json("p", "at", "kind", "wire", "content").alias("text"), fn.event_id("p", "at", "kind", "wire", "content").alias("id"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        want = None if r.wire is None else canonical(r.p, r["at"], r.kind, r.wire, r.content)
+        assert r.text == want and r.id == (want and hashlib.sha256(want.encode()).hexdigest())
