@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -205,6 +206,35 @@ def test_bpe_equals_the_library(spark):
     assert row.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in row.ids)).hexdigest()
 
 
+def test_bpe_lanes_equal_single_pieces(monkeypatch):
+    own = bpe.Bpe(bpe.spec_of(bpe.default_path()))
+    rng = random.Random(14)
+    alphabet = ["the", "er", "on", "ti", "in", "an", "ou", "é", "日", "🙂", "0", "=", " ", "aaaa", "\n", "<|endoftext|>", "'s"]
+    pieces = list({"".join(rng.choices(alphabet, k=rng.randrange(1, 25))).encode() for _ in range(3000)}) + [b"", bytes(range(256)), b"a" * 500]
+    want = [np.array(own.encode_piece(p), "<u4").tobytes() for p in pieces]
+    own._known_pairs[:] = -1
+    assert own.encode_lanes(pieces) == want
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 40)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 300)
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(80))) for _ in range(300)] + [None, "", "the " * 200, "a" * 600]
+    want = [bpe.digest(own, own.encode_blocks(t or ""), True) for t in texts]
+    single = []
+    monkeypatch.setattr(own, "encode_piece", lambda p, one=own.encode_piece: single.append(p) or one(p))
+    own.cache = bpe._Pieces(own)
+    got = list(bpe.digests(own, texts, True))
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(np.array_equal(x[3], y[3]) for x, y in zip(got, want, strict=True))
+    assert set(single) == {b"a" * 600}  # pieces of ordinary length do not go one by one
+
+
+def test_bpe_cuts_narrow_texts_alike():
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(15)
+    texts = ["".join(f"{c}a1 {c}{c}! {c} \n{c}" for c in every)]
+    texts += ["".join(rng.choices(every + list(" \n\t'sdl19!\x1c\x85\xa0\u3000²") * 3000, k=5000)) for _ in range(20)]
+    for t in texts:
+        assert bpe._NARROW.findall(t) == bpe.PIECES.findall(t)
+
+
 # --- op5 --------------------------------------------------------------------------------------------------------------
 
 
