@@ -8,7 +8,8 @@ of string starts with the same least gram, the run's anchor.
 2. The runs of the other anchors are found by a join, and one piece of text is fetched for each distinct run.
 3. The pieces of an anchor are compared by a suffix array of their bytes, cut at `length` bytes, many anchors to an array: previous
    and next smaller positions in suffix order give each position's longest previous factor (cut at `length`), and a factor of
-   full length marks both the later copy and its source. A run that occurs more than once is laid into the array twice.
+   full length marks both the later copy and its source. A run that occurs more than once repeats as a whole, by its hashes, and
+   stands in the array for the others; a run that is alone with its anchor needs no array.
 4. An anchor with more than `array_runs` distinct runs is not brought together. Its pieces are cut into runs anew by their least
    grams of a larger size, which fewer strings share, and steps 1 to 4 work on these, until a gram is a whole string and all
    its strings are equal. Each size leaves a quarter of the room that the one before left for a gram inside a string.
@@ -42,6 +43,8 @@ GRAM = 40
 PART = 1 << 18
 _POSITION_BITS = 20
 ARRAY_BYTES = 1 << 19
+#: Bits of a rank of which three make one key.
+RANK_BITS = 21
 #: Texts whose copies a task remembers at a time.
 REMEMBERED = 100_000
 
@@ -175,25 +178,26 @@ def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cut_ranks(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of the suffixes by their first `length` bytes, by prefix doubling; -1 for suffixes that their text's end cuts
-    shorter. Only suffixes that still share a rank are sorted again."""
+    """Ranks of the suffixes by their first `length` bytes, by prefix tripling (doubling where three ranks do not fit 64 bits); -1
+    for suffixes that their text's end cuts shorter. Only suffixes that still share a rank are sorted again."""
     n = len(data)
     left = np.concatenate([[0], ends[:-1]])
     room = (np.repeat(ends, ends - left) - np.arange(n)).astype(np.int32)
     have = min(8, length)
-    key = np.zeros(n, np.uint64)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    for k in range(have):
-        key = (key << np.uint64(8)) | padded[k : k + n]
+    key = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64) >> np.uint64(64 - 8 * have)
     rank = np.full(n, -1, np.int64)
     shared = np.flatnonzero(room >= have)
     shared = _ranked(rank, shared, key[shared], None)
+    three = n <= 1 << RANK_BITS
     while have < length and len(shared):
-        step = min(have, length - have)
-        shared = shared[room[shared] >= have + step]
-        old = rank[shared]
-        shared = _ranked(rank, shared, (old.astype(np.uint64) << np.uint64(32)) | rank[shared + step].astype(np.uint64), old)
-        have += step
+        more = min(length, have * (3 if three else 2))
+        shared = shared[room[shared] >= more]
+        old, far = rank[shared], rank[shared + (more - have)]
+        if three:
+            far |= rank[shared + min(have, more - have)] << RANK_BITS
+        shared = _ranked(rank, shared, (old << (2 * RANK_BITS if three else 32)) | far, old)
+        have = more
     rank[room < length] = -1
     return rank
 
@@ -258,23 +262,32 @@ def previous_factors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[n
 
 
 def _spans_by_array(segments: list[tuple[int, int, int, bytes]], length: int, first: bool = False) -> list[tuple[int, int, list[int]]]:
-    """(h, seg, flat first and last starts of repeated strings) of segments (h, seg, rows, bytes); a segment of more rows than one is
-    laid twice. With first, of strings that an earlier segment or place holds."""
-    laid = [1 + (rows > 1 and not first) for _, _, rows, _ in segments]
-    data = np.frombuffer(b"".join(s[3] * n for s, n in zip(segments, laid, strict=True)), np.uint8)
-    ends = np.cumsum([len(s[3]) for s, n in zip(segments, laid, strict=True) for _ in range(n)])
-    later, source = previous_factors(data, ends, length)
-    hit = np.zeros(len(data) + 1, bool)
-    hit[later] = True
-    if not first:
-        hit[source] = True
-    out, at = [], 0
-    for (h, seg, _, text), n in zip(segments, laid, strict=True):
-        own = hit[at : at + len(text) - length + 1]
-        at += n * len(text)
-        if own.any():
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]])))
-            out.append((h, seg, [int(x) - (i % 2) for i, x in enumerate(edges)]))
+    """(h, seg, flat first and last starts of repeated strings) of segments (h, seg, rows, bytes), an anchor's together; a segment of
+    more rows than one repeats as a whole. With first, of strings that an earlier segment or place holds."""
+    # the strings of a run hold its anchor at different places, so a run alone has nothing to be compared with
+    heads = [s[0] for s in segments]
+    met = [i for i, h in enumerate(heads) if h in (heads[i - 1] if i else None, heads[i + 1] if i + 1 < len(heads) else None)]
+    data = np.frombuffer(b"".join(segments[i][3] for i in met), np.uint8)
+    sizes = np.array([len(segments[i][3]) for i in met], np.int64)
+    ends, number = np.cumsum(sizes), np.arange(len(met))
+    # marks lie as the bytes do, with one place between segments
+    before = np.repeat(number, sizes)
+    hit = np.zeros(len(data) + len(met), bool)
+    if met:
+        later, source = previous_factors(data, ends, length)
+        hit[later + before[later]] = True
+        if not first:
+            hit[source + before[source]] = True
+    edges = np.flatnonzero(np.diff(hit, prepend=False))
+    starts = ends - sizes + number
+    flat = edges - np.arange(len(edges)) % 2
+    bounds = np.append(np.searchsorted(edges, starts), len(edges)).tolist()
+    spans = {i: (flat[a:b] - at).tolist() for i, at, a, b in zip(met, starts.tolist(), bounds, bounds[1:], strict=False) if a < b}
+    out = []
+    for i, (h, seg, rows, text) in enumerate(segments):
+        own = [0, len(text) - length] if rows > 1 and not first else spans.get(i)
+        if own:
+            out.append((h, seg, own))
     return out
 
 

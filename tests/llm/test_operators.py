@@ -503,6 +503,41 @@ def test_previous_factors():
         assert all(s < p and whole[s : s + length] == whole[p : p + length] for p, s in zip(later, source, strict=True))
 
 
+@pytest.mark.parametrize("first", [False, True])
+@pytest.mark.parametrize("bits", [21, 2])
+def test_arrays_hold_a_repeated_run_once_and_no_run_alone(monkeypatch, first, bits):
+    monkeypatch.setattr(suffixdedup, "RANK_BITS", bits)
+    laid, factors = [], suffixdedup.previous_factors
+    monkeypatch.setattr(suffixdedup, "previous_factors", lambda data, ends, length: laid.append(len(data)) or factors(data, ends, length))
+    assert suffixdedup._spans_by_array([(7, 1, 3, b"x" * 9)], 4, first) == ([] if first else [(7, 1, [0, 5])])
+    assert suffixdedup._spans_by_array([], 4, first) == [] and not laid
+    rng = random.Random(bits)
+    for length in (1, 2, 5, 9, 17, 30):
+        for _ in range(20):
+            segments, used = [], 0
+            for h in range(rng.randrange(1, 6)):
+                # as in the operator, a run that is alone with its anchor holds no string twice
+                texts = {bytes(rng.choices(b"ab", k=rng.randrange(length, 3 * length + 2))) for _ in range(rng.randrange(2, 5))}
+                texts = [bytes([h]) * (length - 1) + b"z"] if len(texts) == 1 else sorted(texts, key=lambda _: rng.random())
+                segments += [(h, seg, rng.choice([1, 1, 2]), t) for seg, t in enumerate(texts)]
+                used += sum(map(len, texts)) if len(texts) > 1 else 0
+            times, want = Counter(), []
+            for _, _, rows, t in segments:
+                times.update(t[i : i + length] for i in range(len(t) - length + 1) for _ in range(rows))
+            seen = set()
+            for h, seg, rows, t in segments:
+                own = [t[i : i + length] for i in range(len(t) - length + 1)]
+                hit = []
+                for x in own:
+                    hit.append(x in seen if first else times[x] > 1)
+                    seen.add(x)
+                flat = [x for m in re.finditer("1+", "".join("01"[b] for b in hit)) for x in (m.start(), m.end() - 1)]
+                want += [(h, seg, flat)] if flat else []
+            laid.clear()
+            assert suffixdedup._spans_by_array(segments, length, first) == want
+            assert sum(laid) == used
+
+
 # --- op10 -------------------------------------------------------------------------------------------------------------
 
 
